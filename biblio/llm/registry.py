@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language, mixing, quality, sharding
+from . import chat, language, mixing, packing, pages, quality, sharding, suffix_tree
 
-QUERIES = {f.__name__: f for f in (language.op1_language_id, mixing.op2_mix_sources, quality.op6_quality_rules, chat.op7_chat_format, sharding.op10_external_shuffle)}
+QUERIES = {f.__name__: f for f in (language.op1_language_id, mixing.op2_mix_sources, suffix_tree.op3_suffix_tree_score, pages.op5_main_text, quality.op6_quality_rules, packing.op9_retrieval_packing, chat.op7_chat_format, sharding.op10_external_shuffle)}
 ORACLE: dict[str, str] = {}
