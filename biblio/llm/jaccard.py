@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import settled, table, with_arrays
+from .tables import narrow_join, settled, table, with_arrays
 from .textbuf import LOWER, as_long, mix, runs, span_hash, window_places, windows, words
 
 SHINGLE = 5
@@ -36,8 +36,6 @@ SKETCH_BITS = 17
 #: Cost of one list entry scanned, in signatures enumerated and shuffled.
 SCAN_COST = 1 / 64
 MOST_SMALL = 64
-#: Rows up to which a side of narrow rows (a few longs) is broadcast; beyond, the join shuffles.
-BROADCAST_ROWS = 2_000_000
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,12 +160,6 @@ class PerTask:
         return {"make": self.make}
 
 
-def narrow_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> DataFrame:
-    """A join whose right side, already settled, is broadcast if it is small, and shuffled otherwise."""
-    small = right.count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(right) if small else right, on, how)
-
-
 def overlap_needed(a: Column, b: Column) -> Column:
     return F.floor((4 * (a + b) + 8) / 9)
 
@@ -271,5 +263,14 @@ def set_of(texts: pa.Array):
     return pa.array(np.concatenate(cls)), pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(ends)).astype(np.int32)), pa.array(np.concatenate(values)))
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest key, and all rows without words."""
+    rows = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = settled(linked(rows, key, text).filter("n_shingles > 0"))
+    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), key, "_row")).getField("_row").alias("_row"))
+    others = settled(found.join(first.select("_row"), "_row", "left_anti").select("_row"))
+    return narrow_join(rows, others, "_row", "left_anti").drop("_row")
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -180,6 +180,11 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return with_arrays(marked, compute, "lang_pred string, score double", [text, "_letters"]).drop("_letters")
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """The documents whose language is told: those with letters, for which one language needs fewest phrases."""
+    return identify(docs, learn(docs)).filter("lang_pred <> 'und' and score > 0").select(*docs.columns)
+
+
 def held_out(key: str = "doc_id", mod: int = 5, rest: int = 0):
     """Whether the crc32 of the key as text leaves this remainder; a null key counts as empty."""
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % mod == rest

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import numbered, settled, table, unit, words_in
+from .tables import narrow_join, numbered, settled, table, unit, words_in
 
 BUCKETS = 4096
 WEIGHTS = (5, 2, 1)
@@ -90,5 +90,11 @@ def sample(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
     )
 
 
+def mixed(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
+    """``docs`` with every document repeated as often as the mix wants it whole; rows of one key go together."""
+    wanted = sample(docs, key, **how).filter("copies > 0").groupBy(key).agg(F.max("copies").cast("int").alias("_copies"))
+    return narrow_join(docs, settled(wanted), key).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
