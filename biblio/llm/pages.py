@@ -87,9 +87,10 @@ def weigh(inside: Counter, outside: Counter) -> dict[str, float]:
 
 
 def learn(pages: DataFrame, html: str = "html", most: int = TRAIN_PAGES) -> dict[str, float]:
-    """Weights from at most ``most`` labelled pages, drawn by a hash of the html."""
-    marked = pages.filter(F.col(html).rlike("(?i)<(article|main)[ >]"))
-    sample = marked.select(F.col(html).alias("html"), F.xxhash64(F.lit(5), html).alias("_draw")).orderBy("_draw", "html").limit(most)
+    """Weights from about ``most`` labelled pages, drawn by a hash of the html."""
+    marked = pages.select(F.col(html).alias("html")).filter(F.col("html").rlike("(?i)<(article|main)[ >]"))
+    rate = most / max(marked.count(), 1)
+    sample = marked.filter(F.pmod(F.xxhash64(F.lit(5), "html"), F.lit(1 << 30)) < int(min(rate, 1.0) * (1 << 30)))
 
     def per_partition(batches):
         inside, outside = Counter(), Counter()
