@@ -174,7 +174,7 @@ def citation_split(col: Column) -> Column:
     parts = F.split(col, r" \. ")
     whole = F.size(parts) >= 3
     return F.struct(
-        F.when(whole, F.transform(F.split(F.element_at(parts, 1), ";"), F.trim)).otherwise(F.array().cast("array<string>")).alias("authors"),
+        F.when(whole, F.transform(F.split(F.element_at(parts, 1), ";"), lambda a: F.trim(a))).otherwise(F.array().cast("array<string>")).alias("authors"),
         F.when(whole, F.trim(F.try_element_at(parts, F.lit(-2)))).otherwise(F.substring(col, 1, 200)).alias("title"),
         F.when(whole, F.trim(F.element_at(F.split(F.element_at(parts, -1), ","), 1))).otherwise(F.lit("")).alias("journal"),
     )

@@ -103,10 +103,18 @@ def forbidden_fields(df: DataFrame, forbidden: list[str], key: str) -> DataFrame
     return rows.select(F.lit("forbidden").alias("rule"), "key", F.lit(f"not public in {key}").alias("message"))
 
 
+def _any_filled(names: list[str]):
+    return lambda x: F.coalesce(*(F.when(x[f].isNotNull(), F.lit(True)) for f in names), F.lit(False))
+
+
+def _without_fields(names: list[str]):
+    return lambda x: x.dropFields(*names)
+
+
 def sanitize(df: DataFrame, drop: list[str] = (), drop_nested: dict[str, list[str]] = {}, clear: list[str] = (), keep_metadata: list[str] | None = None) -> DataFrame:
     """A public form of rows, with ``changed`` where something was there to remove."""
     changed = F.lit(False)
-    out = df
+    edits = {}
     for c in drop:
         if c in df.columns:
             changed = changed | F.col(c).isNotNull()
@@ -116,19 +124,19 @@ def sanitize(df: DataFrame, drop: list[str] = (), drop_nested: dict[str, list[st
         there = [f for f in fields if f in inner.names]
         if there:
             if isinstance(kind, T.ArrayType):
-                changed = changed | F.exists(c, lambda x: F.coalesce(*(F.when(x[f].isNotNull(), F.lit(True)) for f in there), F.lit(False)))
-                out = out.withColumn(c, F.transform(c, lambda x: x.dropFields(*there)))
+                changed = changed | F.coalesce(F.exists(c, _any_filled(there)), F.lit(False))
+                edits[c] = F.transform(c, _without_fields(there))
             else:
                 for f in there:
                     changed = changed | F.col(f"{c}.{f}").isNotNull()
-                out = out.withColumn(c, F.col(c).dropFields(*there))
+                edits[c] = F.col(c).dropFields(*there)
     for c in clear:
         changed = changed | F.col(c).isNotNull()
-        out = out.withColumn(c, F.lit(None).cast(df.schema[c].dataType))
+        edits[c] = F.lit(None).cast(df.schema[c].dataType)
     if keep_metadata is not None and "metadata" in df.columns:
-        changed = changed | F.exists(F.map_keys("metadata"), lambda k: ~k.isin(keep_metadata))
-        out = out.withColumn("metadata", F.map_filter("metadata", lambda k, _: k.isin(keep_metadata)))
-    return out.withColumn("changed", F.coalesce(changed, F.lit(False))).drop(*drop)
+        changed = changed | F.coalesce(F.exists(F.map_keys("metadata"), lambda k: ~k.isin(keep_metadata)), F.lit(False))
+        edits["metadata"] = F.map_filter("metadata", lambda k, _: k.isin(keep_metadata))
+    return df.withColumns({**edits, "changed": F.coalesce(changed, F.lit(False))}).drop(*drop)
 
 
 def unparseable(df: DataFrame, path: str = "path") -> DataFrame:
