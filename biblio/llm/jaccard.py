@@ -225,7 +225,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     common = settled(entries.groupBy("sig").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).filter("_a <> _b").select("sig"))
     members = narrow_join(entries, common, "sig").distinct()
     # a set must share enough of its prefix to have any partner
-    enough = settled(members.groupBy("cls", "list").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("n")).filter(~F.col("list") | (F.col("_n") >= least_needed(F.col("n")))).select(F.struct("cls", "list").alias("_who")))
+    enough = settled(members.groupBy("cls", "list").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("n")).filter(~F.col("list") | (F.col("_n") >= least_needed(F.col("n")))).select(F.struct("cls", "list").alias("_who"), F.col("_n").alias("weight")))
     members = settled(narrow_join(members.withColumn("_who", F.struct("cls", "list")), enough, "_who").drop("_who"))
     partners = settled(enough.select("_who.cls").distinct())
     # one representative text of each class that may have partners
@@ -233,8 +233,9 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     texts = narrow_join(source.select("_id", "_text"), who.select("_id").distinct(), "_id", "left_semi")
     sets = settled(with_arrays(texts, set_of, "cls long, members array<long>", ["_text"]).drop("_text", "_id").join(partners, "cls", "left_semi").dropDuplicates(["cls"]))
     fits = (5 * F.least("n_shingles", "_n") >= 4 * F.greatest("n_shingles", "_n"))
-    heads = members.groupBy("sig").agg(F.min(F.struct("cls", "n_shingles")).alias("_h")).select("sig", F.col("_h.cls").alias("_c"), F.col("_h.n_shingles").alias("_n"))
-    stars = members.join(heads, "sig").filter((F.col("cls") != F.col("_c")) & fits).select(F.col("_c").alias("a"), F.col("cls").alias("b")).distinct()
+    # the member that shares most of its prefix scans the list: in a group of near copies, that is what they are copies of
+    heads = members.groupBy("sig").agg(F.max(F.struct("weight", "cls", "n_shingles")).alias("_h")).select("sig", F.col("_h.cls").alias("_c"), F.col("_h.n_shingles").alias("_n"))
+    stars = members.join(heads, "sig").filter((F.col("cls") != F.col("_c")) & fits).select(F.least("_c", "cls").alias("a"), F.greatest("_c", "cls").alias("b")).distinct()
     links = settled(verified(settled(stars), sets))
     parts = components(links, classes.select("cls", "label"))
     placed = settled(members.join(parts, "cls", "left").withColumn("part", F.coalesce(F.col("label"), F.col("cls"))).withColumn("alone", F.col("label").isNull()).drop("label"))
