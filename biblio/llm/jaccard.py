@@ -36,6 +36,8 @@ SKETCH_BITS = 17
 #: Cost of one list entry scanned, in signatures enumerated and shuffled.
 SCAN_COST = 1 / 64
 MOST_SMALL = 64
+#: Linked sets of n and more share one shingle of their prefixes, and one more for every so many of n.
+EXTRA = 16
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +68,11 @@ def prefix_size(n, k: int = 1):
     return n - (4 * n + 4) // 5 + k
 
 
+def list_prefix(n):
+    """Length of the prefix that a set of n enters in inverted lists: linked sets share several of its shingles."""
+    return prefix_size(n, 1 + n // EXTRA)
+
+
 def sketch(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     """Counts of hash buckets over the shingles of all documents, and the size up to which sets are small."""
 
@@ -91,7 +98,7 @@ def boundary(crowd: float) -> int:
     x = 3
     for n in range(4, MOST_SMALL + 1):
         p = prefix_size(n, 2)
-        if p * (p - 1) / 2 <= prefix_size(n) * (1 + SCAN_COST * crowd):
+        if p * (p - 1) / 2 <= list_prefix(n) * (1 + SCAN_COST * crowd):
             x = n
     return x
 
@@ -117,7 +124,7 @@ def signatures(docs: DataFrame, counts: np.ndarray, small: int, text: str) -> Da
         order = np.lexsort((x, shared.value[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], d))
         x, d = x[order], d[order]
         rank = np.arange(len(d)) - np.searchsorted(d, np.arange(len(n)))[d] if len(d) else np.zeros(0, np.int64)
-        by_list = (rank < prefix_size(n[d])) & (5 * n[d] >= 4 * small)
+        by_list = (rank < list_prefix(n[d])) & (5 * n[d] >= 4 * small)
         token, token_doc = as_long(x[by_list]), d[by_list]
         subset, subset_doc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for p in np.unique(prefix_size(n[fresh & (n <= small)], 2)).tolist():
@@ -165,17 +172,21 @@ def overlap_needed(a: Column, b: Column) -> Column:
 
 
 def prefix_of(n: Column) -> Column:
-    return n - F.floor((4 * n + 4) / 5) + 1
+    return n - F.floor((4 * n + 4) / 5) + 1 + F.floor(n / EXTRA)
 
 
 def shared_needed(a: Column, b: Column) -> Column:
-    """Prefix shingles that linked sets of these sizes share at least."""
-    return F.greatest(F.lit(1), overlap_needed(a, b) - F.least(a - prefix_of(a), b - prefix_of(b)))
+    """Prefix shingles that linked sets of these sizes share at least.
+
+    One bound is the prefixes' surplus length.  The other: what they share beyond their prefixes lies in the rest of
+    the set whose prefix ends first, whichever that is.
+    """
+    return F.greatest(1 + F.floor(F.least(a, b) / EXTRA), overlap_needed(a, b) - F.greatest(a - prefix_of(a), b - prefix_of(b)))
 
 
 def least_needed(n: Column) -> Column:
-    """``shared_needed`` with the partner that needs the fewest: one of equal size, less rounding."""
-    return F.greatest(F.lit(1), F.floor(8 * n / 9) - 1 - (n - prefix_of(n)))
+    """``shared_needed`` with the smallest partner there can be."""
+    return 1 + F.floor(F.floor((4 * n + 4) / 5) / EXTRA)
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
