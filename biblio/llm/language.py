@@ -91,14 +91,14 @@ def build(samples: dict[str, str]) -> Model:
     tables = []
     for text in plain:
         goto = suffix_automaton(symbol[text].tolist())
-        dense = np.zeros((len(goto), width), np.int32)
-        dense[:] = _FLAG  # no transition: a phrase ends, and the next begins with this symbol
+        lone = len(goto)  # the state after a symbol that the language lacks: it is a phrase by itself
+        dense = np.full((lone + 1, width), _FLAG | (lone * width), np.int32)
         for s, to in goto[0].items():
-            dense[:, s] = _FLAG | (to * width)
+            dense[:, s] = _FLAG | (to * width)  # no transition: a phrase ends, and the next begins with this symbol
         for state, moves in enumerate(goto):
             if moves:
                 dense[state, list(moves)] = np.fromiter(moves.values(), np.int32, len(moves)) * width
-        dense[:, width - 1] = np.arange(len(goto), dtype=np.int32) * width
+        dense[:, width - 1] = np.arange(lone + 1, dtype=np.int32) * width
         tables.append(dense.ravel())
     return Model(languages, symbol, width, tables, [float(np.log2(max(len(t), 2))) for t in plain])
 
