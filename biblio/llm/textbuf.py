@@ -15,6 +15,8 @@ import pyarrow as pa
 
 #: Bytes of text handled at once inside a task; a longer document is a run of its own.
 RUN_BYTES = 4 << 20
+#: Bytes whose words are hashed at once.
+HASH_BLOCK = 1 << 18
 
 _rng = np.random.default_rng(20240607)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,7 +38,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         have = np.cumprod(have, dtype=np.uint64)
-        if n <= 2 * RUN_BYTES:
+        if n <= 4 * HASH_BLOCK:
             _powers[int(base)] = have
     return have[:n]
 
@@ -102,18 +104,27 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def span_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans ``[start, end)`` of a run; equal spans hash alike."""
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE[raw] * _power(_P, len(raw)), dtype=np.uint64, out=total[1:])
-    h = (total[end] - total[start]) * _power(_PINV, len(raw) + 1)[start]
-    return mix(h + (end - start).astype(np.uint64))
+    """64-bit hashes of the byte spans ``[start, end)`` of a run; equal spans hash alike.
+
+    Spans are in order and do not overlap; they are hashed block by block, which bounds memory.
+    """
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(int(np.searchsorted(start, start[i] + HASH_BLOCK)), i + 1)
+        low, high = int(start[i]), int(end[j - 1])
+        s, e = start[i:j] - low, end[i:j] - low
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum(_BYTE[raw[low:high]] * _power(_P, high - low), dtype=np.uint64, out=total[1:])
+        out[i:j] = (total[e] - total[s]) * _power(_PINV, high - low + 1)[s] + (e - s).astype(np.uint64)
+        i = j
+    return mix(out)
 
 
 def windows(hashes: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all ``n`` consecutive words within one document, and the document of each.
 
-    The window at place ``i`` covers words ``i .. i+n-1``; places come back as the third array's
-    complement: use ``window_places`` for them.
+    The windows are those of ``window_places``, in that order.
     """
     places, doc = window_places(counts, n)
     h = hashes[places]
