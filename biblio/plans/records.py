@@ -165,12 +165,12 @@ def d3_merge_duplicates(spark, d):
     return dedup.merge_duplicates(w, dedup.deduplicate(w)[1], ["journal"], maxima=["citations"]).select("id", "citations", "journal", "members")
 
 
-@query(f"SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN a.o_totalprice ELSE b.o_totalprice END AS o_totalprice, CASE WHEN b.o_orderkey % 3 > 0 THEN b.o_orderstatus ELSE coalesce(a.o_orderstatus, CASE WHEN b.o_orderkey % 3 = 0 THEN '' END) END AS o_orderstatus FROM {PREVIOUS} a FULL JOIN {CURRENT} b ON a.o_orderkey = b.o_orderkey")
+@query(f"SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, CAST(CASE WHEN b.o_orderkey IS NULL THEN a.o_totalprice ELSE b.o_totalprice END AS DOUBLE) AS o_totalprice, CASE WHEN b.o_orderkey % 3 > 0 THEN b.o_orderstatus ELSE coalesce(a.o_orderstatus, CASE WHEN b.o_orderkey % 3 = 0 THEN '' END) END AS o_orderstatus FROM {PREVIOUS} a FULL JOIN {CURRENT} b ON a.o_orderkey = b.o_orderkey")
 def d4_merge_same_id(spark, d):
     old, new = snapshots(spark, d)
     new = new.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).otherwise(""))
     got = dedup.merge_same_id(old, new, "o_orderkey", ["o_totalprice"], ["o_orderstatus"])
-    return got.withColumn("o_orderstatus", F.when(F.col("o_orderstatus").isNull() & (F.col("o_orderkey") % 3 == 0), "").otherwise(F.col("o_orderstatus")))
+    return got.withColumn("o_totalprice", F.col("o_totalprice").cast("double")).withColumn("o_orderstatus", F.when(F.col("o_orderstatus").isNull() & (F.col("o_orderkey") % 3 == 0), "").otherwise(F.col("o_orderstatus")))
 
 
 @query("WITH e AS (SELECT l_orderkey AS work, l_suppkey % 10 AS s, min(l_linenumber) AS seq, arg_max(l_returnflag, (l_linenumber, l_returnflag)) FILTER (l_returnflag <> 'N') AS p FROM lineitem GROUP BY 1, 2) SELECT work, string_agg(CAST(s AS VARCHAR) || ':' || coalesce(p, ''), ',' ORDER BY seq, s) AS authors, coalesce(string_agg(DISTINCT p, ',' ORDER BY p), '') AS people FROM e GROUP BY 1")
@@ -185,21 +185,21 @@ def d6_dedup_first(spark, d):
     return dedup.dedup_first(rows, "work", "pos", "person").select("work", "o", F.array_join("people", ",").alias("people"))
 
 
-@query(f"SELECT o_orderkey, o_totalprice FROM {PREVIOUS} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {CURRENT}) UNION ALL SELECT o_orderkey, o_totalprice FROM {CURRENT}")
+@query(f"SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM {PREVIOUS} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {CURRENT}) UNION ALL SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) FROM {CURRENT}")
 def u6_upsert(spark, d):
-    return snapshot.upsert(*snapshots(spark, d), "o_orderkey", update_existing=True).select("o_orderkey", "o_totalprice")
+    return snapshot.upsert(*snapshots(spark, d), "o_orderkey", update_existing=True).select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
-@query(f"SELECT o_orderkey, o_custkey, o_totalprice FROM {PREVIOUS} WHERE o_custkey % 5 <> 0 UNION ALL SELECT o_orderkey, o_custkey, o_totalprice FROM {CURRENT} WHERE o_custkey % 5 = 0")
+@query(f"SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM {PREVIOUS} WHERE o_custkey % 5 <> 0 UNION ALL SELECT o_orderkey, o_custkey, CAST(o_totalprice AS DOUBLE) FROM {CURRENT} WHERE o_custkey % 5 = 0")
 def u7_replace_processed(spark, d):
     old, new = snapshots(spark, d)
     keys = table(spark, d, "orders").filter("o_custkey % 5 = 0").select("o_custkey").distinct()
-    return snapshot.replace_processed(old, new.join(keys, "o_custkey", "left_semi").select(*old.columns), keys, "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice")
+    return snapshot.replace_processed(old, new.join(keys, "o_custkey", "left_semi").select(*old.columns), keys, "o_custkey").select("o_orderkey", "o_custkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
-@query(f"SELECT o_orderkey, o_totalprice FROM {PREVIOUS} UNION ALL SELECT o_orderkey, o_totalprice FROM {CURRENT} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {PREVIOUS})")
+@query(f"SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM {PREVIOUS} UNION ALL SELECT o_orderkey, CAST(o_totalprice AS DOUBLE) FROM {CURRENT} WHERE o_orderkey NOT IN (SELECT o_orderkey FROM {PREVIOUS})")
 def u8_add_only(spark, d):
-    return snapshot.add_only(*snapshots(spark, d), "o_orderkey").select("o_orderkey", "o_totalprice")
+    return snapshot.add_only(*snapshots(spark, d), "o_orderkey").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
 
 
 @query("SELECT * FROM (SELECT o_custkey, count(*) FILTER (o_orderkey % 3 > 0) AS old_n, count(*) FILTER (o_orderkey % 2 = 0) AS new_n FROM orders GROUP BY 1) WHERE old_n > 0 AND new_n < 0.8 * old_n")
@@ -262,10 +262,10 @@ def k6_preview(spark, d):
     return sources.preview(*snapshots(spark, d), "o_orderkey")
 
 
-@query("SELECT count(*) AS records, max(o_orderdate) AS updated, count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders")
+@query("SELECT count(*) AS records, CAST(max(o_orderdate) AS VARCHAR) AS updated, count(*) FILTER (o_orderstatus = 'F') AS finished FROM orders")
 def k5_manifest(spark, d):
     got = snapshot.build_manifest(table(spark, d, "orders"), {"finished": F.col("o_orderstatus") == "F"}, "o_orderdate")
-    return got.select("records", "updated", F.col("counts")["finished"].alias("finished"))
+    return got.select("records", F.col("updated").cast("string").alias("updated"), F.col("counts")["finished"].alias("finished"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS o_orderstatus FROM orders")

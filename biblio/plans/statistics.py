@@ -124,9 +124,9 @@ def g20_omitted(spark, d):
     return stats.omitted(table(spark, d, "orders").withColumn("c", F.col("o_custkey") % 20), "c")
 
 
-@query("SELECT max(o_orderdate) AS latest FROM orders")
+@query("SELECT CAST(max(o_orderdate) AS VARCHAR) AS latest FROM orders")
 def g21_latest(spark, d):
-    return stats.latest(table(spark, d, "orders"), "o_orderdate")
+    return stats.latest(table(spark, d, "orders"), "o_orderdate").select(F.col("latest").cast("string").alias("latest"))
 
 
 @query("SELECT s_suppkey AS person, count(l_orderkey) AS total, count(*) FILTER (l_linenumber = 1) AS main, count(*) FILTER (l_linenumber <> 1) AS co FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey AND l_quantity > 25 GROUP BY 1")
