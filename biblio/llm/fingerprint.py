@@ -27,7 +27,8 @@ BASE_CELLS = 5  # in each of three tables
 ROUNDS = 14
 RETRIES = 3
 RANGE_BYTES = 2 << 20
-MAX_RANGES = 4096
+COARSE = 512
+MAX_RANGES = 1 << 16
 _PARTS = rf"(?:\S++[^\S\n]*+){{1,{PART_WORDS}}}+"
 
 
@@ -122,22 +123,38 @@ def written(found: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["n"]), F.lit(":"), F.hex(c["d"]), F.lit(":"), F.hex(c["c"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))), ".")
 
 
-def with_next(docs: DataFrame, key: str, text: str, carried: list[str]) -> DataFrame:
+def ranges_of(ordered: DataFrame, n: int) -> Column:
+    """Number of the range of ids that ``_o`` falls in, descending, of about ``n``.
+
+    Up to ``COARSE`` quantiles cut the ids; more ranges come from dividing what lies between two cuts evenly.
+    """
+    coarse = min(n, COARSE)
+    per = -(-n // coarse)
+    found = ordered.agg(F.percentile_approx("_o", [k / coarse for k in range(1, coarse)] or [0.5], 20 * coarse).alias("q"), F.min("_o").alias("a"), F.max("_o").alias("b")).first()
+    cuts = sorted(set(found["q"] or []) - {found["b"]}, reverse=True) if coarse > 1 else []
+    place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<bigint>"), lambda c: c >= F.col("_o")))
+    if per == 1:
+        return place
+    bounds = F.array(*(F.lit(float(x)) for x in [found["b"] or 0, *cuts, (found["a"] or 0) - 1]))
+    high, low = F.element_at(bounds, place + 1), F.element_at(bounds, place + 2)
+    inner = F.floor((high - F.col("_o")) / F.greatest(high - low, F.lit(1.0)) * per).cast("int")
+    return place * per + F.least(F.greatest(inner, F.lit(0)), F.lit(per - 1))
+
+
+def with_next(docs: DataFrame, key: str, text: str, carried: list[str], range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``docs`` plus ``_next``, a struct of the carried columns of the next document by descending key."""
     ordered = docs.withColumn("_o", F.coalesce(F.col(key), F.lit(-(2**63))))
     size = ordered.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
-    n = int(min(MAX_RANGES, max(1, -(-size // RANGE_BYTES))))
-    cuts = ordered.agg(F.percentile_approx("_o", [k / n for k in range(1, n)], 10 * n).alias("q")).first()["q"] if n > 1 else []
-    cuts = sorted(set(cuts or []), reverse=True)
-    ranged = ordered.withColumn("_r", F.size(F.filter(F.array(*(F.lit(c) for c in cuts)).cast("array<bigint>"), lambda c: c > F.col("_o"))))
-    heads = ranged.groupBy("_r").agg(F.max("_o").alias("_o")).collect()  # MAX_RANGES at most
+    n = int(min(MAX_RANGES, max(1, -(-size // range_bytes))))
+    ranged = ordered.withColumn("_r", ranges_of(ordered, n))
+    heads = ranged.groupBy("_r").agg(F.max("_o").alias("_o")).collect()  # about MAX_RANGES at most
     heads.sort(key=lambda r: r["_r"])
     before = [(h["_o"], heads[k - 1]["_r"]) for k, h in enumerate(heads)]
     sent = docs.sparkSession.createDataFrame(before, "_o long, _g int")
-    both = ranged.join(F.broadcast(sent), "_o", "left").withColumn("_at", F.explode(F.when(F.col("_g").isNull(), F.array("_r")).otherwise(F.array("_r", F.col("_g") + MAX_RANGES))))
-    placed = both.withColumn("_guest", F.col("_at") >= MAX_RANGES).withColumn("_at", F.pmod("_at", F.lit(MAX_RANGES)))
+    places = F.when(F.col("_g").isNull(), F.array(F.struct(F.col("_r").alias("at"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("_r").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("_g").alias("at"), F.lit(True).alias("guest"))))
+    placed = ranged.join(F.broadcast(sent), "_o", "left").withColumn("_x", F.explode(places)).withColumns({"_at": F.col("_x.at"), "_guest": F.col("_x.guest")})
     order = Window.partitionBy("_at").orderBy("_guest", F.desc("_o"), text)
-    return placed.withColumn("_next", F.lead(F.struct(*carried)).over(order)).filter(~F.col("_guest")).drop("_o", "_r", "_g", "_at", "_guest")
+    return placed.withColumn("_next", F.lead(F.struct(*carried)).over(order)).filter(~F.col("_guest")).drop("_o", "_r", "_g", "_x", "_at", "_guest")
 
 
 def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
