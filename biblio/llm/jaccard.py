@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import narrow_join, settled, table, with_arrays
-from .textbuf import LOWER, as_long, mix, runs, span_hash, window_places, windows, words
+from .textbuf import LOWER, as_long, mix, runs, span_hash, trimmed, window_places, windows, words
 
 SHINGLE = 5
 SKETCH_BITS = 17
@@ -78,7 +78,7 @@ def sketch(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
 
     def per_partition(batches):
         total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
+        for batch in trimmed(batches):
             for _, _, raw, offsets in runs(batch.column(0)):
                 h, _ = shingles(raw, offsets)
                 total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))

@@ -72,7 +72,9 @@ def with_arrays(df: DataFrame, compute, fields: str, inputs: list[str]) -> DataF
     n_keep = len(keep)
 
     def per_batch(batches):
-        for batch in batches:
+        from .textbuf import trimmed
+
+        for batch in trimmed(batches):
             got = compute(*(batch.column(batch.schema.get_field_index(c)) for c in inputs))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *got], names=[f.name for f in schema.fields])
 

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once inside a task; a longer document is a run of its own.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
 #: Bytes whose words are hashed at once.
 HASH_BLOCK = 1 << 18
 
@@ -146,3 +146,20 @@ def crc32_of_id(ids: pa.Array) -> np.ndarray:
     import zlib
 
     return np.fromiter((zlib.crc32(b"" if x is None else str(x).encode()) for x in ids.to_pylist()), np.int64, len(ids))
+
+
+def trimmed(batches):
+    """The batches, with what a task has freed given back to the system before and after: workers are reused."""
+    give_back()
+    yield from batches
+    give_back()
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass

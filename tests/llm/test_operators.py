@@ -153,6 +153,16 @@ def test_fingerprints(spark, tables, docs):
             assert r["fingerprint"] == r["edited_fingerprint"]
 
 
+@pytest.mark.parametrize("range_bytes, coarse", [(1 << 20, 512), (4000, 512), (2000, 3), (500, 4)])
+def test_next_document_by_ranges(spark, tables, docs, monkeypatch, range_bytes, coarse):
+    monkeypatch.setattr(fingerprint, "COARSE", coarse)
+    rows = [(d[0] ** 2 if d[0] else None, d[1] or "") for d in docs]
+    df = spark.createDataFrame(rows, "doc_id long, t string")
+    got = sorted(((r["doc_id"], r["t"], r["n"]) for r in fingerprint.with_next(df, "doc_id", "t", ["t"], range_bytes).select("doc_id", "t", F.col("_next.t").alias("n")).collect()), key=str)
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1]))
+    assert got == sorted(((*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order)), key=str)
+
+
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href="/a">menu</a></nav><div class="ad">Buy this now and more</div>
 <article><h1>Head&amp;line</h1><p>One  two &lt;three&gt;<br>four</p><aside>side words here</aside><p><b>Bold</b> text{extra}</p><form><input><button>Send</button></form></article><div class="comments"><p>reader says a lot of things here</p></div><footer>foot</footer></body></html>"""
 
