@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblio.functions.names import advisor_name_similarity, best_variant_similarity, name_parts
+from biblio.functions.names import advisor_name_similarity, best_variant_similarity, distinctive, name_parts
 from biblio.functions.text import extract_orcid, fold, significant_tokens, tokens
 
 
@@ -47,12 +47,18 @@ def name_blocks(name: Column) -> Column:
     return F.array_distinct(F.concat(tokens(name), grams))
 
 
-def candidates(entities: DataFrame, authors: DataFrame, min_score: float, k: int, small: bool = True) -> DataFrame:
+#: Authors up to which a roster is broadcast and scanned.
+SMALL_ROSTER = 5_000
+
+
+def candidates(entities: DataFrame, authors: DataFrame, min_score: float, k: int, small: bool | None = None) -> DataFrame:
     """(entity, rank, author, score): the k best authors above a score; ties go to the earlier author.
 
-    ``entities`` has (entity, name), ``authors`` (author, pos, variants[]), all folded as ``author_name``.  A small
-    roster is broadcast and scanned; otherwise pairs come from shared name parts and 4-grams.
+    ``entities`` has (entity, name), ``authors`` (author, pos, variants[]), all folded as ``author_name``.  A roster that
+    is small (counted, if not said) is broadcast and scanned; otherwise pairs come from shared name parts and 4-grams.
     """
+    if small is None:
+        small = authors.limit(SMALL_ROSTER + 1).count() <= SMALL_ROSTER
     if small:
         pairs = entities.join(F.broadcast(authors), best_variant_similarity(F.col("name"), F.col("variants")) > min_score)
     else:
@@ -65,7 +71,7 @@ def candidates(entities: DataFrame, authors: DataFrame, min_score: float, k: int
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k).select("entity", "rank", "author", "score")
 
 
-def best_match(entities: DataFrame, authors: DataFrame, threshold: float = 0.85, small: bool = True) -> DataFrame:
+def best_match(entities: DataFrame, authors: DataFrame, threshold: float = 0.85, small: bool | None = None) -> DataFrame:
     """(entity, author, confidence): the best author if good enough; confidence is the percentage, cut off."""
     best = candidates(entities, authors, 0.0, 1, small).filter(F.col("score") >= threshold)
     return best.select("entity", "author", (F.col("score") * 100).cast("int").alias("confidence"))
@@ -82,10 +88,18 @@ def run_waterfall(entities: DataFrame, stages: list[tuple[str, Callable[[DataFra
 
 
 def match_distinctive(names: DataFrame, roster: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """(name, entity, score) by distinctive name parts; ``roster`` has (entity, pos, name, short) and is small."""
-    left = names.withColumn("_p", name_parts(F.col("name")))
+    """(name, entity, score) by distinctive name parts; ``roster`` has (entity, pos, name, short).
+
+    Every rung of the ladder needs the same first name or a shared distinctive part, so pairs meet over these.
+    """
+
+    def keys(parts: Column) -> Column:
+        return F.array_distinct(F.array_append(distinctive(parts["all"]), parts["first"]))
+
+    left = names.select("name").distinct().withColumn("_p", name_parts(F.col("name")))
     right = roster.select("entity", "pos", "short", name_parts(F.col("name")).alias("_q"))
-    scored = left.join(F.broadcast(right), F.lit(True)).withColumn("score", advisor_name_similarity(F.col("_p"), F.col("_q"), F.col("short"))).filter(F.col("score") >= threshold)
+    pairs = left.withColumn("_k", F.explode(keys(F.col("_p")))).join(right.withColumn("_k", F.explode(keys(F.col("_q")))), "_k").drop("_k").dropDuplicates(["name", "entity", "pos"])
+    scored = pairs.withColumn("score", advisor_name_similarity(F.col("_p"), F.col("_q"), F.col("short"))).filter(F.col("score") >= threshold)
     return scored.groupBy("name").agg(F.max_by(F.struct("entity", "score"), F.struct("score", -F.col("pos"))).alias("_b")).select("name", "_b.*")
 
 
