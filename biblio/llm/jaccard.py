@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import narrow_join, settled, table, with_arrays
+from .tables import in_batches, narrow_join, settled, table, with_arrays
 from .textbuf import LOWER, as_long, mix, runs, span_hash, trimmed, window_places, windows, words
 
 SHINGLE = 5
@@ -85,7 +85,7 @@ def sketch(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], names=["bucket", "n"])
 
-    rows = docs.select(text).mapInArrow(per_partition, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = in_batches(docs.select(text), per_partition, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     usual = np.median(counts)

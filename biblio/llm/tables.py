@@ -11,6 +11,18 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 2_000_000
 
 
+#: Rows of an Arrow batch at most: batches of texts are held both in the JVM and in Python.
+BATCH_ROWS = 2_000
+
+
+def in_batches(df: DataFrame, function, schema) -> DataFrame:
+    """``mapInArrow`` with batches of at most ``BATCH_ROWS`` rows (a setting of the session)."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(name, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -78,7 +90,7 @@ def with_arrays(df: DataFrame, compute, fields: str, inputs: list[str]) -> DataF
             got = compute(*(batch.column(batch.schema.get_field_index(c)) for c in inputs))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *got], names=[f.name for f in schema.fields])
 
-    return source.mapInArrow(per_batch, schema)
+    return in_batches(source, per_batch, schema)
 
 
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
