@@ -10,25 +10,26 @@ from biblio.sources import records as sources
 
 from .base import CURRENT, PREVIOUS, WORKS, query, snapshots, table, works
 
-K = F.col("c_custkey")
+def key():
+    return F.col("c_custkey")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '0000-0002-1825-' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') END AS orcid FROM customer")
 def f10_extract_orcid(spark, d):
-    note = F.when(K % 3 == 0, F.concat(F.lit("orcid: 0000-0002-1825-"), F.lpad((K % 10000).cast("string"), 4, "0"), F.lit("."))).otherwise("none")
+    note = F.when(key() % 3 == 0, F.concat(F.lit("orcid: 0000-0002-1825-"), F.lpad((key() % 10000).cast("string"), 4, "0"), F.lit("."))).otherwise("none")
     return table(spark, d, "customer").select("c_custkey", text.extract_orcid(note).alias("orcid"))
 
 
 @query("WITH o AS (SELECT c_custkey, lpad(CAST(c_custkey AS VARCHAR), 16, '0') AS s FROM customer), t AS (SELECT c_custkey, s, list_reduce(list_prepend(CAST(0 AS BIGINT), [CAST(substr(s, CAST(i AS INTEGER), 1) AS BIGINT) FOR i IN range(1, 16)]), lambda a, x: (a + x) * 2) AS total FROM o) SELECT c_custkey, CASE WHEN (12 - total % 11) % 11 = 10 THEN FALSE ELSE CAST((12 - total % 11) % 11 AS VARCHAR) = substr(s, 16, 1) END AS ok FROM t")
 def f11_orcid_valid(spark, d):
-    s = F.lpad(K.cast("string"), 16, "0")
+    s = F.lpad(key().cast("string"), 16, "0")
     dashed = F.concat_ws("-", *(F.substring(s, i, 4) for i in (1, 5, 9, 13)))
     return table(spark, d, "customer").select("c_custkey", text.orcid_valid(dashed).alias("ok"))
 
 
 @query("SELECT c_custkey, lower(list_first(string_split(p_name, ' '))) AS first, lower(list_last(string_split(p_name, ' '))) AS last, len(list_distinct(string_split(p_name, ' '))) AS parts FROM customer JOIN part ON p_partkey = c_custkey % 100 + 1")
 def f16_name_parts(spark, d):
-    rows = table(spark, d, "customer").join(table(spark, d, "part"), F.col("p_partkey") == K % 100 + 1).select("c_custkey", names.name_parts(F.col("p_name")).alias("n"))
+    rows = table(spark, d, "customer").join(table(spark, d, "part"), F.col("p_partkey") == key() % 100 + 1).select("c_custkey", names.name_parts(F.col("p_name")).alias("n"))
     return rows.select("c_custkey", "n.first", "n.last", F.size("n.all").cast("long").alias("parts"))
 
 
@@ -44,7 +45,7 @@ def f18_clean_text(spark, d):
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS INTEGER) ELSE 0 END AS n FROM customer")
 def f21_to_int_or_zero(spark, d):
-    raw = F.when(K % 3 == 0, K.cast("string")).when(K % 3 == 1, F.concat(F.lit("x"), K.cast("string")))
+    raw = F.when(key() % 3 == 0, key().cast("string")).when(key() % 3 == 1, F.concat(F.lit("x"), key().cast("string")))
     return table(spark, d, "customer").select("c_custkey", text.to_int_or_zero(raw).alias("n"))
 
 
@@ -108,20 +109,20 @@ def p7_semantic(spark, d):
 
 @query("SELECT c_custkey AS id FROM customer WHERE c_acctbal > 0 AND c_nationkey % 2 = 0")
 def p13_select_entities(spark, d):
-    rows = table(spark, d, "customer").select(K.alias("id"), (F.col("c_acctbal") > 0).alias("active"), F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("external_ids"))
+    rows = table(spark, d, "customer").select(key().alias("id"), (F.col("c_acctbal") > 0).alias("active"), F.when(F.col("c_nationkey") % 2 == 0, F.array(F.lit("x"))).otherwise(F.array().cast("array<string>")).alias("external_ids"))
     return search.select_entities(rows)[0].select("id")
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE c_mktsegment END AS label FROM customer")
 def p20_localized(spark, d):
-    s = F.struct(F.col("c_mktsegment").alias("pt"), F.when(K % 2 == 0, F.col("c_name")).otherwise("").alias("en"))
+    s = F.struct(F.col("c_mktsegment").alias("pt"), F.when(key() % 2 == 0, F.col("c_name")).otherwise("").alias("en"))
     return table(spark, d, "customer").select("c_custkey", text.localized(s, "en").alias("label"))
 
 
 @query("SELECT o_custkey AS id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INTEGER) AS pos, o_orderkey AS document FROM orders UNION ALL SELECT c_custkey, NULL, NULL FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 def p25_category_documents(spark, d):
     lists = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list("o_orderkey")).alias("documents"))
-    return search.category_documents(table(spark, d, "customer").select(K.alias("id")).join(lists, "id", "left"))
+    return search.category_documents(table(spark, d, "customer").select(key().alias("id")).join(lists, "id", "left"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+:', ''), '^/+', '') AS path FROM pages")
@@ -143,7 +144,7 @@ def p28_lookup(spark, d):
 
 def _rosters(spark, d):
     lines = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos"))
-    entities = table(spark, d, "customer").join(table(spark, d, "part"), F.col("p_partkey") == K % 200 + 1).select(K.alias("entity"), text.fold(F.col("p_name"), "author_name").alias("name"))
+    entities = table(spark, d, "customer").join(table(spark, d, "part"), F.col("p_partkey") == key() % 200 + 1).select(key().alias("entity"), text.fold(F.col("p_name"), "author_name").alias("name"))
     return entities, lines.select(F.col("pos").alias("author"), "pos", F.array(text.fold(F.col("name"), "author_name")).alias("variants"))
 
 
@@ -176,7 +177,7 @@ def j18_merge_profile(spark, d):
 @query("SELECT n.c_custkey AS id, coalesce(CASE WHEN n.c_custkey % 5 = 0 THEN n.c_name END, '') AS editor FROM customer n")
 def j24_with_default(spark, d):
     c = table(spark, d, "customer")
-    return resolve.with_default(c.select(K.alias("id")), c.filter("c_custkey % 5 = 0").select(K.alias("id"), F.col("c_name").alias("editor")), "id", "editor")
+    return resolve.with_default(c.select(key().alias("id")), c.filter("c_custkey % 5 = 0").select(key().alias("id"), F.col("c_name").alias("editor")), "id", "editor")
 
 
 @query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'doi' WHEN o_orderkey % 4 = 3 THEN 'eid' ELSE 'title-year-journal' END AS kind FROM orders) GROUP BY 1")
@@ -279,8 +280,8 @@ def h2_extract_detail(spark, d):
 
 @query("SELECT c_custkey AS page, c_custkey % 90 AS works, CAST(c_custkey AS VARCHAR) AS source_id FROM customer")
 def h4_extract_profile(spark, d):
-    html = F.concat(F.lit('<div class="science_cont"><div class="web_s">Scopus</div><div class="trab">Total: '), K % 90, F.lit('</div></div><a href="http://s/?authorId='), K, F.lit('">x</a>'))
-    got = pages.extract_profile(table(spark, d, "customer").select(K.alias("page_id"), html.alias("html")))
+    html = F.concat(F.lit('<div class="science_cont"><div class="web_s">Scopus</div><div class="trab">Total: '), key() % 90, F.lit('</div></div><a href="http://s/?authorId='), key(), F.lit('">x</a>'))
+    got = pages.extract_profile(table(spark, d, "customer").select(key().alias("page_id"), html.alias("html")))
     return got.select("page", F.col("counters")[0]["works"].alias("works"), "source_id")
 
 
