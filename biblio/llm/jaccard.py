@@ -10,8 +10,8 @@ corpus), so that linked sets share a shingle, or any k of them, in a short prefi
 
 The boundary between them is where enumerating subsets would cost more than scanning lists, by the sketch.
 A set that shares fewer prefix shingles than any partner needs is dropped.  Each list is first scanned against
-one member of it; verified links make components, and only pairs of different components are then
-enumerated, counted against what the prefix must share, and verified.  Every pair within a list is so either
+one member of it; verified links make components, and only pairs of different components, in lists where enough
+of both prefixes is left, are then enumerated and verified.  Every pair within a list is so either
 verified, excluded by a bound, or in one component already; none is capped.
 
 Equal sets are one class, known by a 64-bit digest.  Shingles are known by 64-bit hashes.
@@ -232,11 +232,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     counts, small = sketch(source, "_text")
     own = settled(signatures(source, counts, small, "_text").drop("_text"))
     classes = own.filter("n_shingles > 0").groupBy("cls").agg(F.min("_id").alias("label"))
-    entries = own.select(F.explode("by_list").alias("sig"), F.lit(True).alias("list"), "cls", "n_shingles").unionByName(own.select(F.explode("by_subset").alias("sig"), F.lit(False).alias("list"), "cls", "n_shingles"))
+    entries = own.select(F.posexplode("by_list").alias("at", "sig"), F.lit(True).alias("list"), "cls", "n_shingles").unionByName(own.select(F.lit(0).alias("at"), F.explode("by_subset").alias("sig"), F.lit(False).alias("list"), "cls", "n_shingles"))
     common = settled(entries.groupBy("sig").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).filter("_a <> _b").select("sig"))
     members = narrow_join(entries, common, "sig").distinct()
     # a set must share enough of its prefix to have any partner
-    enough = settled(members.groupBy("cls", "list").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("n")).filter(~F.col("list") | (F.col("_n") >= least_needed(F.col("n")))).select(F.struct("cls", "list").alias("_who"), F.col("_n").alias("weight")))
+    enough = settled(members.groupBy("cls", "list").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("n")).filter(~F.col("list") | (F.col("_n") >= least_needed(F.col("n")))).select(F.struct("cls", "list").alias("_who"), (F.col("_n") / F.when(F.col("list"), prefix_of(F.col("n"))).otherwise(F.col("n") * F.col("n"))).alias("weight")))
     members = settled(narrow_join(members.withColumn("_who", F.struct("cls", "list")), enough, "_who").drop("_who"))
     partners = settled(enough.select("_who.cls").distinct())
     # one representative text of each class that may have partners
@@ -244,7 +244,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     texts = narrow_join(source.select("_id", "_text"), who.select("_id").distinct(), "_id", "left_semi")
     sets = settled(with_arrays(texts, set_of, "cls long, members array<long>", ["_text"]).drop("_text", "_id").join(partners, "cls", "left_semi").dropDuplicates(["cls"]))
     fits = (5 * F.least("n_shingles", "_n") >= 4 * F.greatest("n_shingles", "_n"))
-    # the member that shares most of its prefix scans the list: in a group of near copies, that is what they are copies of
+    # the member that shares the largest part of its prefix scans the list: among near copies, what they are copies of
     heads = members.groupBy("sig").agg(F.max(F.struct("weight", "cls", "n_shingles")).alias("_h")).select("sig", F.col("_h.cls").alias("_c"), F.col("_h.n_shingles").alias("_n"))
     stars = members.join(heads, "sig").filter((F.col("cls") != F.col("_c")) & fits).select(F.least("_c", "cls").alias("a"), F.greatest("_c", "cls").alias("b")).distinct()
     links = settled(verified(settled(stars), sets))
@@ -252,10 +252,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     placed = settled(members.join(parts, "cls", "left").withColumn("part", F.coalesce(F.col("label"), F.col("cls"))).withColumn("alone", F.col("label").isNull()).drop("label"))
     mixed = placed.groupBy("sig").agg(F.min(F.struct("alone", "part")).alias("_x"), F.max(F.struct("alone", "part")).alias("_y")).filter("_x <> _y").select("sig")
     open_ = placed.join(mixed, "sig", "left_semi")
-    other = open_.select("sig", F.col("cls").alias("_c"), F.col("n_shingles").alias("_n"), F.col("part").alias("_p"), F.col("alone").alias("_s"))
-    across = open_.join(other, "sig").filter((F.col("cls") < F.col("_c")) & ((F.col("part") != F.col("_p")) | (F.col("alone") != F.col("_s"))) & fits)
-    pairs = across.groupBy(F.col("cls").alias("a"), F.col("_c").alias("b"), "list").agg(F.count(F.lit(1)).alias("_shared"), F.max("n_shingles").alias("x"), F.max("_n").alias("y")).filter(~F.col("list") | (F.col("_shared") >= shared_needed(F.col("x"), F.col("y"))))
-    more = settled(verified(settled(pairs.select("a", "b").distinct()), sets))
+    other = open_.select("sig", F.col("cls").alias("_c"), F.col("n_shingles").alias("_n"), F.col("at").alias("_at"), F.col("part").alias("_p"), F.col("alone").alias("_s"))
+    # in the list of the first shingle that two prefixes share, all they share lies from there on: too little is left in
+    # some lists of a pair that links, but never in that one
+    within = F.least(prefix_of(F.col("n_shingles")) - F.col("at"), prefix_of(F.col("_n")) - F.col("_at")) >= shared_needed(F.col("n_shingles"), F.col("_n"))
+    across = open_.join(other, "sig").filter((F.col("cls") < F.col("_c")) & ((F.col("part") != F.col("_p")) | (F.col("alone") != F.col("_s"))) & fits & (~F.col("list") | within))
+    pairs = across.select(F.col("cls").alias("a"), F.col("_c").alias("b")).distinct()
+    more = settled(verified(settled(pairs), sets))
     if not more.isEmpty():
         parts = components(links.unionByName(more), classes.select("cls", "label"))
     named = classes.join(parts.withColumnRenamed("label", "_l"), "cls", "left").select("cls", F.coalesce("_l", "label").alias("component_id"))
