@@ -31,12 +31,15 @@ def settled(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the cluster's shared folder.
 
     The folder is ``spark.checkpoint.dir`` of the session; only where that is unset, as in tests on
-    one machine, a temporary folder takes its place.
+    one machine, a temporary folder takes its place.  What the rows were shuffled through is not needed any more, but
+    Spark keeps those files until the driver's garbage is collected, hence the request for that.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    done = df.checkpoint()
+    sc._jvm.System.gc()
+    return done
 
 
 def words_in(text: Column) -> Column:
