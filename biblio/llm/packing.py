@@ -1,13 +1,20 @@
 """Operator 9: lexical retrieval packing.
 
-Each scanned partition is cut into shards of about ``SHARD_BYTES`` of text.  A shard's documents are
-tokenised and indexed by BM25 over its words.  A document fills whole windows by itself; what is left
-of it is a seed, or joins a seed's window: the seed's index query returns its best neighbours that
-are still unused, which fill the window greedily, the last one cut to fit.  The end of a shard is cut
-into sequences whose lengths are powers of two, so nothing is padded.
-
-Shards are a parameter of the retrieval, not a cap: every document of every shard is packed, whole.
-A task holds one shard at a time (or one longer document).
+Shards are lexical: a document's place is told by its heaviest terms that others have too, by document
+frequencies over the whole corpus, and the corpus is shuffled into the order of these.  Copies meet so
+wherever they lie in the files, and documents of one term lie together.  Each range of that order is cut
+into shards of about ``SHARD_BYTES`` of text, where the leading term changes if it can; a term of more
+documents than a shard holds goes on by the next terms, and equal ones by a hash, over several.
+
+A shard's documents are tokenised and indexed by BM25 over its words, weighted by the corpus.  A document
+fills whole windows by itself; what is left of it is a seed, or joins a seed's window: the seed's index
+query, of all its words, returns its best neighbours that are still unused, which fill the window greedily,
+the last one cut to fit.  The end of a shard is cut into sequences whose lengths are powers of two, so
+nothing is padded.
+
+Every document of every shard is packed, whole.  A task holds one shard at a time (or one longer document)
+and one Arrow batch.  Document frequencies are those of ``1 << DF_BITS`` hash buckets; rare words of a bucket
+count as one there, in weights only.
 
 Defined cases: null or empty text is the end id alone; equal texts and repeated rows are packed each
 on their own; ties of a score go to the earlier document; an empty table gives an empty result.
@@ -22,14 +29,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .tables import in_batches, table
-from .textbuf import runs, span_hash, trimmed, words
+from .tables import in_batches, table, with_arrays
+from .textbuf import as_long, runs, span_hash, trimmed, words
 
 WINDOW = 2048
 END_ID = 1
 SHARD_BYTES = 4 << 20
-QUERY_TERMS = 24
+DF_BITS = 20
+PATH = 4  # terms that tell a document's place
+#: Terms of so many documents lead, heaviest first; those that fewer share follow.
+SUPPORT = 16
 K1, B = 1.2, 0.75
 CACHE_WORDS = 400_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -126,41 +137,137 @@ def encode(path: str, raw: np.ndarray, offsets: np.ndarray):
     into = np.cumsum(n) - n + doc  # each document before has one end id
     inner = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     ids[np.repeat(into, n) + inner] = pool[np.repeat(pool_at[term], n) + inner]
-    return ids, bounds, doc, term
+    return ids, bounds, doc, term, uniq
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - DF_BITS)).astype(np.int64)
+
+
+def doc_terms(raw: np.ndarray, offsets: np.ndarray):
+    """(doc, word hash, times) of each document's distinct words, by document, and its number of words."""
+    start, end, counts = words(raw, offsets)
+    h = span_hash(raw, start, end)
+    d = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((h, d))
+    h, d = h[order], d[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+    first = np.flatnonzero(new)
+    return d[first], h[first], np.diff(np.append(first, len(h))), counts
+
+
+def frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int, float]:
+    """Documents of each hash bucket of words, all documents, and their mean number of words."""
+
+    def per_partition(batches):
+        total = np.zeros((1 << DF_BITS) + 2, np.int64)
+        for batch in trimmed(batches):
+            for _, n, raw, offsets in runs(batch.column(0)):
+                _, h, _, counts = doc_terms(raw, offsets)
+                total[:-2] += np.bincount(bucket(h), minlength=1 << DF_BITS)
+                total[-2:] += n, int(counts.sum())
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], names=["bucket", "n"])
+
+    rows = in_batches(docs.select(text), per_partition, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros((1 << DF_BITS) + 2, np.int64)
+    total[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
+    n_docs = int(total[-2])
+    return np.minimum(total[:-2], n_docs), n_docs, max(total[-1] / max(n_docs, 1), 1e-9)
+
+
+def idf_of(df: np.ndarray, n_docs: int) -> np.ndarray:
+    return np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+
+
+def paths(raw: np.ndarray, offsets: np.ndarray, df: np.ndarray, n_docs: int, mean: float) -> np.ndarray:
+    """The ``PATH`` terms of each document that tell its place, 0 where it has fewer."""
+    d, h, tf, size = doc_terms(raw, offsets)
+    own = df[bucket(h)]
+    shared = own > 1
+    d, h, tf, own = d[shared], h[shared], tf[shared], own[shared]
+    weight = idf_of(own, n_docs) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[d] / mean))
+    order = np.lexsort((h, -weight, own < SUPPORT, d))
+    d, h = d[order], h[order]
+    rank = np.arange(len(d)) - np.searchsorted(d, np.arange(len(size)))[d] if len(d) else np.zeros(0, np.int64)
+    out = np.zeros((len(size), PATH), np.int64)
+    top = rank < PATH
+    out[d[top], rank[top]] = as_long(h[top])
+    return out
+
+
+def lexical(docs: DataFrame, frequency: tuple[np.ndarray, int, float]) -> DataFrame:
+    """(doc_id, text, lead) in ranges of the order of their paths."""
+    shared = docs.sparkSession.sparkContext.broadcast((frequency[0].astype(np.int32), *frequency[1:]))
+
+    def compute(texts: pa.Array):
+        found = [paths(raw, offsets, *shared.value) for _, _, raw, offsets in runs(texts)]
+        all_ = np.concatenate([np.zeros((0, PATH), np.int64), *found])
+        return [pa.array(all_[:, k]) for k in range(PATH)]
+
+    names = [f"_t{k}" for k in range(PATH)]
+    placed = with_arrays(docs, compute, ", ".join(f"{n} long" for n in names), ["text"]).withColumn("_h", F.xxhash64("doc_id", "text"))
+    return placed.repartitionByRange(*names, "_h").sortWithinPartitions(*names, "_h", "doc_id", "text").select("doc_id", "text", F.col(names[0]).alias("lead"))
+
+
+def shards_of(batches, shard_bytes: int):
+    """(keys, documents, bytes, offsets) of each shard of a range, over any number of batches."""
+    keys, lead = pa.array([], pa.int64()), np.zeros(0, np.int64)
+    raw, offsets = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    more = True
+    batches = iter(batches)
+    while more:
+        batch = next(batches, None)
+        more = batch is not None
+        for row, n, r, o in runs(batch.column(1), 1 << 60) if more else ():
+            keys = pa.concat_arrays([keys, batch.column(0).slice(row, n)])
+            lead = np.concatenate([lead, batch.column(2).slice(row, n).to_numpy(zero_copy_only=False)])
+            raw, offsets = np.concatenate([raw, r]), np.concatenate([offsets, o[1:] + offsets[-1]])
+        at, n = 0, len(lead)
+        while at < n:
+            upto = max(int(np.searchsorted(offsets, offsets[at] + shard_bytes, "right")) - 1, at + 1)
+            if upto >= n and more:
+                break
+            if upto < n:
+                half = max(int(np.searchsorted(offsets, offsets[at] + shard_bytes // 2)), at + 1)
+                turns = np.flatnonzero(lead[half : upto + 1] != lead[half - 1 : upto])
+                upto = half + int(turns[-1]) if len(turns) else upto
+            yield keys[at:upto], upto - at, raw[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]
+            at = upto
+        keys, lead, raw, offsets = keys[at:], lead[at:], raw[offsets[at] :], offsets[at:] - offsets[at]
 
 
 class Bm25:
-    """Inverted index of the documents of a shard."""
+    """Inverted index of the documents of a shard; ``idf`` of each term is the shard's own if not given."""
 
-    def __init__(self, n_docs: int, doc: np.ndarray, term: np.ndarray):
+    def __init__(self, n_docs: int, doc: np.ndarray, term: np.ndarray, idf: np.ndarray | None = None):
         n_terms = int(term.max()) + 1 if len(term) else 1
         pair, tf = np.unique(doc * n_terms + term, return_counts=True)
         d, t = pair // n_terms, pair % n_terms
         df = np.bincount(t, minlength=n_terms)
-        use = (df[t] > 1) & (df[t] <= max(2, n_docs // 10))  # a word of one document or of very many finds no neighbour
+        use = df[t] > 1  # a word of one document finds no neighbour
         size = np.bincount(doc, minlength=n_docs)
         mean = max(size.mean(), 1e-9) if n_docs else 1
         d, t, tf = d[use], t[use], tf[use]
-        idf = np.log(1 + (n_docs - df + 0.5) / (df + 0.5))
+        idf = idf_of(df, n_docs) if idf is None else idf
         weight = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[d] / mean))
         by_term = np.argsort(t, kind="stable")
         self.n = n_docs
         self.post_doc, self.post_weight = d[by_term], weight[by_term]
         self.post_at = np.concatenate([[0], np.cumsum(np.bincount(t, minlength=n_terms))])
-        strong = np.lexsort((-weight, d))  # a document's heaviest terms first
-        self.doc_term = t[strong]
-        self.doc_at = np.searchsorted(d[strong], np.arange(n_docs + 1))
+        self.doc_term = t  # by document, as ``pair`` is
+        self.doc_at = np.searchsorted(d, np.arange(n_docs + 1))
 
     def neighbours(self, seed: int) -> np.ndarray:
-        """Documents that share a query term with the seed, best first."""
-        terms = self.doc_term[self.doc_at[seed] : min(self.doc_at[seed + 1], self.doc_at[seed] + QUERY_TERMS)]
+        """Documents that share a word with the seed, best first."""
+        terms = self.doc_term[self.doc_at[seed] : self.doc_at[seed + 1]]
         if not len(terms):
             return np.zeros(0, np.int64)
-        spans = [slice(self.post_at[t], self.post_at[t + 1]) for t in terms.tolist()]
-        docs = np.concatenate([self.post_doc[s] for s in spans])
-        score = np.bincount(docs, weights=np.concatenate([self.post_weight[s] for s in spans]), minlength=self.n)
-        found = np.unique(docs)
-        return found[np.lexsort((found, -score[found]))]
+        spans = [slice(a, b) for a, b in zip(self.post_at[terms].tolist(), self.post_at[terms + 1].tolist(), strict=True)]
+        score = np.bincount(np.concatenate([self.post_doc[s] for s in spans]), weights=np.concatenate([self.post_weight[s] for s in spans]), minlength=self.n)
+        found = np.flatnonzero(score > 0)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack(sizes: np.ndarray, index: Bm25) -> list[tuple[int, int, int, int, int]]:
@@ -233,25 +340,25 @@ def packed(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     """Pieces of all documents; columns are those of ``SCHEMA``."""
     path = path or default_tokenizer()
 
+    source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    df, n_docs, mean = frequencies(source, "text")
+    shared = docs.sparkSession.sparkContext.broadcast(df.astype(np.int32))
+
     def per_partition(batches):
         first = TaskContext.get().partitionId() << 36
-        for batch in trimmed(batches):
-            keys = batch.column(0)
-            for row, n, raw, offsets in runs(batch.column(1), shard_bytes):
-                ids, bounds, doc, term = encode(path, raw, offsets)
-                sizes = np.diff(bounds)
-                pieces = np.array(pack(sizes, Bm25(n, doc, term)), np.int64).reshape(-1, 5)
-                d, start, length, seq, offset = pieces.T
-                begin = bounds[d] + start
-                data = memoryview(ids).cast("B")
-                crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
-                columns = [keys.take(pa.array(d + row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[d]), pa.array(seq + first), pa.array(offset)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-                first += int(seq.max()) + 1 if len(seq) else 0
-
-    from pyspark.sql import functions as F
-
-    return in_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), per_partition, SCHEMA)
+        for keys, n, raw, offsets in shards_of(trimmed(batches), shard_bytes):
+            ids, bounds, doc, term, uniq = encode(path, raw, offsets)
+            sizes = np.diff(bounds)
+            pieces = np.array(pack(sizes, Bm25(n, doc, term, idf_of(shared.value[bucket(uniq)], n_docs))), np.int64).reshape(-1, 5)
+            d, start, length, seq, offset = pieces.T
+            begin = bounds[d] + start
+            data = memoryview(ids).cast("B")
+            crc = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+            columns = [keys.take(pa.array(d)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[d]), pa.array(seq + first), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            first += int(seq.max()) + 1 if len(seq) else 0
+
+    return in_batches(lexical(source, (df, n_docs, mean)), per_partition, SCHEMA)
 
 
 def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -331,6 +332,27 @@ def test_packing_joins_neighbours():
     assert index.neighbours(3)[1] == 23 or index.neighbours(3)[0] == 23
 
 
+def test_packing_finds_neighbours_in_other_files(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"topic{i}word{j}" if j % 3 else f"the{j}" for j in rng.integers(0, 60, 150)) for i in range(30)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(100 + k, t) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "a"))
+    docs = spark.read.parquet(str(tmp_path / "a")).repartition(2, F.col("doc_id") < 100)
+    sequences = defaultdict(set)
+    for r in packing.packed(docs).collect():
+        sequences[r["doc_id"]].add(r["sequence_id"])
+    assert sum(bool(sequences[k] & sequences[100 + k]) for k in range(30)) >= 26
+
+
+def test_shards_span_batches():
+    texts = [f"{k} " * 5 for k in range(50)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([k]), pa.array([t]), pa.array([k // 10])], names=["doc_id", "text", "lead"]) for k, t in enumerate(texts)]
+    got = list(packing.shards_of(batches, 180))
+    assert [k for keys, *_ in got for k in keys.to_pylist()] == list(range(50))
+    assert [raw.tobytes().decode() for _, _, raw, _ in got] == ["".join(texts[a:b]) for a, b in zip(np.cumsum([0, *(g[1] for g in got)])[:-1], np.cumsum([g[1] for g in got]), strict=True)]
+    assert max(g[1] for g in got) > 5 and all(keys[-1].as_py() % 10 == 9 for keys, *_ in got)
+
+
 def test_plain_words_are_encoded_alike():
     words = ["the", "don't", "it's", "naïve!!", "ñandú's", "É", "ß", "İx", "²x", "x²", "a_b", "漢字,", "a1b2", "%%%", "ª", "a<|endoftext|>", "<|endoftext|>", "x|", "é́", "the."]
     tok = packing.tokenizer(packing.default_tokenizer())[0]
