@@ -17,8 +17,9 @@ verified, excluded by a bound, or in one component already; none is capped.
 Equal sets are one class, known by a 64-bit digest.  Shingles are known by 64-bit hashes.
 
 Defined cases: null text and text without words have an empty set and link with nothing; fewer words than a
-shingle make one shingle of the whole; repeated rows share a class; ``doc_id`` names a document, and a null
-one gets the smallest id of its class; an empty table gives an empty result.
+shingle make one shingle of the whole; repeated rows share a class; a component is known by its smallest class
+and named by its smallest id, so that documents with a null ``doc_id`` link like any other, and only a component
+without any id has a null name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -227,11 +228,14 @@ def components(links: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, n_shingles, component_id, cls) of every document; ``row`` is its ``_row`` column or 0."""
+    """(_row, key, n_shingles, component_id, _component) of every document; ``_row`` is its column or 0.
+
+    ``_component`` is the smallest class of the component, which tells components apart whatever their ids are.
+    """
     source = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), (F.col("_row") if "_row" in docs.columns else F.lit(0).cast("long")).alias("_row"))
     counts, small = sketch(source, "_text")
     own = settled(signatures(source, counts, small, "_text").drop("_text"))
-    classes = own.filter("n_shingles > 0").groupBy("cls").agg(F.min("_id").alias("label"))
+    classes = own.filter("n_shingles > 0").groupBy("cls").agg(F.min("_id").alias("_name")).withColumn("label", F.col("cls"))
     entries = own.select(F.posexplode("by_list").alias("at", "sig"), F.lit(True).alias("list"), "cls", "n_shingles").unionByName(own.select(F.lit(0).alias("at"), F.explode("by_subset").alias("sig"), F.lit(False).alias("list"), "cls", "n_shingles"))
     common = settled(entries.groupBy("sig").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).filter("_a <> _b").select("sig"))
     members = narrow_join(entries, common, "sig").distinct()
@@ -242,6 +246,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     # one representative text of each class that may have partners
     who = settled(own.filter("size(by_list) + size(by_subset) > 0").join(partners, "cls", "left_semi").groupBy("cls").agg(F.min("_id").alias("_id")))
     texts = narrow_join(source.select("_id", "_text"), who.select("_id").distinct(), "_id", "left_semi")
+    if not who.filter("_id is null").isEmpty():  # classes whose rows all have null ids
+        texts = texts.unionByName(source.filter("_id is null").select("_id", "_text"))
     sets = settled(with_arrays(texts, set_of, "cls long, members array<long>", ["_text"]).drop("_text", "_id").join(partners, "cls", "left_semi").dropDuplicates(["cls"]))
     fits = (5 * F.least("n_shingles", "_n") >= 4 * F.greatest("n_shingles", "_n"))
     # the member that shares the largest part of its prefix scans the list: among near copies, what they are copies of
@@ -261,8 +267,10 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     more = settled(verified(settled(pairs), sets))
     if not more.isEmpty():
         parts = components(links.unionByName(more), classes.select("cls", "label"))
-    named = classes.join(parts.withColumnRenamed("label", "_l"), "cls", "left").select("cls", F.coalesce("_l", "label").alias("component_id"))
-    return own.select("_row", "_id", "n_shingles", "cls").join(named, "cls", "left").select("_row", F.col("_id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"))
+    joined = classes.select("cls", "_name").join(parts.select("cls", F.col("label").alias("_component")), "cls", "left")
+    least = settled(joined.filter("_component is not null").groupBy("_component").agg(F.min("_name").alias("_least")))
+    named = narrow_join(joined, least, "_component", "left").select("cls", F.coalesce("_component", "cls").alias("_component"), F.when(F.col("_component").isNull(), F.col("_name")).otherwise(F.col("_least")).alias("component_id"))
+    return own.select("_row", "_id", "n_shingles", "cls").join(named, "cls", "left").select("_row", F.col("_id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_component")
 
 
 def set_of(texts: pa.Array):
@@ -279,10 +287,13 @@ def set_of(texts: pa.Array):
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one row of each component, that of the smallest key, and all rows without words."""
+    """``docs`` with one row of each component, that of the smallest key, and all rows without words.
+
+    Rows with a null key are documents of their own, and come after others of their component.
+    """
     rows = docs.withColumn("_row", F.monotonically_increasing_id())
     found = settled(linked(rows, key, text).filter("n_shingles > 0"))
-    first = found.groupBy("component_id").agg(F.min(F.struct(F.col(key).isNull(), key, "_row")).getField("_row").alias("_row"))
+    first = found.groupBy("_component").agg(F.min(F.struct(F.col(key).isNull(), key, "_row")).getField("_row").alias("_row"))
     others = settled(found.join(first.select("_row"), "_row", "left_anti").select("_row"))
     return narrow_join(rows, others, "_row", "left_anti").drop("_row")
 

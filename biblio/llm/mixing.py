@@ -49,8 +49,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
     return sources.select("_k", "_size", F.least(F.lit(most) * F.col("_size"), F.lit(level) * F.col("_weight")).alias("target"))
 
 
-def sample(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 2) -> DataFrame:
-    """(key, size, source_size, target, taken, copies, order_odds) of each document.
+def sample(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, size, source_size, target, taken, copies, order_odds) of each document, and the columns to carry.
 
     ``taken`` counts words, ``copies`` the times a document is wanted whole (a part of at least half of
     its words counts as one).
@@ -62,6 +62,7 @@ def sample(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
             F.concat_ws("", F.when(F.col(source).isNotNull(), F.lit("s")), F.col(source)).alias("_k"),
             words_in(F.col(text)).alias("size"),
             unit(key, F.coalesce(F.col(text), F.lit("")), seed=seed).alias("_u"),
+            *carry,
         ).withColumn("_b", F.floor(F.col("_u") * BUCKETS).cast("int"))
     )
     intervals = settled(narrow.groupBy("_k", "_b").agg(F.min("source").alias("source"), F.sum("size").alias("_words")))
@@ -86,14 +87,20 @@ def sample(docs: DataFrame, key: str = "doc_id", source: str = "source", text: s
             (F.col("_whole") * F.col("size") + F.col("_part")).alias("taken"),
             F.when(F.col("size") == 0, 0).otherwise(F.col("_whole") + F.when(2 * F.col("_part") >= F.col("size"), 1).otherwise(0)).alias("copies"),
             F.when((chance > 0) & (chance < 1), odds).alias("order_odds"),
+            *carry,
         )
     )
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with every document repeated as often as the mix wants it whole; rows of one key go together."""
-    wanted = sample(docs, key, **how).filter("copies > 0").groupBy(key).agg(F.max("copies").cast("int").alias("_copies"))
-    return narrow_join(docs, settled(wanted), key).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """``docs`` with every document repeated as often as the mix wants it whole; rows of one key go together.
+
+    A row with a null key goes by its content, so that only rows that agree in every column go together.
+    """
+    content = F.xxhash64(*(x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))))
+    keyed = docs.withColumn("_mix", F.struct(F.col(key).alias("key"), F.when(F.col(key).isNull(), content).alias("content")))
+    wanted = sample(keyed, key, carry=("_mix",), **how).filter("copies > 0").groupBy("_mix").agg(F.max("copies").cast("int").alias("_copies"))
+    return narrow_join(keyed, settled(wanted), "_mix").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -297,6 +297,21 @@ def test_deduplicated_keeps_one_of_each(spark, tables, docs):
     assert sorted(kept) == sorted(k for k, (n, c) in want.items() if k == c)
 
 
+def test_null_ids_are_documents(spark, tmp_path):
+    words = [f"w{i}" for i in range(300)]
+    texts = [" ".join(words[100 * k : 100 * k + 60]) for k in range(3)]
+    near = [t.replace(t.split()[30], "changed") for t in texts]
+    rows = [(None, t, "s") for t in texts + near[:2]] + [(7, near[2], "s"), (8, "other words that stand alone here", "s"), (None, "one more text without an id", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["n_shingles"], r["component_id"] or 0) for r in jaccard.op8_jaccard_join(spark, str(tmp_path)).collect())
+    assert got == [(2, 0), (2, 8), *[(56, 0)] * 4, *[(56, 7)] * 2]
+    kept = jaccard.deduplicated(docs)
+    parts = [{r["text"] for r in kept.collect()} & set(pair) for pair in zip(texts, near, strict=True)]
+    assert kept.count() == 5 and [len(p) for p in parts] == [1, 1, 1] and parts[2] == {near[2]}
+    assert {r["text"] for r in mixing.mixed(docs, share=2.0).collect()} == {r[1] for r in rows}
+
+
 def test_packing(spark, tables, docs):
     from tokenizers import Tokenizer
 
