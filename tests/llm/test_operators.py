@@ -312,6 +312,13 @@ def test_null_ids_are_documents(spark, tmp_path):
     assert {r["text"] for r in mixing.mixed(docs, share=2.0).collect()} == {r[1] for r in rows}
 
 
+def test_deduplicated_does_not_depend_on_the_split(spark):
+    words = [f"w{i}" for i in range(900)]
+    rows = [(2 * k + j, " ".join([*words[60 * k : 60 * k + 59], f"end{j}"]), f"s{k}") for k in range(15) for j in range(2)]
+    docs = spark.createDataFrame([*rows, rows[4], rows[4]], "doc_id long, text string, source string").repartition(3)
+    assert sorted(tuple(r) for r in jaccard.deduplicated(docs).collect()) == sorted(r for r in rows if r[0] % 2 == 0)
+
+
 def test_packing(spark, tables, docs):
     from tokenizers import Tokenizer
 
