@@ -13,17 +13,17 @@ ones are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import offsets_before, settled, table
+from .tables import narrow_join, offsets_before, settled, table
 
 SHARDS = 24
 BUCKET_BYTES = 1 << 20
 
 
-def shuffled(df: DataFrame, size: str, identity: list[str], shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = 10) -> DataFrame:
-    """``df`` plus ``shard`` and ``slot``, its random place; ``size`` is the bytes column, ``identity`` feeds the hash."""
+def shuffled(df: DataFrame, size: str | Column, identity: list[str], shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, seed: int = 10) -> DataFrame:
+    """``df`` plus ``shard`` and ``slot``, its random place; ``size`` is a record's bytes, ``identity`` feeds the hash."""
     keep = [c for c in df.columns if c not in ("shard", "slot")]
     total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     n_rows, buckets = total["n"], max(1, -(-(total["b"] or 0) // bucket_bytes))
@@ -31,7 +31,7 @@ def shuffled(df: DataFrame, size: str, identity: list[str], shards: int = SHARDS
     scattered = df.withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), *identity, F.spark_partition_id()), F.lit(buckets)))
     written = settled(scattered.groupBy("_b").agg(F.shuffle(F.array_sort(F.collect_list(record)), F.lit(seed)).alias("_rows")))
     starts = offsets_before(written.select("_b", F.size("_rows").alias("_n")), "_b", "_n", "_start").select("_b", "_start")
-    placed = written.join(starts, "_b").select(F.posexplode("_rows").alias("_i", "_row"), "_start").withColumn("_at", F.col("_start") + F.col("_i"))
+    placed = narrow_join(written, settled(starts), "_b").select(F.posexplode("_rows").alias("_i", "_row"), "_start").withColumn("_at", F.col("_start") + F.col("_i"))
     shard = F.expr(f"cast((_at * {shards}) div {max(n_rows, 1)} as int)")
     first = F.expr(f"(shard * {n_rows}L + {shards - 1}) div {shards}")
     return placed.withColumn("shard", shard).withColumn("slot", F.col("_at") - first).select("_row.*", "shard", "slot")
@@ -39,6 +39,6 @@ def shuffled(df: DataFrame, size: str, identity: list[str], shards: int = SHARDS
 
 def op10_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    out = shuffled(docs, "size", ["doc_id", "text_crc32"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(raw) + 8).cast("long")
+    out = shuffled(table(spark, sf_dir, "documents"), size, ["doc_id", "text"])  # whole documents; digests are of what comes out
+    return out.select("doc_id", size.alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

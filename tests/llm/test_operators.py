@@ -393,6 +393,15 @@ def test_sharding(spark, tables, docs):
     assert max(counts) - min(counts) <= 1 and all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_sharding_moves_whole_documents(spark, tables, monkeypatch):
+    written = []
+    settled = sharding.settled
+    monkeypatch.setattr(sharding, "settled", lambda df: written.append(settled(df)) or written[-1])
+    sharding.op10_external_shuffle(spark, tables)
+    moved = [tuple(x) for r in written[0].collect() for x in r["_rows"]]
+    assert Counter(moved) == Counter(tuple(r) for r in spark.read.parquet(f"{tables}/documents.parquet").collect())
+
+
 def test_sharding_is_a_shuffle(spark):
     df = spark.range(0, 4000, 1, 2).select(F.col("id").alias("doc_id"), F.lit(1000).cast("long").alias("size"))
     got = [r["doc_id"] for r in sharding.shuffled(df, "size", ["doc_id"], shards=1, bucket_bytes=1 << 18).orderBy("slot").collect()]
