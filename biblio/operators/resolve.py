@@ -47,23 +47,32 @@ def name_blocks(name: Column) -> Column:
     return F.array_distinct(F.concat(tokens(name), grams))
 
 
-#: Authors up to which a roster is broadcast and scanned.
-SMALL_ROSTER = 5_000
+def name_keys(df: DataFrame, names: Column, other: DataFrame) -> DataFrame:
+    """``df`` with each of its keys ``_k``: ``name_blocks``, and the names of one to three characters in ``other`` (_short)
+    that its names contain, as those have no 4-gram."""
+    inner = F.flatten(F.transform(names, lambda n: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(n), F.lit(1))), lambda i: n.substr(i, w))))))
+    own = df.withColumn("_k", F.explode(F.array_distinct(F.flatten(F.transform(names, name_blocks)))))
+    within = df.withColumn("_k", F.explode(F.array_distinct(inner))).join(other.withColumnRenamed("_short", "_k"), "_k", "left_semi")
+    return own.unionByName(within)
+
+
+def short_names(df: DataFrame, names: Column) -> DataFrame:
+    return df.select(F.explode(names).alias("_short")).filter(F.length("_short").between(1, 3)).distinct()
 
 
 def candidates(entities: DataFrame, authors: DataFrame, min_score: float, k: int, small: bool | None = None) -> DataFrame:
     """(entity, rank, author, score): the k best authors above a score; ties go to the earlier author.
 
-    ``entities`` has (entity, name), ``authors`` (author, pos, variants[]), all folded as ``author_name``.  A roster that
-    is small (counted, if not said) is broadcast and scanned; otherwise pairs come from shared name parts and 4-grams.
+    ``entities`` has (entity, name), ``authors`` (author, pos, variants[]), all folded as ``author_name``.  Pairs come from
+    shared name parts, 4-grams and contained short names, whatever the sizes; only where ``small`` is said, the roster is
+    broadcast and scanned, which gives the same rows.
     """
-    if small is None:
-        small = authors.limit(SMALL_ROSTER + 1).count() <= SMALL_ROSTER
     if small:
         pairs = entities.join(F.broadcast(authors), best_variant_similarity(F.col("name"), F.col("variants")) > min_score)
     else:
-        left = entities.withColumn("_k", F.explode(name_blocks(F.col("name"))))
-        right = authors.withColumn("_k", F.explode(F.array_distinct(F.flatten(F.transform("variants", name_blocks)))))
+        theirs, ours = F.filter("variants", lambda v: v.isNotNull()), F.filter(F.array("name"), lambda v: v.isNotNull())
+        left = name_keys(entities, ours, short_names(authors, theirs))
+        right = name_keys(authors, theirs, short_names(entities, ours))
         ids = left.select("entity", "_k").join(right.select("author", "_k"), "_k").select("entity", "author").distinct()
         pairs = ids.join(entities, "entity").join(authors, "author")
     scored = pairs.withColumn("score", best_variant_similarity(F.col("name"), F.col("variants"))).filter(F.col("score") > min_score)

@@ -179,6 +179,16 @@ def test_waterfall_and_ties(spark):
     assert values(small, "entity", "rank", "author") == values(large, "entity", "rank", "author")
 
 
+def test_short_names_match_at_any_size(spark, monkeypatch):
+    entities = frame(spark, "entity string, name string", ("e1", "ana"), ("e2", "rui oliveira"), ("e3", "mariana souza"), ("e4", "x"), ("e5", None), ("e6", ""))
+    authors = frame(spark, "author string, pos int, variants array<string>", ("a", 1, ["mariana souza", None]), ("b", 2, ["li"]), ("c", 3, ["ana", "a"]), ("d", 4, ["joana max"]), ("e", 5, [""]))
+    want = resolve.candidates(entities, authors, 0.2, 3, small=True)
+    monkeypatch.setattr(resolve, "SMALL_ROSTER", 0, raising=False)
+    got = resolve.candidates(entities, authors, 0.2, 3)
+    assert values(got, "entity", "rank", "author", "score") == values(want, "entity", "rank", "author", "score")
+    assert ("e2", "b") in values(got, "entity", "author") and ("e1", "a") in values(got, "entity", "author")
+
+
 def test_token_roster(spark):
     roster = frame(spark, "entity string, pos int, name string", ("a", 1, "José da Silva"), ("b", 2, "Ana Maria Braga Costa"))
     names = frame(spark, "name string", ("SILVA, Jose",), ("Ana M. Braga Costa Maria",), ("Silva",))
