@@ -28,6 +28,7 @@ from .textbuf import LOWER, runs
 
 BLOCK = 512
 TRAIN_BYTES = 24_000
+TRAIN_SHARES = 12  # a text gives at most this part of a language's bytes: its first 2,000 characters
 TRAIN_DOCS = 64
 MAX_LANGUAGES = 64
 _FLAG = np.int32(1 << 30)
@@ -148,7 +149,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
         have = samples.get(row["lang"], "")
         if row["text"] not in texts and taken.get(row["lang"], 0) < train_docs and len(have) < train_bytes:
             texts.add(row["text"])
-            share = max(train_bytes // 12, 1)  # several texts, so that one long or odd text does not stand for its language
+            share = max(train_bytes // TRAIN_SHARES, 1)  # several texts, so that one long or odd text does not stand for its language
             samples[row["lang"]] = (have + " " + row["text"][:share])[:train_bytes]
             taken[row["lang"]] = taken.get(row["lang"], 0) + 1
     return build(samples)
@@ -181,8 +182,12 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is told: those with letters, for which one language needs fewest phrases."""
-    return identify(docs, learn(docs)).filter("lang_pred <> 'und' and score > 0").select(*docs.columns)
+    """The documents whose language is told: those with letters (ties go to the first language by name).
+
+    Where no language could be learned nothing is told of any document, and all stay.
+    """
+    model = learn(docs)
+    return identify(docs, model).filter("lang_pred <> 'und'").select(*docs.columns) if model.languages else docs
 
 
 def held_out(key: str = "doc_id", mod: int = 5, rest: int = 0):

@@ -52,6 +52,13 @@ def test_language_undetermined_and_bounds(spark, tables):
     assert all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_identified_keeps_ties_and_unlabelled(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "abcabc", None), (2, "123", None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in language.identified(docs).orderBy("doc_id").collect()] == [1, 2]
+    monkeypatch.setattr(language, "learn", lambda d: language.build({"a": "abcabcabc", "b": "abcabcabc"}))
+    assert [r["doc_id"] for r in language.identified(docs).collect()] == [1]
+
+
 def test_cross_parsing_counts_longest_matches():
     model = language.build({"a": "abcabcabd", "b": "zzzz"})
     text = b"abcabdxabd"
