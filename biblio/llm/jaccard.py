@@ -1,44 +1,51 @@
 """Operator 8: n-gram Jaccard join, size-aware with a heavy and a light side.
 
 A document's set holds its distinct five-word shingles.  Two sets link when their Jaccard similarity
-is 0.8 or more.  All sets are ordered alike, rare shingles first (rarity by a counting sketch of the
-corpus), so that linked sets share a shingle, or any k of them, in a short prefix:
+is 0.8 or more.  All sets are ordered alike, by hash, with shingles of long lists last, so that linked sets
+share a shingle, or any two of them, in a short prefix:
 
 * light: small sets enumerate the 2-subsets of their prefix, and meet in equal subsets;
 * heavy: larger sets (and those small ones within reach of their sizes) meet in the inverted lists of the
   shingles of their prefix.
 
-The boundary between them is where enumerating subsets would cost more than scanning lists, by the sketch.
-A set that shares fewer prefix shingles than any partner needs is dropped.  Each list is first scanned against
-one member of it; verified links make components, and only pairs of different components, in lists where enough
-of both prefixes is left, are then enumerated and verified.  Every pair within a list is so either
-verified, excluded by a bound, or in one component already; none is capped.
+The boundary between them is where enumerating subsets would cost more than scanning lists, by the lengths of
+all lists.  A list is long if more than ``LONG`` documents have its shingle in their prefix, counted over the
+whole corpus; the ``LONGEST`` longest of these go last.  That order only saves work: any order gives the same links.
+
+Each list is first scanned by one member of it; verified links make components.  Then every member outside of a list's
+largest component meets the members of other components, where enough of both sets is left from there on.  Every
+pair within a list is so either verified, excluded by a bound, or in one component already; none is capped.
+
+Pairs are first held against parity bitmaps: each shingle toggles one bit, so that bitmaps differ in no more bits than
+sets differ in shingles.  What remains is verified on the sets themselves.
 
 Equal sets are one class, known by a 64-bit digest.  Shingles are known by 64-bit hashes.
 
 Defined cases: null text and text without words have an empty set and link with nothing; fewer words than a
-shingle make one shingle of the whole; repeated rows share a class; a component is known by its smallest class
-and named by its smallest id, so that documents with a null ``doc_id`` link like any other, and only a component
-without any id has a null name; an empty table gives an empty result.
+shingle make one shingle of the whole; repeated rows share a class; very long texts are sets like any other; a
+component is known by its smallest class and named by its smallest id, so that documents with a null ``doc_id``
+link like any other, and only a component without any id has a null name; an empty table gives an empty result;
+columns besides key and text are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import in_batches, narrow_join, settled, table, with_arrays
+from .tables import free_name, in_batches, narrow_join, row_digest, settled, table, with_arrays
 from .textbuf import LOWER, as_long, mix, runs, span_hash, trimmed, window_places, windows, words
 
 SHINGLE = 5
-SKETCH_BITS = 17
-#: Cost of one list entry scanned, in signatures enumerated and shuffled.
-SCAN_COST = 1 / 64
+LONG = 64
+LONGEST = 2_000_000
+#: Cost of one pair of a list, in signatures enumerated and shuffled.
+PAIR_COST = 1 / 2
 MOST_SMALL = 64
-#: Linked sets of n and more share one shingle of their prefixes, and one more for every so many of n.
-EXTRA = 16
+#: Entries that a task holds before it passes counts on.
+HELD = 1 << 20
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -64,34 +71,78 @@ def shingles(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return x[new], np.searchsorted(d[new], np.arange(len(counts) + 1))
 
 
+def classes_of(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The digest of each set."""
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5BF03635)), dtype=np.uint64)])
+    return as_long(mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)))
+
+
+def bitmaps(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity bitmaps of all sets, one after the other, and the number of 64-bit words of each.
+
+    A set of n has the power of two of words that gives it n bits or more, so that the larger of two bitmaps can be
+    folded to the size of the other.
+    """
+    n = np.diff(bounds)
+    size = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(n, 64) / 64)).astype(np.int64), 0)
+    first = np.cumsum(size) - size
+    doc = np.repeat(np.arange(len(n)), n)
+    bit = (h & (64 * size[doc] - 1).astype(np.uint64)).astype(np.int64)
+    out = np.zeros(int(size.sum()), np.uint64)
+    np.bitwise_xor.at(out, first[doc] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return as_long(out), size
+
+
 def prefix_size(n, k: int = 1):
     """Length of the prefix in which a set of n shares k with any linked set."""
     return n - (4 * n + 4) // 5 + k
 
 
-def list_prefix(n):
-    """Length of the prefix that a set of n enters in inverted lists: linked sets share several of its shingles."""
-    return prefix_size(n, 1 + n // EXTRA)
+def lists(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum(np.concatenate([np.zeros(1, np.int64), *sizes])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *values])))
+
+
+def classed(source: DataFrame) -> DataFrame:
+    """``source`` with n_shingles, cls and bits in the place of ``_text``."""
+
+    def compute(texts: pa.Array):
+        n, cls, bits, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+        for _, _, raw, offsets in runs(texts):
+            h, bounds = shingles(raw, offsets)
+            n.append(np.diff(bounds))
+            cls.append(classes_of(h, bounds))
+            b, s = bitmaps(h, bounds)
+            bits.append(b)
+            size.append(s)
+        return pa.array(np.concatenate(n)), pa.array(np.concatenate(cls)), lists(bits, size)
+
+    return with_arrays(source, compute, "n_shingles long, cls long, bits array<long>", ["_text"]).drop("_text")
 
 
-def sketch(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Counts of hash buckets over the shingles of all documents, and the size up to which sets are small."""
+def list_lengths(source: DataFrame) -> DataFrame:
+    """(sig, n): documents that have a shingle in the prefix of their set, by hash; sets of up to three have none."""
 
     def per_partition(batches):
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        held, size = [], 0
+
+        def counts():
+            sig, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(as_long(sig)), pa.array(n)], names=["sig", "n"])
+
         for batch in trimmed(batches):
             for _, _, raw, offsets in runs(batch.column(0)):
-                h, _ = shingles(raw, offsets)
-                total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found])], names=["bucket", "n"])
+                h, bounds = shingles(raw, offsets)
+                n = np.diff(bounds)
+                rank = np.arange(len(h)) - np.repeat(bounds[:-1], n)
+                held.append(h[rank < np.repeat(np.where(n > 3, prefix_size(n), 0), n)])
+                size += len(held[-1])
+            if size > HELD:
+                yield counts()
+                held, size = [], 0
+        yield counts()
 
-    rows = in_batches(docs.select(text), per_partition, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
-    usual = np.median(counts)
-    crowd = float((counts * np.maximum(counts - 2 * usual, 0)).sum() / max(counts.sum(), 1))  # others on a shingle's list
-    return counts, boundary(crowd)
+    return in_batches(source.select("_text"), per_partition, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
 
 
 def boundary(crowd: float) -> int:
@@ -99,193 +150,190 @@ def boundary(crowd: float) -> int:
     x = 3
     for n in range(4, MOST_SMALL + 1):
         p = prefix_size(n, 2)
-        if p * (p - 1) / 2 <= list_prefix(n) * (1 + SCAN_COST * crowd):
+        if p * (p - 1) / 2 <= prefix_size(n) * (1 + PAIR_COST * crowd):
             x = n
     return x
 
 
-def signatures(docs: DataFrame, counts: np.ndarray, small: int, text: str) -> DataFrame:
-    """``docs`` plus n_shingles, cls, and the signatures of the first document of a class in a task."""
-    rarity = np.floor(np.log2(counts + 1)).astype(np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+def entries(source: DataFrame, long_lists: tuple[np.ndarray, np.ndarray], small: int) -> DataFrame:
+    """(sig, cls, n, at, long) of the first document of a class in a task; ``at`` is -1 for subsets."""
+    shared = source.sparkSession.sparkContext.broadcast(long_lists)
 
     def per_run(raw, offsets, seen):
+        sig, rarity = shared.value
         h, bounds = shingles(raw, offsets)
         n = np.diff(bounds)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5BF03635)), dtype=np.uint64)])
-        cls = as_long(mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64)))
+        cls = classes_of(h, bounds)
         fresh = np.zeros(len(n), bool)
         for i, c in enumerate(cls.tolist()):
             if n[i] > 3 and c not in seen:  # sets of up to three link with equal sets only
                 seen.add(c)
                 fresh[i] = True
-        doc = np.repeat(np.arange(len(n)), n)
-        keep = fresh[doc]
-        x, d = h[keep], doc[keep]
-        order = np.lexsort((x, shared.value[(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], d))
-        x, d = x[order], d[order]
-        rank = np.arange(len(d)) - np.searchsorted(d, np.arange(len(n)))[d] if len(d) else np.zeros(0, np.int64)
-        by_list = (rank < list_prefix(n[d])) & (5 * n[d] >= 4 * small)
-        token, token_doc = as_long(x[by_list]), d[by_list]
-        subset, subset_doc = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        d = np.repeat(np.arange(len(n)), n)
+        d, x = d[fresh[d]], h[fresh[d]]
+        at = np.searchsorted(sig, as_long(x))
+        at[at == len(sig)] = 0
+        late = np.where(sig[at] == as_long(x), rarity[at], 0) if len(sig) else np.zeros(len(x), np.int64)
+        order = np.lexsort((x, late, d))
+        x, d, late = x[order], d[order], late[order]
+        first = np.searchsorted(d, np.arange(len(n)))
+        rank = np.arange(len(d)) - first[d] if len(d) else np.zeros(0, np.int64)
+        own = np.flatnonzero((rank < prefix_size(n[d])) & (5 * n[d] >= 4 * small))
+        out = [(as_long(x[own]), d[own], rank[own], late[own] > 0)]
         for p in np.unique(prefix_size(n[fresh & (n <= small)], 2)).tolist():
-            own = np.flatnonzero(fresh & (n <= small) & (prefix_size(n, 2) == p))
-            at = np.searchsorted(d, own)[:, None] + np.arange(p)
+            who = np.flatnonzero(fresh & (n <= small) & (prefix_size(n, 2) == p))
+            pre = x[first[who][:, None] + np.arange(p)]
             i, j = np.triu_indices(p, 1)
-            pre = x[at]
-            subset.append(as_long(mix(mix(pre[:, i]) * np.uint64(0xA24BAED4963EE407) + pre[:, j])).ravel())
-            subset_doc.append(np.repeat(own, len(i)))
-        s, sd = np.concatenate(subset), np.concatenate(subset_doc)
-        order = np.argsort(sd, kind="stable")
-        return n, cls, (token, np.bincount(token_doc, minlength=len(n))), (s[order], np.bincount(sd, minlength=len(n)))
+            subset = as_long(mix(mix(pre[:, i]) * np.uint64(0xA24BAED4963EE407) + pre[:, j])).ravel()
+            out.append((subset, np.repeat(who, len(i)), np.full(len(subset), -1), np.zeros(len(subset), bool)))
+        got, doc, place, often = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(got), pa.array(cls[doc]), pa.array(n[doc].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(often)], names=["sig", "cls", "n", "at", "long"])
 
-    def make(seen):
-        def compute(texts: pa.Array):
-            parts = [per_run(raw, offsets, seen) for _, _, raw, offsets in runs(texts)]
-            out = [pa.array(np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)])) for k in (0, 1)]
-            for k in (2, 3):
-                ends = np.cumsum(np.concatenate([[0], *(p[k][1] for p in parts)])).astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *(p[k][0] for p in parts)]))))
-            return out
+    def per_partition(batches):
+        seen: set[int] = set()
+        for batch in trimmed(batches):
+            for _, _, raw, offsets in runs(batch.column(0)):
+                yield per_run(raw, offsets, seen)
 
-        return compute
+    return in_batches(source.select("_text"), per_partition, "sig long, cls long, n int, at int, long boolean")
 
-    return with_arrays(docs, PerTask(make), "n_shingles long, cls long, by_list array<long>, by_subset array<long>", [text])
 
+def met(found: DataFrame) -> DataFrame:
+    """Entries whose list holds two classes or more, each class once in a list."""
+    by_list = Window.partitionBy("sig")
+    short = found.filter(~F.col("long")).withColumn("_a", F.min("cls").over(by_list)).withColumn("_b", F.max("cls").over(by_list)).filter("_a <> _b")
+    return short.select("sig", "cls", "n", "at").distinct().unionByName(found.filter("long").select("sig", "cls", "n", "at").distinct())
 
-class PerTask:
-    """A batch function with a set of its own in every task."""
 
-    def __init__(self, make):
-        self.make = make
+def overlap_needed(a: Column, b: Column) -> Column:
+    return F.floor((4 * (a + b) + 8) / 9)
 
-    def __call__(self, *arrays):
-        if "call" not in self.__dict__:
-            self.call = self.make(set())
-        return self.call(*arrays)
 
-    def __getstate__(self):
-        return {"make": self.make}
+def may_link(n: Column, m: Column, at: Column, place: Column) -> Column:
+    """Whether sets of n and m can link if what they share lies from these places on.
 
+    That holds in the list of the first shingle they share, where any pair that links passes.
+    """
+    left = F.least(n - at, m - place) >= overlap_needed(n, m)
+    return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & ((at < 0) | left)
 
-def overlap_needed(a: Column, b: Column) -> Column:
-    return F.floor((4 * (a + b) + 8) / 9)
 
+def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not differ in more bits than linked sets can."""
+    a = classes.select(F.col("cls").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_left"))
+    b = classes.select(F.col("cls").alias("b"), F.col("n").alias("_m"), F.col("bits").alias("_right"))
+    words_ = F.least(F.size("_left"), F.size("_right"))
 
-def prefix_of(n: Column) -> Column:
-    return n - F.floor((4 * n + 4) / 5) + 1 + F.floor(n / EXTRA)
+    def folded(bits: str) -> Column:
+        halves = F.zip_with(F.slice(bits, 1, words_), F.slice(bits, words_ + 1, words_), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(bits) > words_, halves).otherwise(F.col(bits))
 
+    differ = F.aggregate(F.zip_with(folded("_left"), folded("_right"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.select("a", "b").join(a, "a").join(b, "b").filter(9 * differ <= F.col("_n") + F.col("_m")).select("a", "b")
 
-def shared_needed(a: Column, b: Column) -> Column:
-    """Prefix shingles that linked sets of these sizes share at least.
 
-    One bound is the prefixes' surplus length.  The other: what they share beyond their prefixes lies in the rest of
-    the set whose prefix ends first, whichever that is.
-    """
-    return F.greatest(1 + F.floor(F.least(a, b) / EXTRA), overlap_needed(a, b) - F.greatest(a - prefix_of(a), b - prefix_of(b)))
+def set_of(texts: pa.Array):
+    """The class and the set of each text."""
+    cls, values, sizes = [np.zeros(0, np.int64)], [], []
+    for _, _, raw, offsets in runs(texts):
+        h, bounds = shingles(raw, offsets)
+        cls.append(classes_of(h, bounds))
+        values.append(as_long(h))
+        sizes.append(np.diff(bounds))
+    return pa.array(np.concatenate(cls)), lists(values, sizes)
 
 
-def least_needed(n: Column) -> Column:
-    """``shared_needed`` with the smallest partner there can be."""
-    return 1 + F.floor(F.floor((4 * n + 4) / 5) / EXTRA)
+def sets_of(wanted: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
+    """(cls, members) of the wanted classes, from one text of each."""
+    who = settled(narrow_join(classes.select("cls", "_name"), wanted, "cls", "left_semi"))
+    texts = narrow_join(source.select("_id", "_text"), settled(who.select(F.col("_name").alias("_id")).distinct()), "_id", "left_semi")
+    if not who.filter("_name is null").isEmpty():  # classes whose rows all have null ids
+        texts = texts.unionByName(source.filter("_id is null").select("_id", "_text"))
+    found = with_arrays(texts.select("_text"), set_of, "cls long, members array<long>", ["_text"]).drop("_text")
+    return settled(narrow_join(found, wanted, "cls", "left_semi").dropDuplicates(["cls"]))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, classes: DataFrame, source: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose sets link."""
-
-    def compute(left: pa.Array, right: pa.Array):
-        out = np.zeros(len(left), bool)
-        lv, rv = left.flatten().to_numpy(), right.flatten().to_numpy()
-        lo, ro = (x.offsets.to_numpy() - x.offsets[0].as_py() for x in (left, right))
-        for i in range(len(out)):
-            a, b = lv[lo[i] : lo[i + 1]], rv[ro[i] : ro[i + 1]]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out[i] = 100 * both >= 80 * (len(a) + len(b) - both)
-        return (pa.array(out),)
-
+    near = settled(close(pairs, classes))
+    wanted = settled(near.select(F.explode(F.array("a", "b")).alias("cls")).distinct())
+    sets = sets_of(wanted, classes, source)
     a = sets.select(F.col("cls").alias("a"), F.col("members").alias("_left"))
     b = sets.select(F.col("cls").alias("b"), F.col("members").alias("_right"))
-    joined = pairs.select("a", "b").join(a, "a").join(b, "b")
-    return with_arrays(joined, compute, "linked boolean", ["_left", "_right"]).filter("linked").select("a", "b")
+    both = F.size(F.array_intersect("_left", "_right"))
+    return settled(near.join(a, "a").join(b, "b").filter(100 * both >= 80 * (F.size("_left") + F.size("_right") - both)).select("a", "b"))
 
 
-def components(links: DataFrame, labels: DataFrame) -> DataFrame:
-    """(cls, label): the smallest label reachable over the links, for every class that has one.
+def components(links: DataFrame) -> DataFrame:
+    """(cls, label): the smallest class reachable over the links, for every class that has one.
 
     Labels spread along links and then along labels, so that few rounds reach far.
     """
     edges = settled(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    now = settled(edges.select(F.col("a").alias("cls")).distinct().join(labels, "cls"))
+    now = settled(edges.select(F.col("a").alias("cls")).distinct().withColumn("label", F.col("cls")))
     while True:
         near = edges.join(now.select(F.col("cls").alias("b"), F.col("label").alias("_l")), "b").groupBy("a").agg(F.min("_l").alias("_m")).withColumnRenamed("a", "cls")
         step = now.join(near, "cls").select("cls", F.col("label").alias("_old"), F.least("label", "_m").alias("label"))
-        # a label is the id of a class: follow that class's own label
-        owner = step.join(labels.withColumnRenamed("label", "_own"), "cls").filter(F.col("_own") != F.col("label")).select(F.col("_own").alias("label"), F.col("label").alias("_next"))
-        after = settled(step.join(owner.groupBy("label").agg(F.min("_next").alias("_next")), "label", "left").select("cls", "_old", F.coalesce(F.least("_next", "label"), "label").alias("label")))
+        # a label is a class: follow that class's own label
+        owner = step.select(F.col("cls").alias("_of"), F.col("label").alias("_next"))
+        after = settled(step.join(owner, F.col("label") == F.col("_of"), "left").select("cls", "_old", F.coalesce(F.least("_next", "label"), "label").alias("label")))
         now = after.select("cls", "label")
         if after.filter("label < _old").isEmpty():
             return now
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(_row, key, n_shingles, component_id, _component) of every document; ``_row`` is its column or 0.
+def scanned(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each list's best connected member with the others."""
+    weight = members.groupBy("cls").agg((F.count(F.lit(1)) / F.max("n")).alias("weight"))
+    heads = members.join(weight, "cls").groupBy("sig").agg(F.max(F.struct("weight", "cls", "n", "at")).alias("_h")).select("sig", F.col("_h.cls").alias("_c"), F.col("_h.n").alias("_n"), F.col("_h.at").alias("_at"))
+    fits = may_link(F.col("n"), F.col("_n"), F.col("at"), F.col("_at"))
+    # among near copies, the best connected is what they are copies of
+    return members.join(heads, "sig").filter((F.col("cls") != F.col("_c")) & fits).select(F.least("_c", "cls").alias("a"), F.greatest("_c", "cls").alias("b")).distinct()
+
+
+def across(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within a list.
+
+    One of each pair is outside of the list's largest component, so that a large component costs no pairs in itself.
+    """
+    placed = settled(members.join(parts, "cls", "left").withColumn("part", F.coalesce("label", "cls")).drop("label"))
+    sizes = placed.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("_n"))
+    split = sizes.groupBy("sig").agg(F.max(F.struct("_n", "part")).alias("_h"), F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").select("sig", F.col("_h.part").alias("_main"))
+    open_ = settled(placed.join(split, "sig"))
+    one = open_.filter("part <> _main").drop("_main")
+    other = open_.select("sig", F.col("cls").alias("_c"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("part").alias("_p"), (F.col("part") == F.col("_main")).alias("_in_main"))
+    wanted = (F.col("part") != F.col("_p")) & (F.col("_in_main") | (F.col("cls") < F.col("_c"))) & may_link(F.col("n"), F.col("_n"), F.col("at"), F.col("_at"))
+    return one.join(other, "sig").filter(wanted).select(F.least("cls", "_c").alias("a"), F.greatest("cls", "_c").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", row: Column | None = None, small: int | None = None) -> DataFrame:
+    """(_row, key, n_shingles, component_id, _component) of every document; ``_row`` is ``row`` or 0.
 
     ``_component`` is the smallest class of the component, which tells components apart whatever their ids are.
+    ``small`` sets the boundary by hand; it changes the work, not the links.
     """
-    source = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), (F.col("_row") if "_row" in docs.columns else F.lit(0).cast("long")).alias("_row"))
-    counts, small = sketch(source, "_text")
-    own = settled(signatures(source, counts, small, "_text").drop("_text"))
-    classes = own.filter("n_shingles > 0").groupBy("cls").agg(F.min("_id").alias("_name")).withColumn("label", F.col("cls"))
-    entries = own.select(F.posexplode("by_list").alias("at", "sig"), F.lit(True).alias("list"), "cls", "n_shingles").unionByName(own.select(F.lit(0).alias("at"), F.explode("by_subset").alias("sig"), F.lit(False).alias("list"), "cls", "n_shingles"))
-    common = settled(entries.groupBy("sig").agg(F.min("cls").alias("_a"), F.max("cls").alias("_b")).filter("_a <> _b").select("sig"))
-    members = narrow_join(entries, common, "sig").distinct()
-    # a set must share enough of its prefix to have any partner
-    enough = settled(members.groupBy("cls", "list").agg(F.count(F.lit(1)).alias("_n"), F.max("n_shingles").alias("n")).filter(~F.col("list") | (F.col("_n") >= least_needed(F.col("n")))).select(F.struct("cls", "list").alias("_who"), (F.col("_n") / F.when(F.col("list"), prefix_of(F.col("n"))).otherwise(F.col("n") * F.col("n"))).alias("weight")))
-    members = settled(narrow_join(members.withColumn("_who", F.struct("cls", "list")), enough, "_who").drop("_who"))
-    partners = settled(enough.select("_who.cls").distinct())
-    # one representative text of each class that may have partners
-    who = settled(own.filter("size(by_list) + size(by_subset) > 0").join(partners, "cls", "left_semi").groupBy("cls").agg(F.min("_id").alias("_id")))
-    texts = narrow_join(source.select("_id", "_text"), who.select("_id").distinct(), "_id", "left_semi")
-    if not who.filter("_id is null").isEmpty():  # classes whose rows all have null ids
-        texts = texts.unionByName(source.filter("_id is null").select("_id", "_text"))
-    sets = settled(with_arrays(texts, set_of, "cls long, members array<long>", ["_text"]).drop("_text", "_id").join(partners, "cls", "left_semi").dropDuplicates(["cls"]))
-    fits = (5 * F.least("n_shingles", "_n") >= 4 * F.greatest("n_shingles", "_n"))
-    # the member that shares the largest part of its prefix scans the list: among near copies, what they are copies of
-    heads = members.groupBy("sig").agg(F.max(F.struct("weight", "cls", "n_shingles")).alias("_h")).select("sig", F.col("_h.cls").alias("_c"), F.col("_h.n_shingles").alias("_n"))
-    stars = members.join(heads, "sig").filter((F.col("cls") != F.col("_c")) & fits).select(F.least("_c", "cls").alias("a"), F.greatest("_c", "cls").alias("b")).distinct()
-    links = settled(verified(settled(stars), sets))
-    parts = components(links, classes.select("cls", "label"))
-    placed = settled(members.join(parts, "cls", "left").withColumn("part", F.coalesce(F.col("label"), F.col("cls"))).withColumn("alone", F.col("label").isNull()).drop("label"))
-    mixed = placed.groupBy("sig").agg(F.min(F.struct("alone", "part")).alias("_x"), F.max(F.struct("alone", "part")).alias("_y")).filter("_x <> _y").select("sig")
-    open_ = placed.join(mixed, "sig", "left_semi")
-    other = open_.select("sig", F.col("cls").alias("_c"), F.col("n_shingles").alias("_n"), F.col("at").alias("_at"), F.col("part").alias("_p"), F.col("alone").alias("_s"))
-    # in the list of the first shingle that two prefixes share, all they share lies from there on: too little is left in
-    # some lists of a pair that links, but never in that one
-    within = F.least(prefix_of(F.col("n_shingles")) - F.col("at"), prefix_of(F.col("_n")) - F.col("_at")) >= shared_needed(F.col("n_shingles"), F.col("_n"))
-    across = open_.join(other, "sig").filter((F.col("cls") < F.col("_c")) & ((F.col("part") != F.col("_p")) | (F.col("alone") != F.col("_s"))) & fits & (~F.col("list") | within))
-    pairs = across.select(F.col("cls").alias("a"), F.col("_c").alias("b")).distinct()
-    more = settled(verified(settled(pairs), sets))
+    source = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"), (F.lit(0).cast("long") if row is None else row).alias("_row"))
+    own = settled(classed(source))
+    classes = settled(own.filter("n_shingles > 0").groupBy("cls").agg(F.min("_id").alias("_name"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits")))
+    lengths = settled(list_lengths(source).filter("n > 1"))
+    usual = lengths.filter(F.col("n") <= LONG).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("n").alias("entries")).first()
+    longest = lengths.filter(F.col("n") > LONG).orderBy(F.desc("n"), "sig").limit(LONGEST).toArrow().sort_by("sig")
+    rarity = np.floor(np.log2(np.maximum(longest.column("n").to_numpy(), 1))).astype(np.int64)
+    if small is None:
+        small = boundary((usual["pairs"] or 0) / (usual["entries"] or 1))
+    members = settled(met(entries(source, (longest.column("sig").to_numpy(), rarity), small)))
+    tested = settled(scanned(members))
+    links = verified(tested, classes, source)
+    parts = components(links)
+    more = verified(settled(across(members, parts).join(tested, ["a", "b"], "left_anti")), classes, source)
     if not more.isEmpty():
-        parts = components(links.unionByName(more), classes.select("cls", "label"))
+        parts = components(links.unionByName(more))
     joined = classes.select("cls", "_name").join(parts.select("cls", F.col("label").alias("_component")), "cls", "left")
     least = settled(joined.filter("_component is not null").groupBy("_component").agg(F.min("_name").alias("_least")))
     named = narrow_join(joined, least, "_component", "left").select("cls", F.coalesce("_component", "cls").alias("_component"), F.when(F.col("_component").isNull(), F.col("_name")).otherwise(F.col("_least")).alias("component_id"))
     return own.select("_row", "_id", "n_shingles", "cls").join(named, "cls", "left").select("_row", F.col("_id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_component")
 
 
-def set_of(texts: pa.Array):
-    """The class and the set of each text."""
-    cls, values, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-    for _, _, raw, offsets in runs(texts):
-        h, bounds = shingles(raw, offsets)
-        n = np.diff(bounds)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ np.uint64(0x5BF03635)), dtype=np.uint64)])
-        cls.append(as_long(mix(total[bounds[1:]] - total[bounds[:-1]] + n.astype(np.uint64))))
-        values.append(as_long(h))
-        ends.append(n)
-    return pa.array(np.concatenate(cls)), pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(ends)).astype(np.int32)), pa.array(np.concatenate(values)))
-
-
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one row of each component, that of the smallest key, and all rows without words.
 
@@ -293,15 +341,15 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     64-bit hash of its content, which no other split of the files changes; rows that agree in every column are
     interchangeable, and of those that stay one is taken.
     """
-    rows = docs.withColumn("_row", F.xxhash64(*(x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`")))))
-    found = settled(linked(rows, key, text).filter("n_shingles > 0"))
-    first = found.groupBy("_component").agg(F.min(F.struct(F.col(key).isNull(), key, "_row")).getField("_row").alias("_row"))
-    others = settled(found.join(first.select("_row"), "_row", "left_anti").select("_row").distinct())
-    kept = narrow_join(rows, others, "_row", "left_anti")
-    twice = settled(found.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_row"))
+    found = settled(linked(docs, key, text, row_digest(docs)).filter("n_shingles > 0").select("_row", F.col(key).alias("_key"), "_component"))
+    first = found.groupBy("_component").agg(F.min(F.struct(F.col("_key").isNull(), "_key", "_row")).getField("_row").alias("_row"))
+    name = free_name(docs, "_row")
+    others = settled(found.join(first.select("_row"), "_row", "left_anti").select(F.col("_row").alias(name)).distinct())
+    kept = narrow_join(docs.withColumn(name, row_digest(docs)), others, name, "left_anti")
+    twice = settled(found.groupBy("_row").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("_row").alias(name)))
     if not twice.isEmpty():
-        kept = narrow_join(kept, twice, "_row", "left_anti").unionByName(narrow_join(kept, twice, "_row", "left_semi").dropDuplicates(["_row"]))
-    return kept.drop("_row")
+        kept = narrow_join(kept, twice, name, "left_anti").unionByName(narrow_join(kept, twice, name, "left_semi").dropDuplicates([name]))
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

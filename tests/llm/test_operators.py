@@ -1,6 +1,7 @@
 """The numbered operators against brute force on small tables."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -270,12 +271,47 @@ def test_jaccard_components(spark, tables, docs):
 
 def test_jaccard_chains_and_small_sets(spark, tmp_path):
     words = [f"w{i}" for i in range(400)]
-    rows = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(60)]  # each links to its neighbours only
+    rows = [(k, " ".join(words[2 * k : 2 * k + 60])) for k in range(24)]  # each links to its neighbours only
     rows += [(100 + n, " ".join(words[:n])) for n in range(1, 30)]  # prefixes of each other
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = brute_components(rows)
-    for r in jaccard.op8_jaccard_join(spark, str(tmp_path)).collect():
-        assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+    for small in (None, 40):  # wherever the boundary lies between subsets and lists
+        for r in jaccard.linked(spark.read.parquet(str(tmp_path / "documents.parquet")), small=small).collect():
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
+
+
+@pytest.mark.parametrize("long", [2, 64])
+def test_jaccard_groups_of_near_copies(spark, monkeypatch, long):
+    """Many copies around the threshold, with passages that all share, in lists short and long."""
+    monkeypatch.setattr(jaccard, "LONG", long)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for k in range(90):
+        text = list(base)
+        for at in rng.sample(range(60), rng.choice([0, 1, 2, 3])):
+            text[at] = f"x{k}_{at}"
+        rows.append((k, " ".join(text)))
+    passage = [f"p{i}" for i in range(30)]
+    rows += [(200 + k, " ".join([f"y{k}_{i}" for i in range(rng.choice([4, 8, 40]))] + passage)) for k in range(40)]
+    want = brute_components(rows)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == want
+
+
+def test_parity_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        n, m = (int(x) for x in rng.integers(1, 400, 2))
+        pool = np.unique(rng.integers(0, 2**63, 900).astype(np.uint64))
+        a, b = (np.sort(rng.permutation(pool)[:k]) for k in (n, m))
+        bits, size = jaccard.bitmaps(np.concatenate([a, b]), np.array([0, n, n + m]))
+        x, y = bits[: size[0]].view(np.uint64), bits[size[0] :].view(np.uint64)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        assert sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
 
 
 def test_jaccard_bounds_hold():
@@ -290,11 +326,8 @@ def test_jaccard_bounds_hold():
         b = np.sort(np.concatenate([both, 2000 + rng.permutation(500)[: room - left]]) * 7919 % 10007)
         x, y = len(a), len(b)
         assert 100 * len(both) >= 80 * (x + y - len(both))
-        p = jaccard.list_prefix
-        shared = len(np.intersect1d(a[: p(x)], b[: p(y)]))
-        need = max(1 + min(x, y) // jaccard.EXTRA, (4 * (x + y) + 8) // 9 - max(x - p(x), y - p(y)))
-        least = [1 + ((4 * n + 4) // 5) // jaccard.EXTRA for n in (x, y)]
-        assert shared >= need >= max(least)
+        places = [(i, j) for i, v in enumerate(a[: jaccard.prefix_size(x)]) for j, w in enumerate(b[: jaccard.prefix_size(y)]) if v == w]
+        assert places and min(x - places[0][0], y - places[0][1]) >= (4 * (x + y) + 8) // 9
         assert len(np.intersect1d(a[: jaccard.prefix_size(x, 2)], b[: jaccard.prefix_size(y, 2)])) >= 2
 
 
