@@ -387,11 +387,39 @@ def test_packing(spark, tables, docs):
     assert padding == 0
 
 
-def test_packing_joins_neighbours():
-    doc = np.repeat(np.arange(40), 5)
-    term = np.concatenate([[i % 20 + 100, i % 20 + 200, 1, 2, 300 + i] for i in range(40)])
-    index = packing.Bm25(40, doc, term)
-    assert index.neighbours(3)[1] == 23 or index.neighbours(3)[0] == 23
+@pytest.mark.parametrize("corpus", [False, True])
+def test_bm25_order(corpus):
+    """The neighbours' order is that of a plain BM25 over words that another document has too."""
+    rng = np.random.default_rng(3)
+    texts = [[int(x) for x in rng.zipf(1.4, rng.integers(1, 60)) % 90] for _ in range(50)]
+    df = Counter(w for t in texts for w in set(t))
+    given = np.array([3 * df[w] for w in range(90)])
+    n_docs = 500 if corpus else 50
+    index = packing.Bm25(50, np.repeat(np.arange(50), [len(t) for t in texts]), np.concatenate([np.array(t) for t in texts]), *((given, 500) if corpus else ()))
+    mean = sum(map(len, texts)) / 50
+
+    def score(q, d):
+        total = 0.0
+        for w in sorted(set(texts[q])):
+            tf = texts[d].count(w)
+            if tf and df[w] > 1:
+                n = 3 * df[w] if corpus else df[w]
+                total += np.log(1 + (n_docs - n + 0.5) / (n + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(texts[d]) / mean))
+        return total
+
+    for q in range(50):
+        want = {d: score(q, d) for d in range(50)}
+        got = index.neighbours(q).tolist()
+        assert set(got) == {d for d, x in want.items() if x > 0}
+        assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:]))
+
+
+def test_frequencies_are_exact(spark, tables, docs, monkeypatch):
+    monkeypatch.setattr(packing, "SUPPORT", 2)
+    got = packing.frequencies(spark.read.parquet(f"{tables}/documents.parquet"), "text")
+    want = Counter(w for d in docs for w in set(WORD.findall(d[1] or "")))
+    assert sorted(got.docs.tolist()) == sorted(n for n in want.values() if n > 1) and got.n_docs == len(docs)
+    assert got.mean == pytest.approx(sum(len(WORD.findall(d[1] or "")) for d in docs) / len(docs))
 
 
 def test_packing_finds_neighbours_in_other_files(spark, tmp_path):
@@ -415,11 +443,21 @@ def test_shards_span_batches():
     assert max(g[1] for g in got) > 5 and all(keys[-1].as_py() % 10 == 9 for keys, *_ in got)
 
 
-def test_plain_words_are_encoded_alike():
-    words = ["the", "don't", "it's", "naïve!!", "ñandú's", "É", "ß", "İx", "²x", "x²", "a_b", "漢字,", "a1b2", "%%%", "ª", "a<|endoftext|>", "<|endoftext|>", "x|", "é́", "the."]
-    tok = packing.tokenizer(packing.default_tokenizer())[0]
-    for w, got in zip(words, packing.encode_words(packing.default_tokenizer(), words), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == tok.encode(w, add_special_tokens=False).ids
+def test_words_are_encoded_alike():
+    words = ["the", "don't", "it's", "naïve!!", "ñandú's", "É", "ß", "İx", "²x", "x²", "a_b", "漢字,", "a1b2", "%%%", "ª", "a<|endoftext|>", "<|endoftext|>", "x|", "é́", "the.", "ÀÿÖ×", "÷", "à", "Ãí", "ÇA!", "éa!b", "œuf", "THE", "x\u00a0y"]
+    path = packing.default_tokenizer()
+    tok = packing.tokenizer(path)[0]
+    want = [tok.encode(w, add_special_tokens=False).ids for w in words]
+    for got, ids in zip(packing.encode_words(path, words), want, strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == ids
+    known = packing.WordIds(path)
+    data = [w.encode() for w in words]
+    end = np.cumsum([len(x) for x in data])
+    start = end - [len(x) for x in data]
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    for own in (slice(0, 9), slice(5, None), slice(0, None)):  # words met before and new ones
+        at, size, pool = known.of(np.arange(len(words), dtype=np.uint64)[own], raw, start[own], end[own])
+        assert [pool[a : a + n].tolist() for a, n in zip(at, size, strict=True)] == want[own]
 
 
 def test_sharding(spark, tables, docs):
