@@ -17,7 +17,8 @@ largest component meets the members of other components, where enough of both se
 pair within a list is so either verified, excluded by a bound, or in one component already; none is capped.
 
 Pairs are first held against parity bitmaps: each shingle toggles one bit, so that bitmaps differ in no more bits than
-sets differ in shingles.  What remains is verified on the sets themselves.
+sets differ in shingles.  What remains is verified on the sets themselves.  In a large group of texts that are all just
+below the threshold, each pair is compared by its bitmaps.
 
 Equal sets are one class, known by a 64-bit digest.  Shingles are known by 64-bit hashes.
 
@@ -30,6 +31,8 @@ columns besides key and text are not read, whatever their names.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,6 +47,9 @@ LONGEST = 2_000_000
 #: Cost of one pair of a list, in signatures enumerated and shuffled.
 PAIR_COST = 1 / 2
 MOST_SMALL = 64
+#: 64-bit words of the bitmap that goes with a set into its lists.
+MINI = 4
+MINIS = [f"mini{k}" for k in range(MINI)]
 #: Entries that a task holds before it passes counts on.
 HELD = 1 << 20
 
@@ -93,6 +99,15 @@ def bitmaps(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return as_long(out), size
 
 
+def minis(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of ``MINI`` words for all sets, one row a set."""
+    doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    bit = (h & np.uint64(64 * MINI - 1)).astype(np.int64)
+    out = np.zeros((len(bounds) - 1) * MINI, np.uint64)
+    np.bitwise_xor.at(out, MINI * doc + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return as_long(out).reshape(-1, MINI)
+
+
 def prefix_size(n, k: int = 1):
     """Length of the prefix in which a set of n shares k with any linked set."""
     return n - (4 * n + 4) // 5 + k
@@ -104,10 +119,10 @@ def lists(values: list[np.ndarray], sizes: list[np.ndarray]) -> pa.ListArray:
 
 
 def classed(source: DataFrame) -> DataFrame:
-    """``source`` with n_shingles, cls and bits in the place of ``_text``."""
+    """``source`` with n_shingles, cls, a bitmap of the set's size and one of ``MINI`` words in the place of ``_text``."""
 
     def compute(texts: pa.Array):
-        n, cls, bits, size = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], []
+        n, cls, bits, size, mini = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [], [], [np.zeros((0, MINI), np.int64)]
         for _, _, raw, offsets in runs(texts):
             h, bounds = shingles(raw, offsets)
             n.append(np.diff(bounds))
@@ -115,9 +130,11 @@ def classed(source: DataFrame) -> DataFrame:
             b, s = bitmaps(h, bounds)
             bits.append(b)
             size.append(s)
-        return pa.array(np.concatenate(n)), pa.array(np.concatenate(cls)), lists(bits, size)
+            mini.append(minis(h, bounds))
+        return pa.array(np.concatenate(n)), pa.array(np.concatenate(cls)), lists(bits, size), *(pa.array(x) for x in np.concatenate(mini).T)
 
-    return with_arrays(source, compute, "n_shingles long, cls long, bits array<long>", ["_text"]).drop("_text")
+    fields = ", ".join(["n_shingles long, cls long, bits array<long>", *(f"{c} long" for c in MINIS)])
+    return with_arrays(source, compute, fields, ["_text"]).drop("_text")
 
 
 def list_lengths(source: DataFrame) -> DataFrame:
@@ -291,18 +308,19 @@ def scanned(members: DataFrame) -> DataFrame:
     return members.join(heads, "sig").filter((F.col("cls") != F.col("_c")) & fits).select(F.least("_c", "cls").alias("a"), F.greatest("_c", "cls").alias("b")).distinct()
 
 
-def across(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components within a list.
+def across(members: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components within a list whose small bitmaps let them link.
 
     One of each pair is outside of the list's largest component, so that a large component costs no pairs in itself.
     """
     placed = settled(members.join(parts, "cls", "left").withColumn("part", F.coalesce("label", "cls")).drop("label"))
     sizes = placed.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("_n"))
     split = sizes.groupBy("sig").agg(F.max(F.struct("_n", "part")).alias("_h"), F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").select("sig", F.col("_h.part").alias("_main"))
-    open_ = settled(placed.join(split, "sig"))
+    open_ = settled(placed.join(split, "sig").join(classes.select("cls", *MINIS), "cls"))
     one = open_.filter("part <> _main").drop("_main")
-    other = open_.select("sig", F.col("cls").alias("_c"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("part").alias("_p"), (F.col("part") == F.col("_main")).alias("_in_main"))
-    wanted = (F.col("part") != F.col("_p")) & (F.col("_in_main") | (F.col("cls") < F.col("_c"))) & may_link(F.col("n"), F.col("_n"), F.col("at"), F.col("_at"))
+    other = open_.select("sig", F.col("cls").alias("_c"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("part").alias("_p"), (F.col("part") == F.col("_main")).alias("_in_main"), *(F.col(c).alias(f"_{c}") for c in MINIS))
+    differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in MINIS))
+    wanted = (F.col("part") != F.col("_p")) & (F.col("_in_main") | (F.col("cls") < F.col("_c"))) & may_link(F.col("n"), F.col("_n"), F.col("at"), F.col("_at")) & (9 * differ <= F.col("n") + F.col("_n"))
     return one.join(other, "sig").filter(wanted).select(F.least("cls", "_c").alias("a"), F.greatest("cls", "_c").alias("b")).distinct()
 
 
@@ -314,7 +332,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", row: Column
     """
     source = docs.select(F.col(f"`{key}`").alias("_id"), F.col(f"`{text}`").alias("_text"), (F.lit(0).cast("long") if row is None else row).alias("_row"))
     own = settled(classed(source))
-    classes = settled(own.filter("n_shingles > 0").groupBy("cls").agg(F.min("_id").alias("_name"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits")))
+    classes = settled(own.filter("n_shingles > 0").groupBy("cls").agg(F.min("_id").alias("_name"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits"), *(F.first(c).alias(c) for c in MINIS)))
     lengths = settled(list_lengths(source).filter("n > 1"))
     usual = lengths.filter(F.col("n") <= LONG).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("n").alias("entries")).first()
     longest = lengths.filter(F.col("n") > LONG).orderBy(F.desc("n"), "sig").limit(LONGEST).toArrow().sort_by("sig")
@@ -325,13 +343,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", row: Column
     tested = settled(scanned(members))
     links = verified(tested, classes, source)
     parts = components(links)
-    more = verified(settled(across(members, parts).join(tested, ["a", "b"], "left_anti")), classes, source)
+    more = verified(settled(across(members, parts, classes).join(tested, ["a", "b"], "left_anti")), classes, source)
     if not more.isEmpty():
         parts = components(links.unionByName(more))
     joined = classes.select("cls", "_name").join(parts.select("cls", F.col("label").alias("_component")), "cls", "left")
     least = settled(joined.filter("_component is not null").groupBy("_component").agg(F.min("_name").alias("_least")))
     named = narrow_join(joined, least, "_component", "left").select("cls", F.coalesce("_component", "cls").alias("_component"), F.when(F.col("_component").isNull(), F.col("_name")).otherwise(F.col("_least")).alias("component_id"))
-    return own.select("_row", "_id", "n_shingles", "cls").join(named, "cls", "left").select("_row", F.col("_id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_component")
+    return narrow_join(own.select("_row", "_id", "n_shingles", "cls"), settled(named), "cls", "left").select("_row", F.col("_id").alias(key), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "_component")
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

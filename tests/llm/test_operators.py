@@ -312,6 +312,8 @@ def test_parity_bitmaps_never_differ_more_than_sets():
         while len(y) > len(x):
             y = y[: len(y) // 2] ^ y[len(y) // 2 :]
         assert sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
+        u, v = jaccard.minis(np.concatenate([a, b]), np.array([0, n, n + m])).view(np.uint64)
+        assert sum(int(w).bit_count() for w in u ^ v) <= len(np.setxor1d(a, b))
 
 
 def test_jaccard_bounds_hold():
