@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 from .text import fold, tokens
 
 # Names too common to tell people apart, and particles.
-COMMON_LAST_NAMES = """silva santos oliveira souza rodrigues ferreira alves pereira lima gomes costa ribeiro martins
-carvalho almeida lopes soares fernandes vieira barbosa rocha dias nascimento andrade moreira nunes marques machado
-mendes freitas cardoso ramos goncalves santana teixeira neto junior filho sobrinho""".split()
-COMMON_FIRST_NAMES = """jose joao maria antonio pedro rodrigo carlos paulo luis luiz marcos marcelo andre rafael fernando
-roberto sergio gilberto amauri""".split()
+# fmt: off
+COMMON_LAST_NAMES = [
+    "silva", "santos", "oliveira", "souza", "rodrigues", "ferreira", "alves", "pereira", "lima", "gomes", "costa",
+    "ribeiro", "martins", "carvalho", "almeida", "lopes", "soares", "fernandes", "vieira", "barbosa", "rocha",
+    "dias", "nascimento", "andrade", "moreira", "nunes", "marques", "machado", "mendes", "freitas", "cardoso",
+    "ramos", "goncalves", "santana", "teixeira", "neto", "junior", "filho", "sobrinho",
+]
+COMMON_FIRST_NAMES = [
+    "jose", "joao", "maria", "antonio", "pedro", "rodrigo", "carlos", "paulo", "luis", "luiz", "marcos", "marcelo",
+    "andre", "rafael", "fernando", "roberto", "sergio", "gilberto", "amauri",
+]
 PREPOSITIONS = ["de", "da", "do", "dos", "das", "e"]
+# fmt: on
 
 
 def _literals(words: list[str]) -> Column:

@@ -2,42 +2,41 @@
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Blocks whose compatibility forms are folded: Latin and its extensions, punctuation, letterlike signs,
-#: presentation forms and full-width forms.
-_BLOCKS = ((0xA0, 0x250), (0x1E00, 0x1F00), (0x2000, 0x2070), (0x2070, 0x20A0), (0x2100, 0x2190), (0xFB00, 0xFB07), (0xFF01, 0xFF5F))
+
+@cache
+def _marks() -> re.Pattern:
+    """Every combining mark."""
+    return re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.combining(c)) + "]")
+
+
+def decomposed(value: str, form: str, ascii_only: bool) -> str:
+    """A text in a decomposed form without marks, or without anything but ASCII."""
+    parts = unicodedata.normalize(form, value)
+    return parts.encode("ascii", "ignore").decode() if ascii_only else _marks().sub("", parts)
 
 
 @cache
-def _table(form: str, ascii_only: bool) -> tuple[str, str, dict[str, str]]:
-    """Single-character folds as two aligned strings, and folds to several characters."""
-    single: dict[str, str] = {}
-    several: dict[str, str] = {}
-    for low, high in _BLOCKS:
-        for code in range(low, high):
-            char = chr(code)
-            parts = [x for x in unicodedata.normalize(form, char) if not unicodedata.combining(x)]
-            text = "".join(x for x in parts if not ascii_only or ord(x) < 128)
-            if text == char or not text:
-                continue
-            (single if len(text) == 1 else several)[char] = text
-    return "".join(single), "".join(single.values()), several
+def _decomposer(form: str, ascii_only: bool):
+    def decompose(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: decomposed(x, form, ascii_only), na_action="ignore")
+
+    return F.pandas_udf(decompose, T.StringType())
 
 
 def _decomposed(col: Column, form: str, ascii_only: bool) -> Column:
-    source, target, several = _table(form, ascii_only)
-    out = F.translate(col, source, target)
-    if several:
-        chain = out
-        for char, text in several.items():
-            chain = F.replace(chain, F.lit(char), F.lit(text))
-        out = F.when(col.rlike(f"[{''.join(several)}]"), chain).otherwise(out)
-    return F.regexp_replace(out, r"[^\x00-\x7F]" if ascii_only else r"[̀-ͯ᪰-᫿᷀-᷿⃐-⃿]", "")
+    """Only texts with other than ASCII characters leave the JVM: Spark has no decomposition of its own."""
+    other = col.rlike(r"[^\x00-\x7F]")
+    return F.when(~other, col).otherwise(_decomposer(form, ascii_only)(F.when(other, col)))
 
 
 def collapse(col: Column) -> Column:
@@ -79,6 +78,17 @@ def fold(col: Column, mode: str) -> Column:
     raise ValueError(f"no fold mode {mode!r}")
 
 
+def fold_value(value: str) -> str:
+    """What ``fold(col, 'combining')`` makes of one value."""
+    return decomposed(value, "NFKD", False).lower()
+
+
+def fold_items(values: Column) -> Column:
+    """``fold(col, 'combining')`` of each item of an array; nulls are left out."""
+    joined = F.array_join(values, "\u0001")
+    return F.when(F.coalesce(F.size(values), F.lit(0)) <= 0, F.array().cast("array<string>")).otherwise(F.split(fold(joined, "combining"), "\u0001"))
+
+
 def filled(col: Column) -> Column:
     """The text, or null where it is empty."""
     return F.nullif(col, F.lit(""))
@@ -161,7 +171,7 @@ def extract_int(col: Column) -> Column:
 
 def fellowship_from_text(col: Column) -> Column:
     """Level of a research fellowship named in a text, by the most exact phrase first; null if none."""
-    patterns = (
+    patterns = (  # fixed values
         r"(?i)bolsista\s+de\s+produtividade\s+em\s+pesquisa\s+do\s+cnpq\s*-?\s*n[ií]vel\s+(\w+)",
         r"(?i)bolsista\s+de\s+produtividade[^.]*?n[ií]vel\s+(\w+)",
         r"(?i)bolsista\s+cnpq[^.]*?n[ií]vel\s+(\w+)",

@@ -33,15 +33,18 @@ def prefer_linked(df: DataFrame, key: str, link: str, pos: str) -> DataFrame:
     return df.join(chosen, [key, pos])
 
 
-def carry_forward(df: DataFrame, group: str, label: str, order: str, blanks: tuple[str, ...] = ("", "t")) -> DataFrame:
-    """A row with a blank label takes the last one before it."""
+def carry_forward(df: DataFrame, group: str, label: str, order: list[str], blanks: tuple[str, ...] = ("", "t")) -> DataFrame:
+    """A row with a blank label takes the last one before it; ``order`` must tell any two rows of a group apart."""
     named = F.when(~F.col(label).isin(*blanks), F.col(label))
-    return df.withColumn(label, F.coalesce(F.last(named, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
+    return df.withColumn(label, F.coalesce(F.last(named, ignorenulls=True).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
 
 
-def blocks(df: DataFrame, group: str, is_header: Column, order: str) -> DataFrame:
-    """Number the blocks of a line stream that header lines open; lines before the first have block 0."""
-    return df.withColumn("block", F.sum(is_header.cast("int")).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+def blocks(df: DataFrame, group: str, is_header: Column, order: list[str]) -> DataFrame:
+    """Number the blocks of a line stream that header lines open; lines before the first have block 0.
+
+    ``order`` must tell any two lines of a group apart.
+    """
+    return df.withColumn("block", F.sum(is_header.cast("int")).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def parse_blocks(lines: DataFrame, group: str, order: str, header: str, fields: dict[str, str], stop: str | None = None) -> DataFrame:
@@ -55,7 +58,7 @@ def parse_blocks(lines: DataFrame, group: str, order: str, header: str, fields:
     rest = reduce(lambda c, fp: F.when(text.rlike(fp[1]), F.regexp_replace(text, fp[1], "")).otherwise(c), fields.items(), text)
     ended = text.rlike(header) | (text.rlike(stop) if stop else F.lit(False))
     mark = F.when(opened.isNotNull(), opened).when(ended, F.lit(""))
-    rows = blocks(lines.filter(~text.rlike(r"^\d+$")), group, F.trim("line").rlike(header), order)
+    rows = blocks(lines.filter(~text.rlike(r"^\d+$")), group, F.trim("line").rlike(header), [order])
     placed = rows.withColumn("field", F.last(mark, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rest", F.trim(rest))
     kept = placed.filter("block > 0 and field <> '' and _rest <> ''")
     return kept.groupBy(group, "block", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_rest"))), lambda x: x["_rest"]), " ").alias("value"))
@@ -110,6 +113,12 @@ def set_diff(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return x.join(y, key, "full_outer").select(key, F.when(F.col("_a").isNull(), "right").when(F.col("_b").isNull(), "left").otherwise("both").alias("side"))
 
 
+def item_sets(a: Column, b: Column) -> dict[str, Column]:
+    """Items of two arrays in either, in both, in the first only and in the second only; each once, sorted."""
+    found = {"union": F.array_union(a, b), "common": F.array_intersect(a, b), "left": F.array_except(a, b), "right": F.array_except(b, a)}
+    return {name: F.array_sort(items) for name, items in found.items()}
+
+
 def same_set(a: DataFrame, b: DataFrame) -> bool:
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 

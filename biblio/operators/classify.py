@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblio.functions.text import fold
+from biblio.functions.text import fold, fold_items, fold_value
 
 
 def _any_of(terms: list[str]) -> str:
@@ -16,9 +16,7 @@ def _any_of(terms: list[str]) -> str:
 
 def _folded(terms: list[str]) -> list[str]:
     """Terms in the form that ``fold(col, 'combining')`` gives."""
-    import unicodedata
-
-    return ["".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower() for t in terms]
+    return [fold_value(t) for t in terms]
 
 
 def classify(records: DataFrame, rules: list[dict], key: str, title: str, subjects: str) -> DataFrame:
@@ -28,7 +26,7 @@ def classify(records: DataFrame, rules: list[dict], key: str, title: str, subjec
     ``exclusions``, which bar a record from all.
     """
     s = fold(F.coalesce(F.col(subjects), F.lit("")), "combining")
-    both = F.concat_ws(" ", fold(F.coalesce(F.col(title), F.lit("")), "combining"), s)
+    both = F.concat_ws(" ", fold(F.coalesce(F.col(title), F.lit("")), "combining"), "_s")
 
     def holds(rule: dict) -> Column:
         parts = [col.rlike(_any_of(_folded(rule[name]))) for name, col in (("keywords", F.col("_s")), ("title_terms", F.col("_b"))) if rule.get(name)]
@@ -36,7 +34,7 @@ def classify(records: DataFrame, rules: list[dict], key: str, title: str, subjec
         return hit & ~F.col("_b").rlike(_any_of(_folded(rule["exclusions"]))) if rule.get("exclusions") else hit
 
     topics = F.array_compact(F.array(*(F.when(holds(r), F.lit(r["topic"])) for r in rules)))
-    hits = records.select(key, s.alias("_s"), both.alias("_b")).select(F.explode(topics).alias("topic"), key)
+    hits = records.withColumn("_s", s).select(key, "_s", both.alias("_b")).select(F.explode(topics).alias("topic"), key)
     lines = records.sparkSession.createDataFrame([(r["topic"],) for r in rules], "topic string")
     return lines.join(hits, "topic", "left")
 
@@ -52,7 +50,7 @@ def classify_works(works: DataFrame, rules: list[dict], key: str, strict_referen
 
     def holds(rule: dict) -> Column:
         words = rule.get("keywords", [])
-        own = F.col("keywords") if strict_reference else F.transform("keywords", lambda k: fold(k, "combining"))
+        own = F.col("keywords") if strict_reference else fold_items(F.col("keywords"))
         exact = F.arrays_overlap(own, F.array(*(F.lit(w) for w in (words if strict_reference else _folded(words))))) if words else F.lit(False)
         terms = rule.get("title_terms", [])
         term = F.col("_t").rlike(_any_of(terms if strict_reference else _folded(terms))) if terms else F.lit(False)

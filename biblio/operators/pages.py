@@ -130,7 +130,7 @@ def extract_detail(pages: DataFrame, base_url: str) -> DataFrame:
     """(page, field, pos, value) of detail pages: labels carry forward, lists accumulate, other fields keep the first."""
     rows = table_rows(pages).withColumn("c", F.filter("cells", lambda x: ~x["head"])).filter(F.size("c") >= 2)
     raw = rows.select("page", "row", F.lower(F.regexp_replace(clean_text(F.element_at("c", 1)["text"]), ":+$", "")).alias("label"), F.element_at("c", 2).alias("v"))
-    named = carry_forward(raw, "page", "label", "row")
+    named = carry_forward(raw, "page", "label", ["row"])
     known = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
     other = F.when(F.col("label").contains("orientador"), F.when(F.col("label").startswith("co"), "co_advisors").otherwise("advisors"))
     value = F.when(F.col("field") == "fulltext", F.coalesce(url_join(F.lit(base_url), F.col("v.href")), F.lit(""))).otherwise(clean_text(F.col("v.text")))
@@ -231,7 +231,16 @@ def scan(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFr
     """(key, label, line) of every match; a line is the newlines before the match and one."""
     found = F.array(*(F.struct(F.lit(label).alias("label"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hits"), F.split(text, p).alias("parts")) for label, p in patterns.items()))
     each = df.filter(F.col(text).isNotNull()).filter(F.greatest(*(F.col(text).rlike(p) for p in patterns.values()))).select(key, F.explode(found).alias("x")).filter(F.size("x.hits") > 0)
-    lines = F.transform(F.sequence(F.lit(1), F.size("x.hits")), lambda i: 1 + F.aggregate(F.slice(F.col("x.parts"), F.lit(1), i), F.lit(0), lambda n, p: n + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))) + F.aggregate(F.slice(F.col("x.hits"), F.lit(1), i - 1), F.lit(0), lambda n, p: n + F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))))
+    def newlines(p: Column) -> Column:
+        return F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+
+    def add(state: Column, pair: Column) -> Column:
+        at = state["at"] + newlines(pair["part"])
+        return F.struct((at + newlines(pair["hit"])).alias("at"), F.array_append(state["lines"], at).alias("lines"))
+
+    pairs = F.zip_with(F.slice("x.parts", F.lit(1), F.size("x.hits")), "x.hits", lambda p, h: F.struct(p.alias("part"), h.alias("hit")))
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines"))
+    lines = F.aggregate(pairs, start, add, lambda state: state["lines"])
     return each.select(key, "x.label", F.explode(lines).alias("line"))
 
 

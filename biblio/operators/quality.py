@@ -141,7 +141,9 @@ def sanitize(df: DataFrame, drop: list[str] = (), drop_nested: dict[str, list[st
 
 def unparseable(df: DataFrame, path: str = "path") -> DataFrame:
     """Files whose JSON could not be read (``_corrupt_record``)."""
-    return df.filter("_corrupt_record is not null").select(F.lit("parse").alias("rule"), F.col(path).alias("key"), F.substring("_corrupt_record", 1, 80).alias("message"))
+    # Spark refuses a scan of that column alone, so the condition also looks at the others
+    others = F.to_json(F.struct(*(F.col(c) for c in df.columns if c not in ("_corrupt_record", path)))).isNotNull()
+    return df.filter(F.col("_corrupt_record").isNotNull() & others).select(F.lit("parse").alias("rule"), F.col(path).alias("key"), F.substring("_corrupt_record", 1, 80).alias("message"))
 
 
 def referential_integrity(df: DataFrame, key: str, rules: list[tuple[str, DataFrame, str]]) -> DataFrame:

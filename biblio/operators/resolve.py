@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblio.functions.names import advisor_name_similarity, best_variant_similarity, distinctive, name_parts
-from biblio.functions.text import extract_orcid, fold, significant_tokens, tokens
+from biblio.functions.text import extract_orcid, fold, fold_items, fold_value, significant_tokens, tokens
 
 
 def match_names(records: DataFrame, key: str, names: str, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -156,7 +156,7 @@ def author_roster(results: list[DataFrame], affiliation: str) -> DataFrame:
     rows = results[0]
     for r in results[1:]:
         rows = rows.unionByName(r, allowMissingColumns=True)
-    here = rows.filter(F.exists("affiliations", lambda a: fold(a, "combining").contains(fold(F.lit(affiliation), "combining"))))
+    here = rows.filter(F.exists(fold_items(F.col("affiliations")), lambda a: a.contains(fold_value(affiliation))))
     return here.groupBy("author").agg(F.min("name").alias("name"), F.min("orcid").alias("orcid"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.coalesce("areas", F.array().cast("array<string>")))))).alias("areas"))
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblio.functions.text import age_days, collapse, filled, fold, slug
+from biblio.functions.text import age_days, collapse, filled, fold, fold_value, slug
 
 
 def compact_index(df: DataFrame) -> DataFrame:
@@ -62,7 +62,7 @@ def published_pages(df: DataFrame) -> DataFrame:
 
 def faceted_search(df: DataFrame, q: str, text: list[str], facets: dict[str, str] | None = None, contains: dict[str, str] | None = None) -> DataFrame:
     """Rows whose text holds the query whatever its accents, and whose facets are equal; empty ones do not filter."""
-    conditions = [fold(F.concat_ws(" ", *text), "combining").contains(fold(F.lit(q), "combining"))] if q else []
+    conditions = [fold(F.concat_ws(" ", *text), "combining").contains(fold_value(q))] if q else []
     conditions += [F.col(c) == v for c, v in (facets or {}).items() if v]
     conditions += [F.array_contains(c, v) for c, v in (contains or {}).items() if v]
     return df.filter(reduce(lambda a, b: a & b, conditions)) if conditions else df

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a local one on one machine."""
+    sc = spark.sparkContext
+    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not shared and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp(prefix='biblio-')).rstrip('/')}/biblio-{uuid.uuid4().hex}"
+
+
+def in_place(df: DataFrame, *cols: str) -> DataFrame:
+    """The columns of an ordered frame and ``place``, each row's number in that order from 1.
+
+    Rows are written as they are ordered; the places before a partition are the sum of the sizes of those before it.
+    """
+    folder = scratch(df.sparkSession)
+    df.select(*cols, F.monotonically_increasing_id().alias("_m")).write.parquet(folder)
+    rows = df.sparkSession.read.parquet(folder).withColumn("_p", F.shiftright("_m", 33))
+    counts = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.withColumn("_s", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    return rows.join(before, "_p").select(*cols, (F.col("_s") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("place"))
+
+
 def edges(spark: SparkSession, folder: str) -> DataFrame:
     """(author, work, citations): suppliers of orders; citations are the ordered quantities."""
     return table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("author"), F.col("l_orderkey").alias("work")).agg(F.sum(F.col("l_quantity").cast("int")).alias("citations"))

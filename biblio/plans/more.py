@@ -142,23 +142,6 @@ def p28_lookup(spark, d):
     return search.lookup(table(spark, d, "customer"), "c_nationkey", 7).select("c_custkey", "c_name")
 
 
-def _rosters(spark, d):
-    lines = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("pos"))
-    entities = table(spark, d, "customer").join(table(spark, d, "part"), F.col("p_partkey") == key() % 200 + 1).select(key().alias("entity"), text.fold(F.col("p_name"), "author_name").alias("name"))
-    return entities, lines.select(F.col("pos").alias("author"), "pos", F.array(text.fold(F.col("name"), "author_name")).alias("variants"))
-
-
-@query("SELECT c_custkey AS entity, min(q.p_partkey) AS author, 100 AS confidence FROM customer JOIN part p ON p.p_partkey = c_custkey % 200 + 1 JOIN part q ON q.p_name = p.p_name GROUP BY 1")
-def j4_best_match(spark, d):
-    return resolve.best_match(*_rosters(spark, d))
-
-
-@query("SELECT p_name AS name, min(p_partkey) AS entity FROM part GROUP BY 1")
-def j7_match_distinctive(spark, d):
-    roster = table(spark, d, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entity")).select("entity", F.col("entity").alias("pos"), "name", F.lit("").alias("short"))
-    return resolve.match_distinctive(roster.select("name"), roster).filter("score = 1").select("name", "entity")
-
-
 @query("SELECT l_orderkey AS id, CAST(min(i) FILTER (l_suppkey = 7) AS BIGINT) AS position FROM (SELECT l_orderkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey) AS i FROM lineitem) GROUP BY 1")
 def j14_position_of(spark, d):
     from .base import advised
@@ -180,11 +163,13 @@ def j24_with_default(spark, d):
     return resolve.with_default(c.select(key().alias("id")), c.filter("c_custkey % 5 = 0").select(key().alias("id"), F.col("c_name").alias("editor")), "id", "editor")
 
 
-@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 4 = 0 THEN 'doi' WHEN o_orderkey % 4 = 3 THEN 'eid' ELSE 'title-year-journal' END AS kind FROM orders) GROUP BY 1")
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'doi' WHEN o_orderkey % 4 = 3 THEN 'eid' ELSE 'title-year-journal' END AS kind, min(o_orderkey) OVER (PARTITION BY CASE WHEN o_orderkey % 4 = 0 THEN 'doi' || (o_orderkey // 40) WHEN o_orderkey % 4 = 3 THEN 'eid' || o_orderkey ELSE 'tyj' || (o_orderkey // 40) || '|' || year(o_orderdate) || '|' || o_orderstatus END) AS first FROM orders")
 def d1_duplicate_key(spark, d):
     from .records import _works
 
-    return dedup.duplicate_key(_works(spark, d)).groupBy(F.col("key.kind").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    keyed = dedup.duplicate_key(_works(spark, d))
+    first = keyed.groupBy("key").agg(F.min(F.col("id").cast("bigint")).alias("first"))
+    return keyed.join(first, "key").select("id", F.col("key.kind").alias("kind"), "first")
 
 
 @query("SELECT 'when:finished orders have a date' AS rule, CAST(o_orderkey AS VARCHAR) AS key, 'finished orders have a date' AS message FROM orders WHERE o_orderstatus = 'F' AND NOT o_orderdate < TIMESTAMP '1995-01-01'")
@@ -231,13 +216,6 @@ def u1_union_all(spark, d):
     return arrange.union_all(w.filter("type = 'F'").select("id", "year"), w.filter("type = 'O'").select("id"))
 
 
-@query(f"SELECT o_orderkey AS id FROM {PREVIOUS} UNION SELECT o_orderkey FROM {CURRENT}")
-def o7_stable_merge_order(spark, d):
-    a, b = snapshots(spark, d)
-    old = a.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("old_pos"))
-    return arrange.stable_merge_order(b.select(F.col("o_orderkey").alias("id")).join(old, "id", "full_outer")).select("id")
-
-
 @query("SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'theses' ELSE 'works' END AS kind, o_orderkey AS id FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
 def s5_staged_or_previous(spark, d):
     k = F.col("o_orderkey")

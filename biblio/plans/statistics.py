@@ -9,6 +9,10 @@ from biblio.operators import arrange, stats
 from .base import CURRENT, EDGES, NODES, NOW, PREVIOUS, WORKS, advised, edges, nodes, query, snapshots, table, works
 
 
+#: Order and line number repeat in the test table; all columns together tell its lines apart.
+LINE_ORDER = ["l_linenumber", "l_suppkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
 @query(f"SELECT year, count(*) AS works, CAST(coalesce(sum(coalesce(citations, 0)), 0) AS BIGINT) AS citations FROM {WORKS} GROUP BY year")
 def g1_yearly_stats(spark, d):
     return stats.yearly_stats(works(spark, d))
@@ -179,16 +183,16 @@ def w6_prefer_linked(spark, d):
     return arrange.prefer_linked(rows, "key", "link", "pos").select("key", "pos", "choice")
 
 
-@query("SELECT l_orderkey AS page, l_linenumber AS row, coalesce(last_value(CASE WHEN l_returnflag NOT IN ('', 'N') THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), '') AS label FROM lineitem")
+@query("SELECT l_orderkey AS page, l_linenumber AS row, coalesce(last_value(CASE WHEN l_returnflag NOT IN ('', 'N') THEN l_returnflag END IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate ROWS UNBOUNDED PRECEDING), '') AS label FROM lineitem")
 def w7_carry_forward(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row"), F.col("l_returnflag").alias("label"))
-    return arrange.carry_forward(rows, "page", "label", "row", ("", "N"))
+    rows = table(spark, d, "lineitem").withColumn("label", F.col("l_returnflag"))
+    return arrange.carry_forward(rows, "l_orderkey", "label", LINE_ORDER, ("", "N")).select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row"), "label")
 
 
-@query("SELECT l_orderkey AS page, l_linenumber AS row, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) AS block FROM lineitem")
+@query("SELECT l_orderkey AS page, l_linenumber AS row, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate ROWS UNBOUNDED PRECEDING) AS BIGINT) AS block FROM lineitem")
 def w8_blocks(spark, d):
-    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row"), "l_returnflag")
-    return arrange.blocks(rows, "page", F.col("l_returnflag") == "R", "row").drop("l_returnflag")
+    rows = arrange.blocks(table(spark, d, "lineitem"), "l_orderkey", F.col("l_returnflag") == "R", LINE_ORDER)
+    return rows.select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("row"), "block")
 
 
 @query(f"SELECT year, count(*) FILTER (course LIKE '%Mestrado%') AS masters, count(*) FILTER (course LIKE '%Doutorado%') AS doctors FROM (SELECT year, CASE WHEN type = 'F' THEN 'Mestrado Profissional' ELSE 'Doutorado' END AS course FROM {WORKS}) WHERE year BETWEEN {NOW} - 10 AND {NOW} GROUP BY year")

@@ -26,7 +26,18 @@ _fold("f1_library_name", "library_name", rf"trim(regexp_replace(replace(lower({_
 _fold("f2_validate_name", "validate_name", rf"trim(regexp_replace(lower({_ASCII}), '[\s\x0B]+', ' ', 'g'), ' ')")
 _fold("f3_work_text", "work_text", rf"trim(regexp_replace(lower({_ASCII}), '[^a-z0-9]+', ' ', 'g'), ' ')")
 _fold("f4_author_name", "author_name", rf"trim(regexp_replace(regexp_replace(lower({_ASCII}), '[^\w\s\x0B]', '', 'g'), '[\s\x0B]+', ' ', 'g'), ' ')")
-_fold("f5_combining", "combining", "lower(strip_accents(text))")
+
+
+# fixed values: characters beyond Latin and what their decomposition without marks is
+_OTHERS = [("ά", "α"), ("Έ", "ε"), ("й", "и"), ("Ї", "і"), ("ё", "е"), ("が", "か"), ("ｶ", "カ"), ("①", "1"), ("㎏", "kg"), ("ﬁ", "fi"), ("Ｑ", "q"), ("½", "1⁄2"), ("Å", "a")]
+
+
+@query("SELECT doc_id, md5(lower(strip_accents(text)) || ' ' || CASE " + " ".join(f"WHEN doc_id % {len(_OTHERS)} = {i} THEN '{b}'" for i, (_, b) in enumerate(_OTHERS)) + " END) AS folded FROM documents")
+def f5_combining(spark, d):
+    other = F.element_at(F.array(*(F.lit(a) for a, _ in _OTHERS)), (F.col("doc_id") % len(_OTHERS) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", F.md5(text.fold(F.concat("text", F.lit(" "), other), "combining")).alias("folded"))
+
+
 _fold("f6_lower_punct", "lower_punct", r"trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{M}\p{Nd}_\s\x0B]', ' ', 'g'), '[\s\x0B]+', ' ', 'g'), ' ')")
 _fold("f7_alias_key", "alias_key", r"trim(regexp_replace(replace(lower(text), 'ß', 'ss'), '[\s\x0B]+', ' ', 'g'), ' ')")
 _fold("f8_token_norm", "token_norm", rf"trim(lower({_ASCII}), ' ')")
@@ -49,9 +60,9 @@ def f13_token_jaccard(spark, d):
     return table(spark, d, "part").select("p_partkey", F.round(text.token_jaccard(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
 
 
-@query("SELECT doc_id, CAST(regexp_extract(text, '([0-9]{1,18})', 1) AS VARCHAR) AS digits FROM documents WHERE regexp_matches(text, '[0-9]')")
+@query(r"SELECT doc_id, TRY_CAST(nullif(regexp_extract(text, '(\d+)', 1), '') AS BIGINT) AS number FROM documents")
 def f22_first_digits(spark, d):
-    return table(spark, d, "documents").filter(F.col("text").rlike("[0-9]")).select("doc_id", F.regexp_extract("text", r"([0-9]{1,18})", 1).alias("digits"))
+    return table(spark, d, "documents").select("doc_id", text.extract_int(F.col("text")).alias("number"))
 
 
 @query("SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page, nullif(regexp_extract(url, '[?&]ref=([^&#]*)', 1), '') AS ref FROM pages")
@@ -59,9 +70,11 @@ def p23_query_param(spark, d):
     return table(spark, d, "pages").select("page_id", text.query_param(F.col("url"), "page").alias("page"), text.query_param(F.col("url"), "ref").alias("ref"))
 
 
-@query()
+@query("SELECT event_id, '$.' || k AS path, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) UNION ALL SELECT event_id, '$.list[' || i || '].kind', event_type FROM (SELECT event_id, event_type, unnest(range(event_id % 3)) AS i FROM events) UNION ALL SELECT event_id, '$.user', CAST(user_id AS VARCHAR) FROM events")
 def f29_flatten_json(spark, d):
-    return flatten_json(table(spark, d, "events"), "event_id", "props")
+    more = F.to_json(F.struct(F.transform(F.filter(F.array(F.lit(0), F.lit(1)), lambda i: i < F.col("event_id") % 3), lambda i: F.struct(F.col("event_type").alias("kind"))).alias("list"), F.col("user_id").alias("user")))
+    whole = F.concat(F.regexp_replace("props", r"\}\s*$", ", "), F.substring(more, 2, 1 << 20))
+    return flatten_json(table(spark, d, "events").select("event_id", whole.alias("props")), "event_id", "props")
 
 
 @query("SELECT o_orderkey, CAST(regexp_matches(id, '^[a-z0-9]+(-[a-z0-9]+)*$') AS BOOLEAN) AS ok FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'w-' || o_orderkey ELSE 'W_' || o_orderkey END AS id FROM orders)")
@@ -157,9 +170,19 @@ def h3_references(spark, d):
     return pages.extract_references(table(spark, d, "pages")).drop("pos")
 
 
-@query(r"""SELECT doc_id, label, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, 'literal secret' AS label, unnest(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|client[_-]?secret|access[_-]?token|auth[_-]?token)\s*[:=]\s*[''"][A-Za-z0-9_./+=-]{16,}[''"]')) AS hit FROM documents UNION ALL SELECT doc_id, 'cloud access key', unnest(regexp_extract_all(text, '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b')) FROM documents UNION ALL SELECT doc_id, 'hosting token', unnest(regexp_extract_all(text, '\b(?:gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,})\b')) FROM documents UNION ALL SELECT doc_id, 'private key', unnest(regexp_extract_all(text, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----')) FROM documents) GROUP BY 1, 2""")
+@query(r"""WITH d AS (SELECT doc_id, text || CASE WHEN doc_id % 7 = 0 THEN chr(10) || 'api_key = "' || md5(text) || '"' || chr(10) || 'AUTH-TOKEN: "' || md5(lang) || '"' WHEN doc_id % 7 = 1 THEN ' ghp_' || md5(text) WHEN doc_id % 7 = 2 THEN ' AKIA' || substr(upper(md5(text)), 1, 16) || ' ' WHEN doc_id % 7 = 3 THEN ' -----BEGIN RSA PRIVATE KEY-----' WHEN doc_id % 7 = 4 THEN ' api_key = "short"' ELSE '' END AS text FROM documents) SELECT doc_id, label, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, 'literal secret' AS label, unnest(regexp_extract_all(text, '(?i)\b(?:api[_-]?key|client[_-]?secret|access[_-]?token|auth[_-]?token)\s*[:=]\s*[''"][A-Za-z0-9_./+=-]{16,}[''"]')) AS hit FROM d UNION ALL SELECT doc_id, 'cloud access key', unnest(regexp_extract_all(text, '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b')) FROM d UNION ALL SELECT doc_id, 'hosting token', unnest(regexp_extract_all(text, '\b(?:gh[pousr]_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,})\b')) FROM d UNION ALL SELECT doc_id, 'private key', unnest(regexp_extract_all(text, '-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----')) FROM d) GROUP BY 1, 2""")
 def h7_scan_secrets(spark, d):
-    return pages.scan_secrets(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
+    k = F.col("doc_id") % 7
+    made = (
+        F.when(k == 0, F.concat(F.lit('\napi_key = "'), F.md5("text"), F.lit('"\nAUTH-TOKEN: "'), F.md5("lang"), F.lit('"')))
+        .when(k == 1, F.concat(F.lit(" ghp_"), F.md5("text")))
+        .when(k == 2, F.concat(F.lit(" AKIA"), F.substring(F.upper(F.md5("text")), 1, 16), F.lit(" ")))
+        .when(k == 3, " -----BEGIN RSA PRIVATE KEY-----")
+        .when(k == 4, ' api_key = "short"')
+        .otherwise("")
+    )
+    docs = table(spark, d, "documents").select("doc_id", F.concat("text", made).alias("text"))
+    return pages.scan_secrets(docs, "doc_id", "text").groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(r"""SELECT page_id, label, CAST(count(*) AS BIGINT) AS n FROM (SELECT page_id, 'script tag' AS label, unnest(regexp_extract_all(html, '(?i)<\s*script\b')) AS hit FROM pages UNION ALL SELECT page_id, 'event handler', unnest(regexp_extract_all(html, '(?i)\bon[a-z]+\s*=')) FROM pages UNION ALL SELECT page_id, 'script protocol', unnest(regexp_extract_all(html, '(?i)javascript\s*:')) FROM pages UNION ALL SELECT page_id, 'embedded content', unnest(regexp_extract_all(html, '(?i)<\s*(?:iframe|object|embed)\b')) FROM pages UNION ALL SELECT page_id, 'html data url', unnest(regexp_extract_all(html, '(?i)data\s*:\s*text/html')) FROM pages) GROUP BY 1, 2""")
@@ -167,13 +190,23 @@ def h8_scan_unsafe(spark, d):
     return pages.scan_unsafe(table(spark, d, "pages"), "page_id", "html").groupBy("page_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(r"SELECT page_id AS page, regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1) <> '' AS has_title FROM pages")
+@query("SELECT page_id AS page FROM pages WHERE page_id % 3 > 0 AND page_id % 5 > 0 AND lower(html) LIKE '%<h1%'")
 def p8_published_pages(spark, d):
-    rows = table(spark, d, "pages").select(F.col("page_id").alias("page"), (F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1) != "").alias("has_title"), F.lit(True).alias("published"), F.lit("page").alias("kind"))
-    return search.published_pages(rows).select("page", "has_title")
+    k = F.col("page_id")
+    rows = table(spark, d, "pages").select(k.alias("page"), ((k % 3 > 0) & F.lower("html").contains("<h1")).alias("published"), F.when(k % 5 > 0, "page").otherwise("group").alias("kind"))
+    return search.published_pages(rows).select("page")
+
+
+_TAGS = "(SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)<[a-z][^>]*>')) AS tag FROM pages)"
+_LINKS = f"""SELECT page_id AS page, url, regexp_extract(tag, '(?is)\\shref\\s*=\\s*"([^"]*)"', 1) AS value FROM {_TAGS} WHERE regexp_matches(tag, '(?is)\\shref\\s*=') UNION ALL SELECT page_id, url, regexp_extract(tag, '(?is)\\ssrc\\s*=\\s*"([^"]*)"', 1) FROM {_TAGS} WHERE regexp_matches(tag, '(?is)\\ssrc\\s*=')"""
 
 
-@query()
+# links in these tables are whole addresses, begin with / or #, or are relative
+@query(rf"""WITH l AS (SELECT page, value, 'http://site.example' || regexp_replace(url, '^[a-z]+://[^/]*', '') AS url FROM ({_LINKS})),
+w AS (SELECT page, value, CASE WHEN regexp_matches(value, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN value WHEN value LIKE '//%' THEN 'http:' || value WHEN value LIKE '/%' THEN 'http://site.example' || value WHEN value LIKE '?%' THEN regexp_replace(url, '[?#].*$', '') || value WHEN value = '' THEN url ELSE regexp_replace(regexp_replace(url, '[?#].*$', ''), '[^/]*$', '') || regexp_replace(value, '^(\./)+', '') END AS whole FROM l WHERE NOT regexp_matches(value, '(?i)^(?:mailto|tel|data|javascript):|^#')),
+p AS (SELECT page, value, regexp_replace(regexp_replace(whole, '[?#].*$', ''), '^http://site\.example/?', '') AS path FROM w WHERE regexp_matches(whole, '^http://site\.example([/?#]|$)')),
+t AS (SELECT page, value, CASE WHEN path = '' OR path LIKE '%/' THEN path || 'index.html' WHEN regexp_extract(path, '([^/]*)$', 1) LIKE '%.%' THEN path ELSE path || '/index.html' END AS target FROM p)
+SELECT page, value, target FROM t WHERE target NOT IN ('The/index.html', 'and/index.html')""")
 def j21_check_links(spark, d):
     every = table(spark, d, "pages")
     targets = spark.createDataFrame([("The/index.html",), ("and/index.html",)], "path string")
@@ -186,7 +219,10 @@ def j22_marker_values(spark, d):
     return pages.marker_values(table(spark, d, "pages"), "class")
 
 
-@query()
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, trim(unnest(string_split(text, chr(10))), ' ') AS line FROM documents),
+m AS (SELECT doc_id, pos, line, regexp_matches(line, '^.{1,40}$') AS head, regexp_matches(line, '^.*? \| ') AS listed FROM l WHERE NOT regexp_matches(line, '^\d+$')),
+f AS (SELECT *, CAST(sum(CASE WHEN head THEN 1 ELSE 0 END) OVER w AS BIGINT) AS block, last_value(CASE WHEN listed THEN 'list' WHEN head OR regexp_matches(line, '^\s*$') THEN '' END IGNORE NULLS) OVER w AS field, trim(CASE WHEN listed THEN regexp_replace(line, '^.*? \| ', '') ELSE line END, ' ') AS rest FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, block, field, string_agg(rest, ' ' ORDER BY pos) AS value FROM f WHERE block > 0 AND field <> '' AND rest <> '' GROUP BY 1, 2, 3""")
 def h6_extract_blocks(spark, d):
     """Documents as report texts: a short line opens a block, lines with a bar are a field."""
     return pages.extract_blocks(table(spark, d, "documents"), "doc_id", "text", r"^.{1,40}$", {"list": r"^.*? \| "}, r"^\s*$")

@@ -114,8 +114,8 @@ def work_schema() -> T.StructType:
     return T.StructType.fromDDL(
         "publication_id string, eid string, doi string, pii string, pubmed_id string, title string, year string, date string, type string, subtype string,"
         " journal struct<name:string,issn:string,eissn:string,volume:string,issue:string,pages:string,article_number:string>,"
-        " authors array<struct<name:string,scopus_id:string,affiliation:string,is_eam_professor:boolean,eam_professor_id:string>>,"
-        " eam_coauthors array<string>, scopus struct<citations:int,references_count:int,scopus_link:string>,"
+        " authors array<struct<name:string,scopus_id:string,affiliation:string,is_member:boolean,member_id:string>>,"
+        " member_coauthors array<string>, scopus struct<citations:int,references_count:int,scopus_link:string>,"
         " metadata struct<source:string,last_updated:string,data_quality_score:int>"
     )
 

@@ -1,7 +1,8 @@
 """Resumable incremental ingest.
 
 A file stream with a checkpoint takes every file once, over any number of runs: a run that stops goes on where it was.
-A fresh checkpoint takes all files again.  Each batch goes through an update of the target's newest version.
+A fresh checkpoint takes all files again.  Each batch adds the rows of ids that none before had; what is there already
+is not written again.
 """
 
 from __future__ import annotations
@@ -12,30 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblio.operators.snapshot import add_only
-
 
 def add_new(previous: DataFrame | None, batch: DataFrame, key: str) -> DataFrame:
-    """Unknown ids only: the first row of each id in the batch."""
+    """What a batch adds: the first row of each id that is not there."""
     cols = [c for c in batch.columns if c != key]
     first = batch.groupBy(key).agg(F.min(F.struct(*cols)).alias("_r")).select(key, "_r.*")
-    return first if previous is None else add_only(previous, first, key)
+    return first if previous is None else first.join(previous.select(key), key, "left_anti")
 
 
-def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, target: str, key: str, update: Callable[[DataFrame | None, DataFrame, str], DataFrame] = add_new, files_per_batch: int = 1000) -> int:
+def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, target: str, key: str, adds: Callable[[DataFrame | None, DataFrame, str], DataFrame] = add_new, files_per_batch: int = 1000) -> int:
     """Take the files that no run has taken; returns the number of batches.
 
-    Every batch writes a version of its own and reads the one before, so that a batch that is run again after a
-    failure gives the same version.
+    Every batch writes a folder of its own, with what ``adds(rows of the batches before, batch, key)`` returns, so that a
+    batch that is run again after a failure gives the same folder, and a batch costs as much as it brings (and a look at
+    the ids before it).
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-
-    def version(n: int) -> str:
-        return f"{target.rstrip('/')}/version={n:09d}"
+    root = target.rstrip("/")
 
     def take(batch: DataFrame, n: int) -> None:
-        previous = spark.read.parquet(version(n - 1)) if n else None
-        update(previous, batch, key).write.mode("overwrite").parquet(version(n))
+        before = ingested(spark, root).filter(F.col("batch") < n) if n else None
+        adds(before.drop("batch") if n else None, batch, key).write.mode("overwrite").parquet(f"{root}/batch={n}")
+
+    def ingested(spark: SparkSession, root: str) -> DataFrame:
+        return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])).parquet(root)
 
     query = stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
@@ -43,7 +44,6 @@ def incremental_ingest(spark: SparkSession, source: str, schema: T.StructType, c
     return 0 if last is None else last["batchId"] + (1 if last["numInputRows"] else 0)
 
 
-def newest(spark: SparkSession, target: str) -> DataFrame:
-    """Rows of the newest version."""
-    rows = spark.read.parquet(target)
-    return rows.filter(F.col("version") == rows.agg(F.max("version")).first()[0]).drop("version")
+def ingested(spark: SparkSession, target: str) -> DataFrame:
+    """Rows of all batches."""
+    return spark.read.parquet(target).drop("batch")

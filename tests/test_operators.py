@@ -423,6 +423,6 @@ def test_incremental_ingest_resumes(spark, tmp_path):
     ingest.incremental_ingest(spark, src, schema, ck, out, "id")
     frame(spark, "id int, v string", (2, "LATE"), (3, "c")).write.mode("append").parquet(src)
     ingest.incremental_ingest(spark, src, schema, ck, out, "id")
-    assert values(ingest.newest(spark, out), "id", "v") == [(1, "a"), (2, "b"), (3, "c")]
+    assert values(ingest.ingested(spark, out), "id", "v") == [(1, "a"), (2, "b"), (3, "c")]
     ingest.incremental_ingest(spark, src, schema, ck, out, "id")
-    assert ingest.newest(spark, out).count() == 3
+    assert ingest.ingested(spark, out).count() == 3
