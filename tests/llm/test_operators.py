@@ -111,6 +111,27 @@ def test_mix_meets_targets(spark, tables, docs):
     assert again == {(r["doc_id"], r["taken"]) for r in rows}
 
 
+def test_mix_takes_documents_in_pareto_order(spark, monkeypatch):
+    """In each source, documents by random odds over inclusion odds until the sampled words are met."""
+    monkeypatch.setattr(mixing, "MEET", 16)
+    rng = np.random.default_rng(4)
+    rows = [(k, "w " * int(rng.integers(0, 400)), f"s{k % 3}") for k in range(600)] + [(700, None, "s1"), (700, "", None)]
+    got = mixing.sample(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    source = {r[0]: r[2] for r in rows}
+    by = defaultdict(list)
+    for r in got:
+        by[source[r["doc_id"]] if r["size"] else None].append(r)
+    uneven = 0
+    for s in ("s0", "s1", "s2"):
+        drawn = sorted((r for r in by[s] if r["order_odds"] is not None), key=lambda r: r["order_odds"])
+        part = [r["taken"] % r["size"] if r["taken"] < 2 * r["size"] else r["size"] for r in drawn]
+        whole = [p in (0, r["size"]) for p, r in zip(part, drawn, strict=True)]
+        assert sum(not w for w in whole) <= 1  # one document at most is cut
+        assert abs(sum(r["taken"] for r in by[s]) - by[s][0]["target"]) <= 1
+        uneven += len({round(r["taken"] / r["size"]) for r in by[s]}) > 1
+    assert uneven
+
+
 def test_suffix_tree_base_score(spark, tables, docs):
     got = suffix_tree.op3_suffix_tree_score(spark, tables).collect()
     counts = Counter()
