@@ -3,16 +3,23 @@
 A text's paragraphs (lines, cut after every ``PART_WORDS`` words) are hashed.  A sketch has three tables of
 cells; each digest is added to one cell of each: a count, the xor of digests and the xor of their checks.
 The cells of two versions subtract, and peeling recovers the digests that differ: a cell with one digest
-gives it away, and it is taken out of its other cells, until all are empty.  When that fails the sketch is
-built again larger, up to ``RETRIES`` times, and at last the digests themselves are compared.  The likeness of
-two versions is one less the recovered digests' share of all.
+gives it away, and it is taken out of its other cells, until all are empty.
 
-All of it is DataFrame functions.  Neighbours in the order of ids are found with windows over ranges of ids,
-each of about ``RANGE_BYTES`` of text; the first documents of a range are sent to the range before it too.
+A fingerprint holds a small sketch of all digests and, for when peeling its difference fails, a larger one: digests
+in groups of about ``GROUP`` by their leading bits, each group in cells of its own, as many (``SIZES``) as it takes to peel
+the group from them; a group that fails them all is written as it is.  The larger sketch gives all digests of a version
+(its difference from nothing), so that the likeness of two fingerprints, one less the differing digests' share of
+all, is always told by what the fingerprints hold, exactly.
+
+All of it is DataFrame functions.  Work grows with a text's length, but for dealing digests into groups, which costs
+the square root of their number for each.  Neighbours in the order of ids are found with windows over ranges of ids, each of about
+``RANGE_BYTES`` of text (beyond ``MAX_RANGES`` of them, longer ones); the first documents of a range are sent to the range
+before it too.
 
 Defined cases: null text is empty; texts without paragraphs are alike (1.0); a paragraph that recurs in
-a text counts once; documents of one id follow each other by text; a null id comes last; a single document
-is its own next; an empty table gives an empty result.
+a text counts once; very long texts have as many groups as they need; documents of one id follow each other by text; a
+null id comes last; a single document is its own next; an empty table gives an empty result; columns besides
+key and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,15 +27,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import settled, table
+from .tables import narrow_join, settled, table
 
 PART_WORDS = 32
 BASE_CELLS = 5  # in each of three tables
-ROUNDS = 14
-RETRIES = 3
+GROUP = 8
+SIZES = (8, 16, 48)  # cells in each of a group's tables
+ROUNDS = 10
 RANGE_BYTES = 2 << 20
 COARSE = 512
-MAX_RANGES = 1 << 16
+MAX_RANGES = 1 << 20
 _PARTS = rf"(?:\S++[^\S\n]*+){{1,{PART_WORDS}}}+"
 
 
@@ -73,7 +81,7 @@ def subtract(a: Column, b: Column) -> Column:
 
 
 def peeled(cells: Column, per_table: Column, salt: int) -> Column:
-    """How many digests peeling recovers from a difference; null if some stay entangled."""
+    """The digests that peeling recovers from a difference; null if some stay entangled."""
 
     def single(cell):
         return (F.abs(cell["n"]) == 1) & (cell["c"] == check_of(cell["d"]))
@@ -87,40 +95,95 @@ def peeled(cells: Column, per_table: Column, salt: int) -> Column:
 
     def round_(state, _):
         def with_pure(pure):
-            return F.struct(F.when(F.size(pure) > 0, take_out(state["cells"], pure)).otherwise(state["cells"]).alias("cells"), (state["got"] + F.size(pure)).alias("got"))
+            return F.when(F.size(pure) == 0, F.struct(state["cells"].alias("cells"), state["got"].alias("got"), F.lit(True).alias("still"))).otherwise(
+                F.struct(take_out(state["cells"], pure).alias("cells"), F.concat(state["got"], F.transform(pure, lambda k: k["d"])).alias("got"), F.lit(False).alias("still"))
+            )
 
         singles = F.filter(state["cells"], single)
         keyed = F.array_distinct(F.transform(singles, lambda c: F.struct(c["n"].alias("s"), c["d"].alias("d"), c["c"].alias("c"), *(F.pmod(F.hash(c["d"], F.lit(100 * salt + h)), per_table).alias(f"p{h}") for h in range(3)))))
-        return let(keyed, with_pure)
+        return F.when(state["still"], state).otherwise(let(keyed, with_pure))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("got"))
+    start = F.struct(cells.alias("cells"), F.array().cast("array<bigint>").alias("got"), F.lit(False).alias("still"))
     done = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_)
     return let(done, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["d"] == 0) & (c["c"] == 0)), s["got"]))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Number of digests in one of two versions only, recovered from the difference of their sketches."""
-    total = F.size(a) + F.size(b)
+def groups(found: Column) -> Column:
+    """The digests dealt into a power of two of groups by their leading bits, first coarsely and then finely."""
+
+    def leading(d: Column, bits: Column) -> Column:  # a shift by 64 would be none
+        return F.when(bits > 0, F.call_function("shiftrightunsigned", F.call_function("shiftrightunsigned", d, F.lit(1)), F.lit(63) - bits)).otherwise(F.lit(0).cast("long"))
+
+    def dealt(bits: Column) -> Column:
+        half = F.call_function("shiftright", bits, F.lit(1))
+        rest = bits - half
+
+        def within(bucket, c):
+            first = F.call_function("shiftleft", c, rest)
+            return F.transform(F.sequence(first, first + F.call_function("shiftleft", F.lit(1).cast("long"), rest) - 1), lambda g: F.filter(bucket, lambda d: leading(d, bits) == g))
+
+        coarse = F.transform(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), half) - 1), lambda c: F.struct(c.alias("c"), F.filter(found, lambda d: leading(d, half) == c).alias("own")))
+        return F.flatten(F.transform(coarse, lambda x: within(x["own"], x["c"])))
+
+    return let(F.greatest(F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)) / GROUP)), F.lit(0)).cast("int"), dealt)
+
+
+def kept_group(group: Column) -> Column:
+    """The cells of the smallest sketch that gives the group back, with what it gives; the digests if none does."""
+
+    def attempt(k: int):
+        size = F.lit(SIZES[k])
+
+        def given(cells):
+            def answer(got):
+                return F.when(got.isNotNull(), F.struct(cells.alias("cells"), got.alias("got")))
 
-    def attempt(per_table: Column, salt: int) -> Column:
-        return peeled(subtract(sketch(a, per_table, salt), sketch(b, per_table, salt)), per_table, salt)
+            return let(peeled(cells, size, k + 1), answer)
 
-    def larger(k: int) -> Column:  # room for all of both versions, then twice and four times that
-        return let((F.ceil(total * 0.55 * 2**k) + 4).cast("int"), lambda m: attempt(m, k + 1))
+        return let(sketch(group, size, k + 1), given)
 
-    tries = [attempt(F.lit(BASE_CELLS), 0), *(larger(k) for k in range(RETRIES))]
-    return F.coalesce(*tries, F.size(F.array_except(a, b)) + F.size(F.array_except(b, a)))
+    plain = F.struct(F.transform(group, lambda d: F.struct(F.lit(1).alias("n"), d.alias("d"), F.lit(0).alias("c"))).alias("cells"), group.alias("got"))
+    tries = attempt(len(SIZES) - 1)
+    for k in reversed(range(len(SIZES) - 1)):
+        tries = _or_else(attempt(k), tries)
+    return _or_else(tries, plain)
+
+
+def _or_else(value: Column, other: Column) -> Column:
+    """``other`` where there is no value; it isn't computed where there is one."""
+    return let(value, lambda v: F.when(v.isNotNull(), v).otherwise(other))
+
+
+def fingerprint(found: Column) -> Column:
+    """(base, groups, digests): the small sketch, the cells of each group, and the digests that these give back."""
+
+    def of(parts):
+        return F.struct(sketch(found, F.lit(BASE_CELLS), 0).alias("base"), F.transform(parts, lambda p: p["cells"]).alias("groups"), F.flatten(F.transform(parts, lambda p: p["got"])).alias("digests"))
+
+    return let(F.transform(groups(found), kept_group), of)
+
+
+def differing(a: Column, b: Column) -> Column:
+    """Number of digests in one of two fingerprints only."""
+    small = peeled(subtract(a["base"], b["base"]), F.lit(BASE_CELLS), 0)
+    whole = F.size(F.array_except(a["digests"], b["digests"])) + F.size(F.array_except(b["digests"], a["digests"]))
+    return let(small, lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(whole))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    total = F.size(a) + F.size(b)
+    """1 less the share of digests that are in one of two fingerprints only."""
+    total = F.size(a["digests"]) + F.size(b["digests"])
     return F.when(total == 0, F.lit(1.0)).otherwise(1 - differing(a, b) / total)
 
 
-def written(found: Column) -> Column:
-    """The base sketch as text."""
-    cells = sketch(found, F.lit(BASE_CELLS), 0)
-    return F.array_join(F.transform(cells, lambda c: F.concat(F.hex(c["n"]), F.lit(":"), F.hex(c["d"]), F.lit(":"), F.hex(c["c"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))), ".")
+def written(mark: Column) -> Column:
+    """A fingerprint as text: tables of cells, the base first; a cell is its place, count, digest and check in hexadecimal digits."""
+
+    def cells(table_: Column) -> Column:
+        told = F.transform(table_, lambda c, i: F.when((c["n"] != 0) | (c["d"] != 0), F.concat_ws(":", F.hex(i), F.hex(c["n"]), F.hex(c["d"]), F.hex(c["c"].cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))))
+        return F.concat_ws(".", F.size(table_).cast("string"), F.array_join(told, "."))
+
+    return F.array_join(F.concat(F.array(cells(mark["base"])), F.transform(mark["groups"], cells)), "|")
 
 
 def ranges_of(ordered: DataFrame, n: int) -> Column:
@@ -147,12 +210,11 @@ def with_next(docs: DataFrame, key: str, text: str, carried: list[str], range_by
     size = ordered.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     n = int(min(MAX_RANGES, max(1, -(-size // range_bytes))))
     ranged = ordered.withColumn("_r", ranges_of(ordered, n))
-    heads = ranged.groupBy("_r").agg(F.max("_o").alias("_o")).collect()  # about MAX_RANGES at most
-    heads.sort(key=lambda r: r["_r"])
-    before = [(h["_o"], heads[k - 1]["_r"]) for k, h in enumerate(heads)]
-    sent = docs.sparkSession.createDataFrame(before, "_o long, _g int")
+    heads = ranged.groupBy("_r").agg(F.max("_o").alias("_o"))
+    ends = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row for each range
+    sent = settled(heads.select("_o", F.coalesce(F.lag("_r").over(Window.orderBy("_r")), F.max("_r").over(ends)).alias("_g")))
     places = F.when(F.col("_g").isNull(), F.array(F.struct(F.col("_r").alias("at"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("_r").alias("at"), F.lit(False).alias("guest")), F.struct(F.col("_g").alias("at"), F.lit(True).alias("guest"))))
-    placed = ranged.join(F.broadcast(sent), "_o", "left").withColumn("_x", F.explode(places)).withColumns({"_at": F.col("_x.at"), "_guest": F.col("_x.guest")})
+    placed = narrow_join(ranged, sent, "_o", "left").withColumn("_x", F.explode(places)).withColumns({"_at": F.col("_x.at"), "_guest": F.col("_x.guest")})
     order = Window.partitionBy("_at").orderBy("_guest", F.desc("_o"), text)
     return placed.withColumn("_next", F.lead(F.struct(*carried)).over(order)).filter(~F.col("_guest")).drop("_o", "_r", "_g", "_x", "_at", "_guest")
 
@@ -168,8 +230,11 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = settled(edited_pairs(table(spark, sf_dir, "documents")))
-    return pairs.select(
+    pairs = edited_pairs(table(spark, sf_dir, "documents"))
+    # a fingerprint gives back its digests whatever its groups are like, so those of the next text need not be built again
+    following = F.struct(sketch(F.col("following"), F.lit(BASE_CELLS), 0).alias("base"), F.col("following").alias("digests"))
+    marks = settled(pairs.select("doc_id", "n_chars", "edited_sha256", *(fingerprint(F.col(c)).alias(c) for c in ("own", "edited")), following.alias("following")))
+    return marks.select(
         "doc_id",
         "n_chars",
         "edited_sha256",

@@ -183,6 +183,37 @@ def test_fingerprints(spark, tables, docs):
             assert r["fingerprint"] == r["edited_fingerprint"]
 
 
+def test_fingerprints_give_back_all_digests(spark):
+    """Whatever the number of paragraphs, also where cells are so few that groups must be retried or written out."""
+    rows = [(n, [int(x) for x in np.random.default_rng(n).integers(-(2**63), 2**63, n)]) for n in (0, 1, 2, 7, 9, 40, 300, 3000)]
+    df = spark.createDataFrame(rows, "n int, found array<long>")
+    for r, (n, found) in zip(df.select("n", fingerprint.fingerprint(F.col("found")).alias("m"), fingerprint.written(fingerprint.fingerprint(F.col("found"))).alias("w")).orderBy("n").collect(), rows, strict=True):
+        assert r["n"] == n and sorted(r["m"]["digests"]) == sorted(found)
+        base, *groups = r["w"].split("|")
+        assert sum(int(c.split(":")[1], 16) for c in base.split(".")[1:] if c) == 3 * n
+        assert len(groups) == max(1, 1 << int(np.ceil(np.log2(max(n, 1) / 8)))) if n > 8 else len(groups) == 1
+        whole = [[tuple(int(x, 16) for x in c.split(":")) for c in g.split(".")[1:] if c] for g in groups]
+        assert sum(n for g, cells in zip(groups, whole) for _, n, _, _ in cells) in range(n, 3 * n + 1)
+        for g, cells in zip(groups, whole):
+            size = int(g.split(".")[0]) // 3
+            if 3 * size in (3 * k for k in fingerprint.SIZES):
+                sums = [0, 0, 0]
+                for at, _, d, _ in cells:
+                    sums[at // size] ^= d
+                assert sums[0] == sums[1] == sums[2]
+
+
+def test_fingerprint_of_a_very_long_text(spark, tmp_path):
+    words = [f"w{i % 7919}x{i // 7919}" for i in range(200_000)]
+    rows = [(2, " ".join(words)), (1, " ".join(words[:150_000]))]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for r in fingerprint.op4_fingerprints(spark, str(tmp_path)).collect():
+        text, after = rows[2 - r["doc_id"]][1], rows[r["doc_id"] - 1][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert r["near_edited"] == pytest.approx(like(parts(text), parts(edited))) and r["near_next"] == pytest.approx(like(parts(text), parts(after)))
+
+
 @pytest.mark.parametrize("range_bytes, coarse", [(1 << 20, 512), (4000, 512), (2000, 3), (500, 4)])
 def test_next_document_by_ranges(spark, tables, docs, monkeypatch, range_bytes, coarse):
     monkeypatch.setattr(fingerprint, "COARSE", coarse)
