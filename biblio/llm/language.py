@@ -4,12 +4,13 @@ A suffix automaton of labelled text is built for each language.  A text is cut g
 phrases, each the longest string that occurs in the language's text (Ziv-Merhav cross-parsing), and
 the language that needs the fewest phrases, normalised by the size of its text, wins.
 
-Texts are parsed in blocks of ``BLOCK`` bytes so that many blocks advance together, one byte at a
-time, through a dense transition table; every byte of every text is parsed.  Model size is bounded
-by ``train_bytes`` for a language and ``max_languages``.
+Texts are parsed whole.  Many blocks of ``BLOCK`` bytes advance together, one byte at a time, through a dense transition
+table, each as if a text began with it; then each is parsed again from the state in which the block before it ended, up
+to the byte where both parses agree, which is soon, and so on until no block ends in another state.  Memory is bounded by
+``train_bytes`` for each of 64 languages; more languages share that.
 
 Defined cases: null, empty or letterless text is ``und`` with score 0; with no labelled text at all
-every text is ``und``; equal phrase counts go to the first language by name; a repeated row is
+every text is ``und``; very long texts are parsed whole like any other; equal phrase counts go to the first language by name; a repeated row is
 predicted like any other; an empty table gives an empty result; columns named ``lang_pred`` or
 ``score`` are replaced.
 """
@@ -28,9 +29,11 @@ from .textbuf import LOWER, runs
 
 BLOCK = 512
 TRAIN_BYTES = 24_000
-TRAIN_SHARES = 12  # a text gives at most this part of a language's bytes: its first 2,000 characters
+#: Texts up to so many characters are drawn, whole; longer ones only for a language that has no other.
+TRAIN_CHARS = 3_000
 TRAIN_DOCS = 64
-MAX_LANGUAGES = 64
+USUAL_LANGUAGES = 64
+MAX_LANGUAGES = 4_096
 _FLAG = np.int32(1 << 30)
 
 
@@ -112,47 +115,72 @@ def phrases(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     padded = np.full(first[-1] * BLOCK, model.width - 1, np.uint8)
     padded[np.arange(len(raw)) + np.repeat(first[:-1] * BLOCK - offsets[:-1], sizes)] = model.symbol[raw]
     steps = np.ascontiguousarray(padded.reshape(-1, BLOCK).T)
+    starts = first[:-1][sizes > 0]
+    later = np.setdiff1d(np.arange(first[-1]), starts)  # blocks that go on with a text
+    goes_on = np.zeros(first[-1] + 1, bool)
+    goes_on[later] = True
     out = np.empty((len(sizes), len(model.tables)))
+    trace = np.empty(steps.shape, np.int32)
     for k, dense in enumerate(model.tables):
-        ended = np.ones(first[-1], np.int32)
+        ended = np.zeros(first[-1], np.int32)
         state = np.zeros(first[-1], np.int32)
-        for column in steps:
+        for i, column in enumerate(steps):
             np.add(state, column, out=state)
-            np.take(dense, state, out=state, mode="clip")
-            ended += state >> 30
-            state &= _FLAG - 1
+            np.take(dense, state, out=trace[i], mode="clip")
+            ended += trace[i] >> 30
+            np.bitwise_and(trace[i], _FLAG - 1, out=state)
+        ended[starts] += 1 - (trace[0, starts] >> 30)  # a text's first phrase ends none
+        again = later
+        while len(again):
+            state = trace[BLOCK - 1, again - 1] & (_FLAG - 1)
+            for i in range(BLOCK):
+                now = dense[state + steps[i, again]]
+                before = trace[i, again]
+                ended[again] += (now >> 30) - (before >> 30)
+                trace[i, again] = now
+                state = now & (_FLAG - 1)
+                apart = state != before & (_FLAG - 1)
+                again, state = again[apart], state[apart]
+                if not len(again):
+                    break
+            again = again[goes_on[again + 1]] + 1  # these ended in another state than they did
         total = np.concatenate([[0], np.cumsum(ended)])
         out[:, k] = (total[first[1:]] - total[first[:-1]]) * model.cost[k]
     return out
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Fit on a bounded sample: about ``train_docs`` texts, then ``train_bytes`` bytes, a language.
+def training_texts(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, max_languages: int = MAX_LANGUAGES) -> dict[str, str]:
+    """A bounded sample of labelled texts: of each language up to ``train_docs``, and ``train_bytes`` characters.
 
     The ``max_languages`` most frequent labels are learned.  Which rows are drawn depends on a hash
     of key and text only.
     """
+    fits = F.char_length(F.col(text)) <= TRAIN_CHARS
     labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = labelled.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("all"), F.count_if(fits).alias("fit")).orderBy(F.desc("all"), "lang").limit(max_languages).collect()
     draw = F.pmod(F.xxhash64(F.lit(17), F.col(key).cast("string"), text), F.lit(1 << 30))
     rate = None
     for row in counts:
-        most = F.lit(int(min(1.0, 2 * train_docs / row["count"]) * (1 << 30)))
+        most = F.when(fits if row["fit"] else F.lit(True), F.lit(int(min(1.0, 2 * train_docs / (row["fit"] or row["all"])) * (1 << 30))))
         rate = F.when(F.col(lang) == row["lang"], most) if rate is None else rate.when(F.col(lang) == row["lang"], most)
     if rate is None:
-        return build({})
+        return {}
+    share = max(train_bytes * USUAL_LANGUAGES // max(len(counts), USUAL_LANGUAGES), 256)
     drawn = labelled.withColumn("_draw", draw).filter(F.col("_draw") < rate).select(F.col(lang).alias("lang"), F.substring(text, 1, train_bytes).alias("text"), "_draw").orderBy("_draw", "text").limit(4 * train_docs * len(counts)).collect()
     samples: dict[str, str] = {}
     taken: dict[str, int] = {}
     texts: set[str] = set()
     for row in drawn:
         have = samples.get(row["lang"], "")
-        if row["text"] not in texts and taken.get(row["lang"], 0) < train_docs and len(have) < train_bytes:
+        if row["text"] not in texts and taken.get(row["lang"], 0) < train_docs and len(have) < share:
             texts.add(row["text"])
-            share = max(train_bytes // TRAIN_SHARES, 1)  # several texts, so that one long or odd text does not stand for its language
-            samples[row["lang"]] = (have + " " + row["text"][:share])[:train_bytes]
+            samples[row["lang"]] = (have + " " + row["text"])[:share]
             taken[row["lang"]] = taken.get(row["lang"], 0) + 1
-    return build(samples)
+    return samples
+
+
+def learn(docs: DataFrame, **how) -> Model:
+    return build(training_texts(docs, **how))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
