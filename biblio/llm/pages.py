@@ -2,16 +2,19 @@
 
 A page is a sequence of tokens: words score positive, tags negative.  The weight of a tag (its name,
 class and direction) comes from labelled pages, those that mark their content with ``article`` or
-``main``: the more a tag occurs outside of the marked part, the more it costs.  A linear scan finds the
-contiguous region with the highest score.  Within it, elements whose tags hardly ever occur in marked
-content are left out, as are scripts, styles, forms and the like, and blocks of text are joined.
+``main``: the more a tag occurs outside of the marked part (elements around that part aside), the more it costs;
+tags without a class, which any part of a page may have, cost ``PLAIN_MOST`` at most.  A linear scan finds the
+contiguous region with the highest score.  Within it, elements with a class that hardly ever occurs in marked
+content are left out, as are the elements that HTML itself sets apart from content (``SKIPPED``), and blocks of text are joined.
 
-Weights are learned from a bounded sample (``TRAIN_PAGES``); every page is extracted, whole.
+Weights are learned from a bounded sample (``TRAIN_PAGES``); every page is extracted, whole, in time that grows with
+its length.
 
 Defined cases: null or empty html gives empty text; a page without words gives empty text; equal scores
-take the earlier region; unclosed elements end with the page; without labelled pages all tags cost
-``UNSEEN``; repeated rows are extracted alike; an empty table gives an empty result; columns with the
-names of new ones are replaced.
+take the earlier region; paragraphs, list items, table cells and the like end where HTML lets them end without a tag, other
+unclosed elements with the page; a ``<`` that opens no tag is text; very long pages are pages like any other; without
+labelled pages all tags cost ``UNSEEN``; repeated rows are extracted alike; an empty table gives an empty result; columns
+with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -32,57 +35,186 @@ WORD = 1.0
 UNSEEN = 2.0
 #: What a tag costs that occurs outside of content only; a passage of that many words outweighs it.
 MOST = 60.0
+#: The same for a tag without class, id or role.
+PLAIN_MOST = 5.0
 #: Elements that never hold article text.
 SKIPPED = frozenset("script style noscript template nav aside footer form button select option textarea iframe svg head title dialog menu".split())
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("address article blockquote body caption center dd details div dl dt fieldset figcaption figure footer h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Parts of class names and ids of page furniture.
-FURNITURE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|breadcrumbs?|byline-share|comments?|cookies?|footer|header|menu|modal|nav|navbar|navigation|newsletter|notice|popup|promo\w*|related|share|sharing|sidebar|social|sponsor\w*|subscribe|widget)(?:$|[\s_-])", re.I)
 MARKED = ("article", "main")
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[?[^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+#: Elements that end without a tag: which tags end them, and which open elements these do not look through.
+_PARAGRAPH_ENDS = BLOCKS - {"body", "caption", "html", "tbody", "td", "tfoot", "th", "thead", "tr"}
+_CELL_ENDS = frozenset(("td", "th", "tr", "tbody", "tfoot", "thead"))
+_ENDED_BY = {
+    "p": (_PARAGRAPH_ENDS, frozenset(("table", "td", "th", "caption", "button"))),
+    "li": (frozenset(("li",)), frozenset(("ul", "ol", "table", "td", "th"))),
+    "dt": (frozenset(("dt", "dd")), frozenset(("dl", "table", "td", "th"))),
+    "dd": (frozenset(("dt", "dd")), frozenset(("dl", "table", "td", "th"))),
+    "td": (_CELL_ENDS, frozenset(("table",))),
+    "th": (_CELL_ENDS, frozenset(("table",))),
+    "tr": (frozenset(("tr", "tbody", "tfoot", "thead")), frozenset(("table",))),
+    "option": (frozenset(("option", "optgroup")), frozenset(("select",))),
+}
+_ENDS: dict[str, list[str]] = {}
+for _name, (_tags, _) in _ENDED_BY.items():
+    for _tag in _tags:
+        _ENDS.setdefault(_tag, []).append(_name)
+
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_PLAIN = re.compile(r"[^>\"']*")
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template")}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def tag_end(page: str, at: int, stop: int) -> int:
+    """Place of the ``>`` that ends a tag, quoted values aside, before ``stop``; -1 if there is none."""
+    while at < stop:
+        at = _PLAIN.match(page, at, stop).end()
+        if at >= stop:
+            return -1
+        if page[at] == ">":
+            return at
+        at = page.find(page[at], at + 1, stop) + 1
+        if not at:
+            return -1
+    return -1
+
+
 def tokens(page: str):
-    """(kind, name, key, text) of each tag ('<' or '>') and run of text ('t') of a page."""
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield "t", "", "", page[at : m.start()]
-        at = m.end()
-        if m[3]:
-            name = m[3].lower()
-            named = " ".join(a or b or c for a, b, c in _NAMED.findall(m[4])) if m[4] else ""
-            yield (">" if m[2] else "<"), name, f"{m[2]}{name}" + (f".{named.lower()}" if named else ""), named
-    if at < len(page):
-        yield "t", "", "", page[at:]
+    """(kind, name, key, named) of each tag ('<' or '>') and ('t', '', '', text) of each run of text of a page.
+
+    One tag that quotes keep from ending makes the rest of the page be read by a stricter rule, under which quoted values
+    hold no ``<``, so that no part is looked at over and over.
+    """
+    at, text_from, strict, n = 0, 0, False, len(page)
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            break
+        name = None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at)
+            end = n if end < 0 else end + 1
+        else:
+            m = _NAME.match(page, at + 1)
+            end = 0
+            if m:
+                stop = n
+                if not strict:
+                    end = tag_end(page, m.end(), n) + 1
+                    strict = not end
+                if strict:
+                    stop = page.find("<", m.end())
+                    stop = n if stop < 0 else stop
+                    end = (tag_end(page, m.end(), stop) + 1) or (page.find(">", m.end(), stop) + 1)
+            if not end:  # no tag: text
+                at += 1
+                continue
+            name, opens, inner = m[1].lower(), page[at + 1] != "/", page[m.end() : end - 1]
+        if at > text_from:
+            yield "t", "", "", page[text_from:at]
+        if name:
+            named = " ".join(x or y or z for x, y, z in _NAMED.findall(inner)) if "=" in inner else ""
+            raw = _RAW.get(name) if opens else None
+            if raw:  # what stands in it is no content
+                m = raw.search(page, end)
+                end = n if m is None else m.end()
+            else:
+                yield ("<" if opens else ">"), name, ("" if opens else "/") + name + (f".{named.lower()}" if named else ""), named
+        at = text_from = end
+    if text_from < n:
+        yield "t", "", "", page[text_from:]
+
+
+class Open:
+    """The open elements at a place of a page."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, object]] = []  # name and what is known of the element
+        self.count: Counter = Counter()
+
+    def push(self, name: str, mark) -> None:
+        self.stack.append((name, mark))
+        self.count[name] += 1
+
+    def pop_to(self, size: int) -> list:
+        gone = self.stack[size:]
+        del self.stack[size:]
+        for name, _ in gone:
+            self.count[name] -= 1
+        return gone
+
+    def before(self, name: str) -> list:
+        """Elements that end where a tag of this name opens."""
+        gone = []
+        for ended in _ENDS.get(name, ()):
+            if self.count[ended]:
+                walls = _ENDED_BY[ended][1]
+                for k in range(len(self.stack) - 1, -1, -1):
+                    if self.stack[k][0] == ended:
+                        gone += self.pop_to(k)
+                        break
+                    if self.stack[k][0] in walls:
+                        break
+        return gone
+
+    def close(self, name: str) -> list:
+        """Elements that an end tag ends; none if it ends nothing."""
+        if not self.count[name]:
+            return []
+        k = len(self.stack) - 1
+        while self.stack[k][0] != name:
+            k -= 1
+        return self.pop_to(k)
 
 
 def tag_counts(page: str) -> tuple[Counter, Counter] | None:
-    """How often each tag occurs in and out of a page's marked content; None if nothing is marked."""
+    """How often each tag occurs in and out of a page's marked content; None if nothing is marked.
+
+    Tags of elements around the marked content count on neither side.
+    """
     inside, outside, depth, seen = Counter(), Counter(), 0, False
+    open_ = Open()
     for kind, name, key, _ in tokens(page):
         if kind == "t":
             continue
         if name in MARKED:
+            if kind == "<" and not depth:
+                for _, own in open_.stack:
+                    if own[0]:  # around the content
+                        outside[own[0]] -= 1
+                        own[0] = ""
             depth = max(0, depth + (1 if kind == "<" else -1))
             seen = True
+        elif depth:
+            inside[key] += 1
+        elif kind == "<":
+            open_.before(name)
+            outside[key] += 1
+            if name not in VOID:
+                open_.push(name, [key])
         else:
-            (inside if depth else outside)[key] += 1
-    return (inside, outside) if seen else None
+            gone = open_.close(name)
+            if gone and gone[0][1][0]:
+                outside[key] += 1
+    return (inside, +outside) if seen else None
 
 
 def weigh(inside: Counter, outside: Counter) -> dict[str, float]:
     """Cost of each tag: nearly nothing where it is mostly content, up to ``MOST`` where it never is."""
     out = {}
     for key in inside.keys() | outside.keys():
+        most = MOST if "." in key else PLAIN_MOST
         share = (outside[key] + 0.5) / (inside[key] + outside[key] + 1.0)
-        out[key] = min(MOST, 0.1 + max(0.0, 6.0 * math.log(share / (1 - share)))) if share > 0.5 else 0.1
+        out[key] = min(most, 0.1 + max(0.0, 6.0 * math.log(share / (1 - share)))) if share > 0.5 else 0.1
         if not inside[key] and outside[key] >= 5:
-            out[key] = MOST
+            out[key] = most
     return out
 
 
@@ -107,19 +239,38 @@ def learn(pages: DataFrame, html: str = "html", most: int = TRAIN_PAGES) -> dict
     return weigh(Counter({r["key"]: r["i"] for r in counts}), Counter({r["key"]: r["o"] for r in counts}))
 
 
-def region(items: list[tuple], cost: dict[str, float]) -> tuple[int, int]:
+def furniture(name: str, key: str, cost: dict[str, float]) -> bool:
+    """Whether an element is left out of the content it stands in."""
+    if name in SKIPPED or name == "header" and cost.get(key, 0.0) >= PLAIN_MOST:
+        return True
+    return name not in MARKED and cost.get(key, 0.0) >= MOST
+
+
+def left_out(items: list[tuple], cost: dict[str, float]) -> list[int]:
+    """For each item, how many open elements around it are left out (a tag of such an element is in it)."""
+    open_, off, out = Open(), 0, []
+    for kind, name, key, _ in items:
+        if kind == "<":
+            off -= sum(mark for _, mark in open_.before(name))
+            mark = furniture(name, key, cost)
+            out.append(off + mark)
+            if name not in VOID:
+                open_.push(name, mark)
+                off += mark
+        else:
+            out.append(off)
+            if kind == ">":
+                off -= sum(mark for _, mark in open_.close(name))
+    return out
+
+
+def region(items: list[tuple], off: list[int], cost: dict[str, float]) -> tuple[int, int]:
     """First and last item of the contiguous run with the highest score (a linear scan)."""
     best, best_at, run, start = 0.0, (0, 0), 0.0, 0
-    skipped: list[str] = []  # open elements that are no content: their words score nothing
     for i, (kind, name, key, text) in enumerate(items):
         if kind == "t":
-            value = 0.0 if skipped else WORD * len(text.split())
+            value = 0.0 if off[i] else WORD * len(text.split())
         else:
-            if kind == ">":
-                if skipped and name == skipped[-1]:
-                    skipped.pop()
-            elif name not in VOID and (name == skipped[-1] if skipped else furniture(name, key, text, cost)):
-                skipped.append(name)
             value = 0.0 if name in MARKED else -cost.get(key, UNSEEN)
         if run <= 0:
             run, start = 0.0, i
@@ -129,21 +280,14 @@ def region(items: list[tuple], cost: dict[str, float]) -> tuple[int, int]:
     return best_at
 
 
-def furniture(name: str, key: str, named: str, cost: dict[str, float]) -> bool:
-    """Whether an element is left out of the content it stands in."""
-    if name in SKIPPED or name == "header" and key in cost and cost[key] >= MOST:
-        return True
-    return name not in MARKED and bool(named) and (bool(FURNITURE.search(named)) or cost.get(key, 0.0) >= MOST)
-
-
 def main_text(page: str | None, cost: dict[str, float]) -> str:
     """The page's main text, one block a line."""
     if not page:
         return ""
     items = list(tokens(page))
-    first, last = region(items, cost)
-    # open elements that enclose the region's beginning do not count; an element left out is skipped whole
-    blocks, parts, skipped = [], [], []
+    off = left_out(items, cost)
+    first, last = region(items, off, cost)
+    blocks, parts = [], []
 
     def close():
         block = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
@@ -151,26 +295,14 @@ def main_text(page: str | None, cost: dict[str, float]) -> str:
             blocks.append(block)
         parts.clear()
 
-    for kind, name, key, text in items[first:last]:
+    for (kind, name, _, text), out in zip(items[first:last], off[first:last], strict=True):
         if kind == "t":
-            if not skipped:
+            if not out:
                 parts.append(text)
-            continue
-        if name == "br" and not skipped:
-            parts.append(" ")
-        if name in BLOCKS and not skipped:
+        elif name in BLOCKS or (out and name in SKIPPED):
             close()
-        if kind == "<":
-            if name in VOID:
-                continue
-            if skipped:
-                if name == skipped[-1]:
-                    skipped.append(name)
-            elif furniture(name, key, text, cost):
-                close()
-                skipped.append(name)
-        elif skipped and name == skipped[-1]:
-            skipped.pop()
+        elif name == "br" and not out:
+            parts.append(" ")
     close()
     return "\n".join(blocks)
 
