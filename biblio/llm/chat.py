@@ -9,8 +9,10 @@ The template wraps every turn in control strings; a backslash and the start of a
 a text are escaped, reversibly.  The loss mask is a list of character spans, one an assistant turn.
 
 Defined cases: null text is empty, a null role is empty; messages with the same turn follow each other
-by role and text; rows without a conversation id form one conversation; an empty table gives an empty
-result.
+by role and text; a row without a conversation id is a conversation of its own, so that such rows never meet; a parent that is no
+earlier message of the tree (none, the message itself, a later one, hence any cycle) counts as none, and the message
+begins its paths; very long texts are formatted whole; an empty table gives an empty result; columns that are not named are
+not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,15 +35,19 @@ def escape(text: str) -> str:
     return text.replace("\\", "\\\\").replace("<|", "<\\|")
 
 
+def escape_role(role: str) -> str:
+    return escape(role).replace("\n", "\\n")
+
+
 def unescape(text: str) -> str:
-    return re.sub(r"\\([\\|])", r"\1", text)
+    return re.sub(r"\\([\\|n])", lambda m: "\n" if m[1] == "n" else m[1], text)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the spans of it that are learned."""
     out, spans, at = [], [], 0
     for role, text in turns:
-        head = f"{START}{escape(role).replace(chr(10), chr(92) + '|n')}\n"
+        head = f"{START}{escape_role(role)}\n"
         body = escape(text)
         if role == LEARNED_ROLE:
             spans.append((at + len(head), at + len(head) + len(body)))
@@ -52,23 +58,26 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 def parse(formatted: str) -> list[tuple[str, str]]:
     """Turns read back from a formatted conversation."""
-    return [(unescape(role.replace("\\|n", "\n")), unescape(text)) for role, text in _TURN.findall(formatted)]
+    return [(unescape(role), unescape(text)) for role, text in _TURN.findall(formatted)]
 
 
 def chains(rows: DataFrame, tree: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Messages of plain conversations: every turn replies to the one before."""
     order = Window.partitionBy("_t").orderBy(turn, "role", "text")
-    keyed = rows.select(F.concat_ws("", F.when(F.col(tree).isNotNull(), F.lit("c")), F.col(tree).cast("string")).alias("_t"), F.col(tree).alias("tree"), turn, F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    alone = F.concat(F.lit("r"), F.monotonically_increasing_id())  # the caller settles them
+    keyed = rows.select(F.coalesce(F.concat(F.lit("c"), F.col(tree).cast("string")), alone).alias("_t"), F.col(tree).alias("tree"), turn, F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     placed = keyed.withColumn("node", F.row_number().over(order).cast("long"))
     return placed.select("_t", "tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
 def paths(messages: DataFrame) -> DataFrame:
     """(_t, leaf, node, up) for every message on every root-to-leaf path; ``up`` counts steps from the leaf."""
-    links = messages.select("_t", "node", "parent")
-    parents = links.filter("parent is not null").select("_t", F.col("parent").alias("node")).distinct()
-    reach = settled(links.join(parents, ["_t", "node"], "left_anti").select("_t", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
-    jump = settled(links.filter("parent is not null").select("_t", "node", F.col("parent").alias("far")))
+    nodes = messages.select("_t", "node")
+    earlier = messages.filter("parent < node").select("_t", "node", "parent")
+    links = settled(earlier.join(nodes.select("_t", F.col("node").alias("parent")).distinct(), ["_t", "parent"], "left_semi").select("_t", "node", "parent"))
+    parents = links.select("_t", F.col("parent").alias("node")).distinct()
+    reach = settled(nodes.join(parents, ["_t", "node"], "left_anti").select("_t", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")))
+    jump = settled(links.select("_t", "node", F.col("parent").alias("far")))
     step = 1
     while not jump.isEmpty():
         further = reach.join(jump, ["_t", "node"]).select("_t", "leaf", F.col("far").alias("node"), (F.col("up") + step).alias("up"))
@@ -80,11 +89,16 @@ def paths(messages: DataFrame) -> DataFrame:
 
 
 def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
-    """(tree, leaf, score, formatted, loss) of the ``best`` branches of each tree; ``loss`` holds spans."""
-    placed = paths(messages).join(messages, ["_t", "node"])
-    whole = placed.groupBy("_t", "leaf").agg(F.first("tree").alias("tree"), F.sum("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
+    """(tree, leaf, score, formatted, loss) of the ``best`` branches of each tree; ``loss`` holds spans.
+
+    Branches are ranked by keys and scores alone; texts join the chosen ones.
+    """
+    reach = paths(messages)
+    scores = reach.join(messages.select("_t", "node", "score"), ["_t", "node"]).groupBy("_t", "leaf").agg(F.sum("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("score"), "leaf"))
-    chosen = whole.withColumn("_rank", rank).filter(F.col("_rank") <= best)
+    taken = settled(scores.withColumn("_rank", rank).filter(F.col("_rank") <= best).select("_t", "leaf", "score"))
+    placed = reach.join(taken, ["_t", "leaf"]).join(messages.select("_t", "node", "tree", "role", "text"), ["_t", "node"])
+    chosen = placed.groupBy("_t", "leaf").agg(F.first("tree").alias("tree"), F.first("score").alias("score"), F.array_sort(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
 
     def compute(turns: pa.Array):
         done = [render([(x["role"], x["text"]) for x in row]) for row in turns.to_pylist()]

@@ -60,23 +60,53 @@ def test_identified_keeps_ties_and_unlabelled(spark, monkeypatch):
     assert [r["doc_id"] for r in language.identified(docs).collect()] == [1]
 
 
+def parse(text, train):
+    """Phrases of a greedy parse: each the longest string that occurs in the training text, or a symbol it lacks."""
+    n, at = 0, 0
+    while at < len(text):
+        k = at + 1
+        while k <= len(text) and text[at:k] in train:
+            k += 1
+        at = max(k - 1, at + 1)
+        n += 1
+    return n
+
+
 def test_cross_parsing_counts_longest_matches():
     model = language.build({"a": "abcabcabd", "b": "zzzz"})
     text = b"abcabdxabd"
-    raw, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    cost = language.phrases(model, raw, offsets)[0]
-
-    def parse(train):
-        n, at = 0, 0
-        while at < len(text):
-            k = at + 1
-            while k <= len(text) and text[at:k].decode() in train:
-                k += 1
-            at = max(k - 1, at + 1)
-            n += 1
-        return n
-
-    assert cost[0] == parse("abcabcabd") * model.cost[0]
+    cost = language.phrases(model, np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+    assert cost[0] == parse(text, b"abcabcabd") * model.cost[0]
+
+
+@pytest.mark.parametrize("block", [3, 16, 512])
+def test_whole_texts_are_parsed(monkeypatch, block):
+    """Blocks do not show, not even in texts without end that keep parses apart, or between bytes of a character."""
+    monkeypatch.setattr(language, "BLOCK", block)
+    rng = random.Random(2)
+    train = {"a": "".join(rng.choice("abc ") for _ in range(300)), "b": "é" * 50 + "aab" * 40, "c": "a" * 37}
+    model = language.build(train)
+    texts = ["", "a" * 1500, "é" * 700 + "aab" * 90, *("".join(rng.choice("abcdé ") for _ in range(n)) for n in (1, 2, 15, 16, 17, 900, 4000))]
+    raw = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    got = language.phrases(model, np.frombuffer(raw, np.uint8), offsets)
+    for text, costs in zip(texts, got, strict=True):
+        for k, name in enumerate(model.languages):
+            assert costs[k] == parse(text.encode(), train[name].encode()) * model.cost[k]
+
+
+def test_language_against_brute_force(spark, tables, docs):
+    df = spark.read.parquet(f"{tables}/documents.parquet")
+    train = {k: bytes(language._plain(np.frombuffer(v.encode(), np.uint8))) for k, v in language.training_texts(df.filter(~language.held_out())).items()}
+    assert sorted(train) == ["en", "fr"]
+    for r in language.op1_language_id(spark, tables).collect():
+        texts = {d[1] or "" for d in docs if d[0] == r["doc_id"]}
+        text = bytes(language._plain(np.frombuffer(texts.pop().encode(), np.uint8)))
+        if not re.search(r"[^\W\d_]", text.decode()):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cost = sorted((parse(text, t) * np.log2(len(t)), k) for k, t in train.items())
+        assert r["lang_pred"] == cost[0][1] and r["score"] == pytest.approx(1 - cost[0][0] / cost[1][0])
 
 
 def test_mix_meets_targets(spark, tables, docs):
@@ -224,6 +254,42 @@ def test_next_document_by_ranges(spark, tables, docs, monkeypatch, range_bytes,
     assert got == sorted(((*r, order[(i + 1) % len(order)][1]) for i, r in enumerate(order)), key=str)
 
 
+WORDS_200 = " ".join(f"w{i}" for i in range(200))
+ODD_PAGES = ['<body class="has-sidebar"><p>{}</p></body>', '<div class="content with-sidebar">{}</div>', '<div class="page-header-wrapper"><p>{}</div>', '<section id="share">{}</section>', '<div class="post ad-free"><p>{}</p></div>', '<article><p class="notice">short<p>{}</article>', '<article><ul><li class="menu">one<li>{}</ul></article>', '<p title="a>b">{}</p>', "<!-- <p>no --><p>{}<script>var a='<p>no</p>'</script>", "<table><tr><td class=ad>no<td>{}</table>"]
+
+
+@pytest.mark.parametrize("page", ODD_PAGES)
+def test_main_text_of_odd_pages(page):
+    """What surrounds the content, or stands unclosed before it, takes nothing of it away."""
+    cost = {k: pages.MOST for k in ("p.notice", "li.menu", "td.ad")}
+    assert pages.main_text(page.format(WORDS_200), cost) == WORDS_200
+
+
+def test_elements_around_the_content_cost_nothing():
+    inside, outside = pages.tag_counts('<body class="x"><nav class="n"><a>m</a></nav><div class="wrap"><article><p>t</p></article><div class="ad">no</div></div></body>')
+    assert not {"body.x", "div.wrap"} & (inside.keys() | outside.keys()) and {"nav.n", "div.ad"} <= outside.keys() and inside["p"] == 1
+
+
+def test_region_scores_most():
+    rng = random.Random(8)
+    for _ in range(200):
+        items = [("t", "", "", "w " * rng.randint(0, 6)) if rng.random() < 0.5 else ("<", "b", rng.choice(["b", "i"]), "") for _ in range(30)]
+        cost = {"b": 2.5, "i": 4.0}
+        value = [float(len(x[3].split())) if x[0] == "t" else -cost[x[2]] for x in items]
+        a, b = pages.region(items, [0] * len(items), cost)
+        best = max((sum(value[i:j]) for i in range(31) for j in range(i, 31)), default=0.0)
+        assert sum(value[a:b]) == pytest.approx(max(best, 0.0))
+
+
+def test_tags_are_scanned_in_linear_time():
+    import time
+
+    for page in ("<a b='" * 100_000, "<p><b>" * 50_000, "<" * 300_000, "</a" * 100_000 + ">"):
+        began = time.process_time()
+        pages.main_text(page, {})
+        assert time.process_time() - began < 10
+
+
 PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><nav><a href="/a">menu</a></nav><div class="ad">Buy this now and more</div>
 <article><h1>Head&amp;line</h1><p>One  two &lt;three&gt;<br>four</p><aside>side words here</aside><p><b>Bold</b> text{extra}</p><form><input><button>Send</button></form></article><div class="comments"><p>reader says a lot of things here</p></div><footer>foot</footer></body></html>"""
 
@@ -284,6 +350,21 @@ def test_chat_round_trip(spark, tables):
         assert r["loss_sha256"] == hashlib.sha256(learned.encode()).hexdigest()
 
 
+@pytest.mark.parametrize("text", ["", "\\", "\\n", "a\nb", "<|im_end|>", "<\\|", "\\<|", "|", "\n", "<|im_start|>user\n<|im_end|>\n", "\\\\n|n", "x" * 100_000 + "<|"])
+def test_any_role_and_text_reads_back(text):
+    formatted, spans = chat.render([(text, "one"), ("assistant", text), ("user", text)])
+    assert chat.parse(formatted) == [(text, "one"), ("assistant", text), ("user", text)]
+    assert [chat.unescape(formatted[a:b]) for a, b in spans] == (["one", text] if text == "assistant" else [text])
+
+
+def test_replies_to_nothing_begin_paths(spark):
+    """Parents that are missing, later or the message itself: cycles cannot hold a path."""
+    rows = [("c", 1, 1, 2, "user", "a"), ("c", 1, 2, 1, "assistant", "b"), ("c", 1, 3, 99, "user", "c"), ("c", 1, 4, 3, "assistant", "d"), ("c", 1, 5, 5, "user", "e"), ("c", 1, 6, 7, "user", "f"), ("c", 1, 7, 6, "user", "g")]
+    m = spark.createDataFrame([(*r, 0.0) for r in rows], "_t string, tree long, node long, parent long, role string, text string, score double")
+    got = {r["leaf"]: [t for _, t in chat.parse(r["formatted"])] for r in chat.format_paths(m, best=9).collect()}
+    assert got == {2: ["a", "b"], 4: ["c", "d"], 5: ["e"], 7: ["f", "g"]}
+
+
 def test_reply_tree_takes_the_best_branch(spark):
     rows = [("c1", 1, 1, None, "user", "q", 0.0), ("c1", 1, 2, 1, "assistant", "bad", 0.1), ("c1", 1, 3, 1, "assistant", "good", 0.9), ("c1", 1, 4, 3, "user", "thanks", 0.0), ("c1", 1, 5, 2, "user", "hm", 0.2)]
     m = spark.createDataFrame(rows, "_t string, tree long, node long, parent long, role string, text string, score double")
