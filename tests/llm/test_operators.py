@@ -175,6 +175,104 @@ def test_suffix_tree_base_score(spark, tables, docs):
     assert all(r["train_tokens"] == n and r["score"] < 0 for r in got)
 
 
+def brute_suffix_tree(train):
+    """log10 probability of a list of tokens, by a model kept in dictionaries."""
+    counts = Counter(x for t in train for x in t)
+    total, scale = sum(counts.values()), sum(counts.values()) + 0.5 * (len(counts) + 1)
+    least = max(suffix_tree.MIN_SHARE * total, 4)
+    symbols = {x for x, n in counts.items() if n >= max(suffix_tree.MIN_SHARE * total, 2)}
+    sym = lambda x: x if x in symbols else "other"
+    root = {x: (counts[x] + 0.5) / scale for x in symbols}
+    root["other"] = 1 - sum(root.values())
+    kept = {}  # context -> (rest, shares)
+
+    def share(context, x, depth):
+        p = root[x]
+        for d in range(1, min(depth, len(context)) + 1):
+            found = kept.get(context[len(context) - d :])
+            if found:
+                p = found[0] * p + found[1].get(x, 0.0)
+        return p
+
+    wanted = None
+    for d in range(1, suffix_tree.DEPTH + 1):
+        pairs = Counter()
+        for t in train:
+            s = [sym(None), *map(sym, t)]
+            pairs.update((tuple(s[j - d : j]), s[j]) for j in range(d, len(s)) if wanted is None or tuple(s[j - d : j]) in wanted)
+        sizes = Counter()
+        for (c, _), n in pairs.items():
+            sizes[c] += n
+        level = {}
+        for c, size in sizes.items():
+            if size < least:
+                continue
+            own = {x: n for (k, x), n in pairs.items() if k == c and n >= 2}
+            rest = (suffix_tree.PRIOR + size - sum(own.values())) / (size + suffix_tree.PRIOR)
+            before = {x: share(c, x, d - 1) for x in own}
+            gain = sum(n * np.log((n / (size + suffix_tree.PRIOR) + rest * before[x]) / before[x]) for x, n in own.items()) + (size - sum(own.values())) * np.log(rest)
+            if gain >= suffix_tree.MIN_GAIN:
+                level[c] = (rest, {x: n / (size + suffix_tree.PRIOR) for x, n in own.items()})
+        kept |= level
+        wanted = {(*c, x) for (c, x), n in pairs.items() if n >= least}
+
+    def in_tree(t, j):
+        s = [sym(None), *map(sym, t)]
+        c = tuple(s[max(0, j + 1 - suffix_tree.DEPTH) : j + 1])
+        return (counts[t[j]] + 0.5) / scale * share(c, s[j + 1], suffix_tree.DEPTH) / root[s[j + 1]]
+
+    deep = defaultdict(Counter)
+    p_of = {}
+    for t in train:
+        for j in range(suffix_tree.DEEP, len(t)):
+            deep[tuple(t[j - suffix_tree.DEEP : j])][t[j]] += 1
+            p_of[tuple(t[j - suffix_tree.DEEP : j + 1])] = in_tree(t, j)
+    told = {}
+    for c, after in deep.items():
+        size = sum(after.values())
+        own = {x: n for x, n in after.items() if n >= suffix_tree.REPEATS}
+        rest = (suffix_tree.PRIOR + size - sum(own.values())) / (size + suffix_tree.PRIOR)
+        value = {x: n / (size + suffix_tree.PRIOR) / p_of[(*c, x)] + rest for x, n in own.items()}
+        if own and sum(n * np.log(value[x]) for x, n in own.items()) + (size - sum(own.values())) * np.log(rest) >= suffix_tree.MIN_GAIN:
+            told[c] = (rest, value)
+
+    def score(t):
+        total = 0.0
+        for j in range(len(t)):
+            p = in_tree(t, j)
+            c = tuple(t[j - suffix_tree.DEEP : j]) if j >= suffix_tree.DEEP else None
+            if c in told:
+                p *= told[c][1].get(t[j], told[c][0])
+            total += log10(p)
+        return total
+
+    return score
+
+
+def test_suffix_tree_score_against_brute_force(spark, tables, docs):
+    """With all deep contexts, as which of them are chosen goes by a hash that only the operator has."""
+    tokens = [(d[0], [*WORD.findall(low(d[1])), None]) for d in docs]
+    score = brute_suffix_tree([t for k, t in tokens if zlib.crc32(str(k).encode()) % 5 != 1])
+    want = sorted((k, len(t), round(score(t), 3)) for k, t in tokens)
+    got = sorted((r["doc_id"], r["n_tokens"], round(r["score"], 3)) for r in suffix_tree.scored(spark.read.parquet(f"{tables}/documents.parquet"), every=1).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-4, abs=2e-3)
+
+
+def test_repeated_passages_score_higher(spark):
+    """A text that the corpus holds twice gains far more over the base than one it holds once."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(300)]
+    rows += [(1000 + k, rows[k][1]) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in suffix_tree.scored(df).collect()}
+    train = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5 != 1]
+    twice = [got[k] for k in train if k < 40 and zlib.crc32(str(1000 + k).encode()) % 5 != 1]
+    once = [got[k] for k in train if k >= 40]
+    assert min(twice) > max(once) + 5
+
+
 def test_suffix_tree_gains_on_held_out_texts(spark):
     held = suffix_tree.op3_suffix_tree_score(spark, FULL).filter("held_out")
     base, score = held.agg(F.sum("base_score"), F.sum("score")).first()
