@@ -7,24 +7,23 @@ import zlib
 from collections import Counter, defaultdict
 from math import log10
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from biblio.llm import chat, fingerprint, jaccard, language, mixing, packing, pages, quality, sharding, suffix_tree
-from biblio.llm.registry import QUERIES
+from biblio.llm.registry import ORACLE, QUERIES
 
+from . import brute
+from .brute import WORD, base_rules, low
+from .brute import components as brute_components
 from .conftest import documents
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 FULL = "/root/testdata/sf0.001"
 
 
-def low(text):
-    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-
-
 @pytest.fixture(scope="module")
 def docs():
     return documents()
@@ -401,16 +400,6 @@ def test_main_text(spark, tmp_path):
     assert got[5]["text"].endswith("Bold text" + " more" * 20) and got[5]["n_chars"] == len(got[5]["text"])
 
 
-def base_rules(text):
-    words = WORD.findall(text or "")
-    places = defaultdict(list)
-    for i in range(len(words) - 4):
-        places[tuple(words[i : i + 5])].append(i)
-    covered = {i + k for at in places.values() if len(at) > 1 for i in at for k in range(5)}
-    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
-    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
-
-
 def test_quality_rules(spark, tables, docs):
     got = sorted(tuple(r)[:8] for r in quality.op6_quality_rules(spark, tables).collect())
     want = sorted((d[0], *base_rules(d[1])) for d in docs)
@@ -419,6 +408,14 @@ def test_quality_rules(spark, tables, docs):
         assert g[6] == (g[1] < 10 or 100 * g[5] > 20 * g[1]) and not (g[6] and g[7])
 
 
+def test_quality_verdict_against_brute_force(spark, tables, docs):
+    labels = [tuple(r)[:2] for r in spark.read.parquet(f"{tables}/labels.parquet").collect()]
+    want, scores = brute.quality_verdict([(d[0], d[1]) for d in docs], labels)
+    got = sorted((r["doc_id"], r["kept"], round(r["llr"], 4)) for r in quality.op6_quality_rules(spark, tables).collect())
+    assert [g[:2] for g in got] == sorted((d[0], k) for d, k in zip(docs, want, strict=True))
+    assert [g[2] for g in got] == pytest.approx([x for _, _, x in sorted((d[0], k, x) for d, k, x in zip(docs, want, scores, strict=True))], abs=2e-4)
+
+
 def test_quality_ratio_is_the_mean_log_ratio():
     ratio = np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32)
     texts = [b"abcd", b"ab", b"", b"xyzxyz"]
@@ -471,27 +468,6 @@ def test_reply_tree_takes_the_best_branch(spark):
     assert sorted(r["leaf"] for r in chat.format_paths(m, best=2).collect()) == [4, 5]
 
 
-def brute_components(docs):
-    sets = {}
-    for d in docs:
-        w = WORD.findall(low(d[1]))
-        sets[d[0]] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-    root = {k: k for k in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    keys = sorted(sets)
-    for a in keys:
-        for b in keys:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                root[y] = x
-    return {k: (len(sets[k]), find(k)) for k in keys}
-
-
 def test_jaccard_components(spark, tables, docs):
     got = jaccard.op8_jaccard_join(spark, tables).collect()
     want = brute_components(docs)
@@ -729,13 +705,65 @@ def test_extra_columns_with_clashing_names(spark, tables):
 
 
 def test_pipeline(spark, tables):
+    """Each stage against its brute-force version, on what the one before kept."""
     import corpus_pipeline as c
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{tables}/documents.parquet")
-    columns = docs.columns
-    for k, (_, stage) in enumerate(c.STAGES):
-        docs = stage(spark, docs, tables)
-        if k < len(c.STAGES) - 1:
-            assert docs.columns == columns
-    assert docs.columns[:3] == ["doc_id", "start", "length"]
-    assert sorted(c.run(spark, tables).columns) == sorted(docs.columns)
+    columns, stages = docs.columns, dict(c.STAGES)
+
+    def rows(df):
+        return sorted((tuple(r) for r in df.collect()), key=str)
+
+    def after(name):
+        out = stages[name](spark, docs, tables)
+        assert out.columns == columns
+        return out
+
+    before = rows(docs)
+    labels = [tuple(r)[:2] for r in spark.read.parquet(f"{tables}/labels.parquet").collect()]
+    docs = after("quality rules")
+    kept, _ = brute.quality_verdict([r[:2] for r in before], labels)
+    assert rows(docs) == [r for r, k in zip(before, kept, strict=True) if k] and len(set(kept)) == 2
+    before = rows(docs)
+    docs = after("language ID")
+    assert rows(docs) == [r for r in before if re.search(r"[^\W\d_]", r[1] or "")]
+    before = rows(docs)
+    docs = after("n-gram Jaccard join")
+    parts = brute_components(before)
+    assert rows(docs) == [r for r in before if parts[r[0]][1] == r[0]]
+    before = rows(docs)
+    docs = after("mixing sources to target weights")
+    copies = brute.mix_copies([(r[0], r[1], r[3]) for r in before], mixing.OP2_SQL)
+    assert rows(docs) == sorted((r for r in before for _ in range(copies[r[0]])), key=str) and len(set(copies.values())) > 1
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    pieces = Counter()
+    for r in stages["packing"](spark, docs, tables).collect():
+        pieces[r["doc_id"]] += r["length"]
+    assert pieces == {r[0]: copies[r[0]] * (len(tok.encode(r[1], add_special_tokens=False).ids) + 1) for r in before if copies[r[0]]}
+    whole = Counter()
+    for r in c.run(spark, tables).collect():
+        whole[r["doc_id"]] += r["length"]
+    assert whole == pieces
+
+
+def test_pipeline_of_nothing_and_of_null_ids(spark, empty, tables, tmp_path):
+    import corpus_pipeline as c
+
+    assert c.run(spark, empty).count() == 0
+    docs = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id < 60")
+    docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{tables}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    ids = [r["doc_id"] for r in c.run(spark, str(tmp_path)).collect()]
+    assert None in ids and any(ids)
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_against_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FULL}/{t}.parquet'")
+    got = QUERIES[name](spark, FULL)
+    cols = sorted(got.columns)
+    want = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLE[name]})").fetchall()
+    assert sorted((tuple(r) for r in got.select(*cols).collect()), key=str) == sorted(want, key=str)
