@@ -230,10 +230,10 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = edited_pairs(table(spark, sf_dir, "documents"))
+    pairs = settled(edited_pairs(table(spark, sf_dir, "documents")))  # digests, no texts
     # a fingerprint gives back its digests whatever its groups are like, so those of the next text need not be built again
     following = F.struct(sketch(F.col("following"), F.lit(BASE_CELLS), 0).alias("base"), F.col("following").alias("digests"))
-    marks = settled(pairs.select("doc_id", "n_chars", "edited_sha256", *(fingerprint(F.col(c)).alias(c) for c in ("own", "edited")), following.alias("following")))
+    marks = pairs.select("doc_id", "n_chars", "edited_sha256", *(fingerprint(F.col(c)).alias(c) for c in ("own", "edited")), following.alias("following"))
     return marks.select(
         "doc_id",
         "n_chars",
