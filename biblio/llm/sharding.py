@@ -5,7 +5,7 @@ each bucket in memory (Fisher-Yates, Spark's ``shuffle`` of an array) and writes
 the written records through, bucket after bucket, and cuts the sequence into shards whose row counts
 differ by one at most (law ``rows``).
 
-Defined cases: null text has no bytes; equal texts and repeated rows are records of their own, spread
+Defined cases: null text has no bytes; a text longer than a bucket is a record like any other; null ids are ids like any other; equal texts and repeated rows are records of their own, spread
 like any other (the hash also holds the number of the scanned partition); an empty table gives an
 empty result; with fewer records than shards some shards stay empty; columns with the names of new
 ones are replaced.

@@ -704,6 +704,30 @@ def test_extra_columns_with_clashing_names(spark, tables):
     assert jaccard.deduplicated(docs).columns == docs.columns and mixing.mixed(docs).columns == docs.columns
 
 
+def test_users_columns_do_not_clash(spark, tables):
+    """Columns named like inner ones stay as they are, or are not read."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").filter("doc_id >= 90")
+    own = {"_row": F.lit("r"), "cls": F.lit(1.5), "_mix": F.lit(True), "_copies": F.lit("c"), "_copy": F.lit(2), "lead": F.lit("l"), "_o": F.lit("o"), "own": F.lit("w"), "_t0": F.lit(0), "term": F.lit("t"), "_x": F.create_map(F.lit("k"), F.lit(1))}
+    more = docs.withColumns(own)
+    plain = sorted(r["doc_id"] for r in jaccard.deduplicated(docs).collect())
+    kept = jaccard.deduplicated(more)
+    assert kept.columns == more.columns and sorted(r["doc_id"] for r in kept.collect()) == plain and {r["_row"] for r in kept.collect()} == {"r"}
+    mix = mixing.mixed(more)
+    assert mix.columns == more.columns and Counter(r["doc_id"] for r in mix.collect()) == Counter(r["doc_id"] for r in mixing.mixed(docs).collect())
+    assert packing.packed(more).agg(F.sum("length")).first() == packing.packed(docs).agg(F.sum("length")).first()
+    assert fingerprint.edited_pairs(more).count() == suffix_tree.scored(more).count() == docs.count()
+    talk = spark.read.parquet(f"{tables}/conversations.parquet").withColumns({"node": F.lit("n"), "_t": F.lit("t"), "up": F.lit(1)})
+    assert chat.chains(talk).columns == ["_t", "tree", "node", "parent", "role", "text", "score"]
+
+
+def test_null_ids_are_scored_and_printed(spark):
+    rows = [(None, "one two three four five six"), (None, None), (1, "one two three"), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["n_tokens"] for r in suffix_tree.scored(df).collect()) == [1, 1, 4, 7]
+    assert sorted(r["n_chars"] for r in fingerprint.edited_pairs(df).collect()) == [0, 0, 13, 27]
+    assert sum(r["length"] for r in packing.packed(df).collect()) == sum(r["doc_tokens"] for r in packing.packed(df).collect() if r["start"] == 0)
+
+
 def test_pipeline(spark, tables):
     """Each stage against its brute-force version, on what the one before kept."""
     import corpus_pipeline as c
