@@ -238,33 +238,45 @@ def s6_to_source_shape(spark, d):
 
 
 def _lists(spark, d):
-    """A catalogue list for each customer that has orders: one table row an order."""
+    """A catalogue list for each customer that has orders: one table row an order, some without link, id or enough cells."""
     o = table(spark, d, "orders")
-    k = F.col("o_orderkey").cast("string")
-    row = F.concat(F.lit('<tr><td>1</td><td><a href="d.php?num_tese='), k, F.lit('">Title '), k, F.lit("</a></td><td>Ana</td><td>P</td><td>2020</td><td>Mestrado</td></tr>"))
-    return o.groupBy(F.col("o_custkey").alias("page_id")).agg(F.concat(F.lit("<table><tr><th>#</th></tr>"), F.array_join(F.sort_array(F.collect_list(row)), ""), F.lit("</table>")).alias("html"))
+    n, k = F.col("o_orderkey") % 7, F.col("o_orderkey").cast("string")
+    link = F.when(n == 0, F.concat(F.lit("Title "), k)).when(n == 1, F.concat(F.lit('<a href="d.php">Title '), k, F.lit("</a>"))).otherwise(F.concat(F.lit('<a href="d.php?num_tese='), k, F.lit('&amp;x=1"><b>Title</b> &amp; '), k, F.lit("</a>")))
+    rest = F.when(n == 2, "<td>Ana</td><td>P</td>").otherwise("<td>Ana<td>P</td><td>2020</td><td>Mestrado</td>")
+    row = F.concat(F.lit("<tr><td>1</td><td>"), link, F.lit("</td>"), rest, F.when(n == 3, "").otherwise("</tr>"))
+    return o.groupBy(F.col("o_custkey").alias("page_id")).agg(F.concat(F.lit("<table><tr><th>#</th></tr>"), F.array_join(F.sort_array(F.collect_list(row)), ""), F.lit("</table><table><tr><td>1</td><td><a href='?num_tese=9'>no</a></td><td>a</td><td>b</td><td>c</td><td>d</td></tr></table>")).alias("html"))
 
 
-@query("SELECT o_custkey AS page, CAST(o_orderkey AS VARCHAR) AS id, 'Title ' || o_orderkey AS title, 'http://h/c/d.php?num_tese=' || o_orderkey AS detail_url FROM orders")
+@query("SELECT o_custkey AS page, CAST(o_orderkey AS VARCHAR) AS id, 'Title & ' || o_orderkey AS title, 'http://h/c/d.php?num_tese=' || o_orderkey || '&x=1' AS detail_url FROM orders WHERE o_orderkey % 7 > 2")
 def h1_extract_catalogue(spark, d):
     return pages.extract_catalogue(_lists(spark, d), "theses", "http://h/c/l.php")[0].select("page", "id", "title", "detail_url")
 
 
-@query("SELECT o_orderkey AS page, 'advisors' AS field, CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 'advisors', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'title', o_orderpriority FROM orders")
+@query("SELECT o_orderkey AS page, 'advisors' AS field, CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL SELECT o_orderkey, 'advisors', o_orderstatus FROM orders UNION ALL SELECT o_orderkey, 'title', o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 'co_advisors', 'Bo' FROM orders WHERE o_orderkey % 3 = 0")
 def h2_extract_detail(spark, d):
-    html = F.concat(F.lit("<table><tr><td>Orientador:</td><td>"), "o_custkey", F.lit("</td></tr><tr><td></td><td>"), "o_orderstatus", F.lit("</td></tr><tr><td>Título:</td><td>"), "o_orderpriority", F.lit("</td></tr></table>"))
+    """Labels that carry forward, repeat, are unknown or stand alone."""
+    html = F.concat(
+        F.lit("<table><tr><td>Orientador:</td><td>"), "o_custkey", F.lit("</td></tr><tr><td></td><td>"), "o_orderstatus", F.lit("<tr><td>Título:<td>"), "o_orderpriority", F.lit("</td></tr><tr><td>Alone</td></tr><tr><td>Other label:</td><td>x</td></tr><tr><td>Título</td><td>again</td></tr>"),
+        F.when(F.col("o_orderkey") % 3 == 0, "<tr><td>Coorientador(a):</td><td><b>Bo</b></td></tr>").otherwise("<tr><th>Coorientador:</th><td>Bo</td></tr>"), F.lit("</table>"),
+    )
     return pages.extract_detail(table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html")), "http://h/").select("page", "field", "value")
 
 
-@query("SELECT c_custkey AS page, c_custkey % 90 AS works, CAST(c_custkey AS VARCHAR) AS source_id FROM customer")
+@query("SELECT c_custkey AS page, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 90 ELSE 0 END AS works, CAST(7 AS BIGINT) AS second, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey AS VARCHAR) END AS source_id FROM customer")
 def h4_extract_profile(spark, d):
-    html = F.concat(F.lit('<div class="science_cont"><div class="web_s">Scopus</div><div class="trab">Total: '), key() % 90, F.lit('</div></div><a href="http://s/?authorId='), key(), F.lit('">x</a>'))
+    works_ = F.when(key() % 4 > 0, (key() % 90).cast("string")).otherwise("none")
+    link = F.when(key() % 5 > 0, F.concat(F.lit("authorId="), key())).otherwise("author=x")
+    html = F.concat(F.lit('<div class="a science_cont b"><div class="web_s">Scopus</div><div class="trab">Total: '), works_, F.lit('</div></div><div class="science_cont"><div class="web_s">Other</div><div class="trab">7 works</div></div><a href="http://s/?'), link, F.lit('">x</a>'))
     got = pages.extract_profile(table(spark, d, "customer").select(key().alias("page_id"), html.alias("html")))
-    return got.select("page", F.col("counters")[0]["works"].alias("works"), "source_id")
+    return got.select("page", F.col("counters")[0]["works"].alias("works"), F.col("counters")[1]["works"].alias("second"), "source_id")
 
 
-@query("SELECT p_partkey AS page, '10.1/' || p_partkey AS doi, CAST(2000 + p_size % 20 AS INTEGER) AS year, p_name AS title FROM part")
+@query("SELECT p_partkey AS page, CASE WHEN p_partkey % 3 > 0 THEN '10.1/' || p_partkey ELSE '' END AS doi, CASE WHEN p_partkey % 4 > 0 THEN CAST(2000 + p_size % 20 AS INTEGER) END AS year, p_name AS title FROM part UNION ALL SELECT p_partkey, '10.2/x', 1999, 'Second' FROM part WHERE p_partkey % 2 = 0")
 def h5_extract_articles(spark, d):
+    """Blocks without a DOI or a year, and pages with a second block."""
     k = F.col("p_partkey")
-    html = F.concat(F.lit('<div class="artigo-completo"><a href="http://dx.doi.org/10.1/'), k, F.lit('"></a><span class="transform">A; B . '), "p_name", F.lit(' . J , v. 1<span data-tipo-ordenacao="ano">'), 2000 + F.col("p_size") % 20, F.lit("</span></span></div>"))
-    return pages.extract_articles(table(spark, d, "part").select(k.alias("page_id"), html.alias("html"))).select("page", "doi", "year", "title")
+    year = F.when(k % 4 > 0, F.concat(F.lit('<span data-tipo-ordenacao="ano">'), 2000 + F.col("p_size") % 20, F.lit("</span>"))).otherwise("")
+    doi = F.when(k % 3 > 0, F.concat(F.lit('<a href="http://dx.doi.org/10.1/'), k, F.lit('"></a>'))).otherwise('<a href="http://other/">x</a>')
+    one = F.concat(F.lit('<div class="artigo-completo">'), doi, F.lit('<span class="transform">A; B . '), "p_name", F.lit(" . J , v. 1"), year, F.lit("</span></div>"))
+    two = F.when(k % 2 == 0, '<div class="x artigo-completo"><a href="https://doi.org/10.2/x"></a><span class="transform">C . Second . K , v. 2<span data-tipo-ordenacao="ano">1999</span></span></div>').otherwise("")
+    return pages.extract_articles(table(spark, d, "part").select(k.alias("page_id"), F.concat(one, two).alias("html"))).select("page", "doi", "year", "title")
