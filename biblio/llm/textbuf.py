@@ -83,13 +83,13 @@ def runs(texts: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int
         at = upto
 
 
-def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(start, end, words per document)`` of the white-space separated words of a run."""
+def words(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(start, end, words per document)`` of the words of a run, which white space or other bytes separate."""
     n_docs = len(offsets) - 1
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(n_docs, np.int64)
-    inside = ~IS_SPACE[raw]
+    inside = ~between[raw]
     edge = np.zeros(len(raw) + 1, bool)  # a document ends or begins before this byte
     edge[offsets] = True
     before = np.empty(len(raw), bool)
