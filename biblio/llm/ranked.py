@@ -107,7 +107,7 @@ def postings(docs: DataFrame, term: np.ndarray) -> DataFrame:
         order = np.argsort(which, kind="stable")
         at, which, tf = at[order], which[order], tf[order]
         first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]])) if len(which) else np.zeros(0, np.int64)
-        stop = np.append(first[1:], len(which))
+        stop = np.append(first[1:], len(which))[: len(first)]
         used = pa.concat_arrays(ids).take(pa.array(mine)) if ids else pa.array([], ids_type)
         rows = len(first)
         lists = lambda values, inner: pa.ListArray.from_arrays(pa.array([0, *([len(values)] * (rows + 1))], pa.int32()), values.cast(inner) if inner else values)
