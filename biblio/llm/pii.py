@@ -3,9 +3,9 @@
 Patterns of the four kinds find the base spans; they are the seeds.  Identifiers are runs of words with a digit or an ``@``.  An
 identifier that is a seed lends its kind to its lexical patterns: the two words before it, the word before and the word after, and
 the word before alone.  Patterns and identifiers make a graph, held as distinct (pattern, identifier) edges, and are scored in
-turns: a pattern's score for a kind is the share of that kind among its identifiers, unlabelled ones among them; an identifier
-that is no seed has the noisy-or of its sure patterns, those with ``MIN_SCORE`` or more and ``MIN_SEEDS`` identifiers' worth of
-evidence, where its shape allows the kind.  After ``ROUNDS`` turns the sure patterns give their kind to the identifiers that stand
+turns: a pattern's score for a kind is the share of that kind among its identifiers, where what is not labelled counts against it,
+in full if its shape rules the kind out and by ``OPEN`` else; an identifier that is no seed has the noisy-or of its sure patterns,
+those with ``MIN_SCORE`` or more and ``MIN_SEEDS`` identifiers' worth of evidence, where its shape allows the kind.  After ``ROUNDS`` turns the sure patterns give their kind to the identifiers that stand
 in them and overlap no base span.
 
 Texts are read once, and only where they have a digit or an ``@`` are they searched; what goes on are spans and 64-bit hashes.
@@ -28,6 +28,7 @@ KINDS = ["email", "ip", "card", "phone"]
 EMAIL, IP, CARD, PHONE = range(4)
 MIN_SEEDS = 6
 MIN_SCORE = 0.8
+OPEN = 0.25
 ROUNDS = 3
 BLOCK = 256
 NEAR = 64  # characters that are looked at for the words beside an identifier
@@ -153,10 +154,10 @@ def sure_patterns(places: DataFrame) -> DataFrame | None:
             held = edges.withColumn("score", (F.col("kind") >= 0).cast("double"))
         else:
             joined = edges.join(labels.withColumnsRenamed({"kind": "_kind", "score": "_score"}), "value", "left")
-            held = joined.select("pattern", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("_kind", F.lit(-1))).alias("kind"), F.when(F.col("kind") >= 0, F.lit(1.0)).otherwise(F.coalesce("_score", F.lit(0.0))).alias("score"))
-        sums = held.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.when(F.col("kind") == k, F.col("score")).otherwise(0.0)).alias(f"k{k}") for k in range(4)))
-        top = F.greatest(*(F.struct(F.col(f"k{k}").alias("sum"), F.lit(-k).alias("k")) for k in range(4)))
-        scored = sums.withColumn("top", top).select("pattern", (-F.col("top.k")).alias("kind"), (F.col("top.sum") / (F.col("n") + 1)).alias("score"), F.col("top.sum").alias("evidence"))
+            held = joined.select("pattern", "shape", F.when(F.col("kind") >= 0, F.col("kind")).otherwise(F.coalesce("_kind", F.lit(-1))).alias("kind"), F.when(F.col("kind") >= 0, F.lit(1.0)).otherwise(F.coalesce("_score", F.lit(0.0))).alias("score"))
+        sums = held.groupBy("pattern").agg(*(f for k in range(4) for f in (F.sum(evidence(k)).alias(f"k{k}"), F.sum(1 - evidence(k) - doubt(k)).alias(f"not{k}"))))
+        shares = (F.struct((F.col(f"k{k}") / (F.col(f"k{k}") + F.col(f"not{k}") + 1)).alias("score"), F.lit(-k).alias("k"), F.col(f"k{k}").alias("sum")) for k in range(4))
+        scored = sums.withColumn("top", F.greatest(*shares)).select("pattern", (-F.col("top.k")).alias("kind"), "top.score", F.col("top.sum").alias("evidence"))
         sure = settled(scored.filter((F.col("score") >= MIN_SCORE) & (F.col("evidence") >= MIN_SEEDS)).select("pattern", "kind", "score"))
         if sure.isEmpty():
             return None
@@ -168,8 +169,19 @@ def sure_patterns(places: DataFrame) -> DataFrame | None:
     return sure
 
 
+def evidence(kind: int) -> Column:
+    return F.when(F.col("kind") == kind, F.col("score")).otherwise(F.lit(0.0))
+
+
+def doubt(kind: int) -> Column:
+    """What an identifier that may or may not be of a kind is spared of counting against it."""
+    open_ = F.col("kind").isin(-1, kind) & (F.col("shape").bitwiseAND(F.lit(1 << kind)) > 0)
+    return F.when(open_, (1 - OPEN) * (1 - evidence(kind))).otherwise(F.lit(0.0))
+
+
 def allowed() -> Column:
-    return F.shiftright(F.col("shape"), 0).bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(4))), F.col("kind") + 1)) > 0
+    """Whether the shape of a row allows its kind."""
+    return F.col("shape").bitwiseAND(F.element_at(F.array(*(F.lit(1 << k) for k in range(4))), F.col("kind") + 1)) > 0
 
 
 def personal_data(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
