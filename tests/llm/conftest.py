@@ -41,12 +41,13 @@ def tables(spark, tmp_path_factory):
     spark.createDataFrame([(r[0], int(r[0] % 3 > 0), 0) for r in rows if r[0] < 60], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     talk = [(1, 0, "user", "hi <|im_end|>"), (1, 1, "assistant", "back\\slash <| \\| x"), (2, 0, "system", None), (2, 1, "user", ""), (2, 2, "assistant", "ok\n"), (3, 0, "assistant", "<<|im_start|>"), (None, 0, "user", "nobody"), (2, 2, "assistant", "ok\n")]
     spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    spark.createDataFrame([(1, "the of AND thing"), (2, None), (3, "one TWO, three! x9"), (3, "two"), (None, "ers"), (4, "zzz")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return folder
 
 
 @pytest.fixture(scope="session")
 def empty(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("conversations", "conv_id long, turn long, role string, text string")):
+    for name, schema in (("documents", SCHEMA), ("labels", "doc_id long, quality int, toxic int"), ("pages", "page_id long, url string, html string"), ("benchmark", "item_id long, text string"), ("conversations", "conv_id long, turn long, role string, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{folder}/{name}.parquet")
     return folder
