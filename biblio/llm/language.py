@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table, with_arrays
+from .tables import free_name, table, with_arrays
 from .textbuf import LOWER, runs
 
 BLOCK = 512
@@ -34,6 +34,9 @@ TRAIN_CHARS = 3_000
 TRAIN_DOCS = 64
 USUAL_LANGUAGES = 64
 MAX_LANGUAGES = 4_096
+#: How far the second language must lie behind, and over how many characters, for a label to be held wrong.
+CLEAR = 0.5
+CLEAR_CHARS = 200
 _FLAG = np.int32(1 << 30)
 
 
@@ -183,8 +186,8 @@ def learn(docs: DataFrame, **how) -> Model:
     return build(training_texts(docs, **how))
 
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` plus ``lang_pred`` and ``score``, how far the second language lies behind (0 to 1)."""
+def identify(docs: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", by: str = "score") -> DataFrame:
+    """``docs`` plus ``pred`` and ``by``, how far the second language lies behind (0 to 1)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def compute(texts: pa.Array, letters: pa.Array):
@@ -206,16 +209,24 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return pa.array(names[np.where(known, b, len(m.languages))], pa.string()), pa.array(np.where(known, s, 0.0))
 
     marked = docs.withColumn("_letters", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
-    return with_arrays(marked, compute, "lang_pred string, score double", [text, "_letters"]).drop("_letters")
+    return with_arrays(marked, compute, f"{pred} string, {by} double", [text, "_letters"]).drop("_letters")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """The documents whose language is told: those with letters (ties go to the first language by name).
+def identified(docs: DataFrame, clear: float = CLEAR, least: int = CLEAR_CHARS) -> DataFrame:
+    """The documents whose language is told, without those whose label a clear prediction contradicts.
 
-    Where no language could be learned nothing is told of any document, and all stay.
+    Documents without letters go.  A prediction is clear if the second language lies ``clear`` behind or more, over a text of
+    ``least`` characters: texts in two languages, short ones and ties stay as they are.  Where ``lang`` is null it becomes the
+    language that was told, if no other ties with it.  Where no language could be learned nothing is told, and all stay.
     """
     model = learn(docs)
-    return identify(docs, model).filter("lang_pred <> 'und'").select(*docs.columns) if model.languages else docs
+    if not model.languages:
+        return docs
+    pred, by = free_name(docs, "lang_pred"), free_name(docs, "score")
+    told = identify(docs, model, pred=pred, by=by)
+    against = F.col("lang").isin(model.languages) & (F.col("lang") != F.col(pred)) & (F.col(by) >= clear) & (F.char_length("text") >= least)
+    kept = told.filter((F.col(pred) != "und") & ~F.coalesce(against, F.lit(False)))
+    return kept.withColumn("lang", F.coalesce("lang", F.when(F.col(by) > 0, F.col(pred)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def held_out(key: str = "doc_id", mod: int = 5, rest: int = 0):

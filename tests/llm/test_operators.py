@@ -59,6 +59,16 @@ def test_identified_keeps_ties_and_unlabelled(spark, monkeypatch):
     assert [r["doc_id"] for r in language.identified(docs).collect()] == [1]
 
 
+def test_identified_drops_clearly_wrong_labels_only(spark):
+    rng = random.Random(6)
+    line = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    a, b = "the thing and other whether this there".split(), "élan çaux où même voilà êtes très".split()
+    rows = [(k, line((a, b)[k % 2], 90), ("en", "fr")[k % 2], 0.5) for k in range(60)]
+    rows += [(100, line(a, 900), "fr", 0.5), (101, line(a, 8), "fr", 0.5), (102, line(a, 60) + line(b, 60), "fr", 0.5), (103, line(b, 90), None, 0.5), (104, line("жук кот дом".split(), 90), "xx", 0.5), (105, "12 34", "en", 0.5)]
+    got = {r["doc_id"]: r for r in language.identified(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")).collect()}
+    assert sorted(got) == [*range(60), 101, 102, 103, 104] and got[103]["lang"] == "fr" and got[101]["lang"] == "fr" and got[104]["score"] == 0.5
+
+
 def parse(text, train):
     """Phrases of a greedy parse: each the longest string that occurs in the training text, or a symbol it lacks."""
     n, at = 0, 0
@@ -685,13 +695,30 @@ def test_sharding_moves_whole_documents(spark, tables, monkeypatch):
     settled = sharding.settled
     monkeypatch.setattr(sharding, "settled", lambda df: written.append(settled(df)) or written[-1])
     sharding.op10_external_shuffle(spark, tables)
-    moved = [tuple(x) for r in written[0].collect() for x in r["_rows"]]
+    moved = [tuple(x) for r in next(x for x in written if "_rows" in x.columns).collect() for x in r["_rows"]]
     assert Counter(moved) == Counter(tuple(r) for r in spark.read.parquet(f"{tables}/documents.parquet").collect())
 
 
+def test_sharding_depends_on_the_records_alone(spark, tables, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 16)
+    docs = spark.read.parquet(f"{tables}/documents.parquet").withColumn("shard", F.lit("x")).withColumn("tags", F.create_map(F.lit("a"), F.col("n_chars")))
+    docs = docs.unionByName(docs.filter("doc_id = 3").crossJoin(spark.range(50)).drop("id"))
+    places = [sorted((r["doc_id"], r["shard"], r["slot"]) for r in sharding.shuffled(docs.repartition(k), F.octet_length("doc_id"), bucket_bytes=64).collect()) for k in (2, 3, 8)]
+    assert places[0] == places[1] == places[2] and len(places[0]) == docs.count()
+    got = sharding.shuffled(docs, F.lit(1), bucket_bytes=64)
+    assert got.schema["tags"].dataType.typeName() == "map" and {tuple(r["tags"].items()) for r in got.collect()} == {(("a", n),) for n in {d[4] for d in documents()}}
+
+
+def test_sharding_spreads_equal_records(spark):
+    rows = spark.range(20_000, numPartitions=3).select(F.lit(7).alias("doc_id"), F.lit("same").alias("text"))
+    buckets = sharding.told_apart(rows, "number").select(F.pmod(F.xxhash64(F.lit(10), F.lit(1), "number"), F.lit(64)).alias("b"))
+    sizes = [r["count"] for r in buckets.groupBy("b").count().collect()]
+    assert sum(sizes) == 20_000 and len(sizes) == 64 and max(sizes) < 2 * 20_000 / 64
+
+
 def test_sharding_is_a_shuffle(spark):
     df = spark.range(0, 4000, 1, 2).select(F.col("id").alias("doc_id"), F.lit(1000).cast("long").alias("size"))
-    got = [r["doc_id"] for r in sharding.shuffled(df, "size", ["doc_id"], shards=1, bucket_bytes=1 << 18).orderBy("slot").collect()]
+    got = [r["doc_id"] for r in sharding.shuffled(df, "size", shards=1, bucket_bytes=1 << 18).orderBy("slot").collect()]
     assert sorted(got) == list(range(4000))
     assert abs(np.corrcoef(got, np.arange(4000))[0, 1]) < 0.2
 
