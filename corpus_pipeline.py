@@ -1,4 +1,10 @@
-"""Corpus preparation: quality rules, language ID, n-gram Jaccard join, source mixing, packing."""
+"""Corpus preparation: quality rules, language ID, n-gram Jaccard join, source mixing, packing.
+
+Each stage is its operator's and works on all rows that the one before kept.  Null texts have no words, so the rules drop them;
+null ids, ties and repeated rows are rows like any other, and of equal ones a single row stays after the join; very long texts
+go through whole; further columns of the documents, whatever their names, go along to the last stage, which returns pieces; an
+empty table gives an empty result.  What lies between stages is removed with the folder of ``spark.checkpoint.dir``.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told."""
+    """Drop documents whose language can't be told, or is clearly another than their label says; tell it where the label is null."""
     return language.identified(docs)
 
 
