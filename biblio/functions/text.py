@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import sys
 import unicodedata
 from functools import cache
 
@@ -13,16 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-@cache
-def _marks() -> re.Pattern:
-    """Every combining mark."""
-    return re.compile("[" + "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.combining(c)) + "]")
+#: Characters beyond those that are never combining marks.
+_FAR = re.compile("[^\x00-\u02ff]")
 
 
 def decomposed(value: str, form: str, ascii_only: bool) -> str:
-    """A text in a decomposed form without marks, or without anything but ASCII."""
+    """A text in a decomposed form without combining marks, or without anything but ASCII."""
     parts = unicodedata.normalize(form, value)
-    return parts.encode("ascii", "ignore").decode() if ascii_only else _marks().sub("", parts)
+    if ascii_only:
+        return parts.encode("ascii", "ignore").decode()
+    for c in set(_FAR.findall(parts)):
+        if unicodedata.combining(c):
+            parts = parts.replace(c, "")
+    return parts
 
 
 @cache
@@ -256,3 +258,17 @@ def localized(col: Column, lang: str) -> Column:
 def hex_head(content: Column, n: int) -> Column:
     """The first bytes of a file as hexadecimal digits."""
     return F.hex(F.substring(content, 1, n))
+
+
+def running(numbers: Column, block: int = 256) -> Column:
+    """The sum up to each number of an array of integers: blocks are summed first, then within, as appending copies what is there."""
+    none = F.array().cast("array<bigint>")
+
+    def sums(xs: Column) -> Column:
+        start = F.struct(F.lit(0).cast("long").alias("sum"), none.alias("all"))
+        return F.aggregate(xs, start, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["all"], acc["sum"] + x).alias("all")), lambda acc: acc["all"])
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / block).cast("int")), lambda b: F.slice(numbers, b * block + 1, block))
+    totals = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x))
+    whole = F.zip_with(F.zip_with(sums(totals), totals, lambda upto, own: upto - own), blocks, lambda before, xs: F.transform(sums(xs), lambda x: x + before))
+    return F.when(F.size(numbers) > 0, F.flatten(whole)).otherwise(none)

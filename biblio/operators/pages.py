@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblio.functions.text import FILE_NAME_PATTERN, clean_text, extract_int, fellowship_from_text, mojibake_fix, query_param, route_file, url_join
+from biblio.functions.text import FILE_NAME_PATTERN, clean_text, extract_int, fellowship_from_text, mojibake_fix, query_param, route_file, running, url_join
 
 from .arrange import carry_forward, parse_blocks
 
@@ -186,7 +186,7 @@ def _by_class(html: Column, name: str) -> Column:
 
 def extract_profile(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
     """Counters a source, fellowship level, id link and summary of profile pages with sections by class."""
-    parts = F.slice(F.split(F.col(html), r'(?i)<div[^>]*class="[^"]*\bscience_cont\b[^"]*"[^>]*>'), 2, 1000)
+    parts = F.slice(F.split(F.col(html), r'(?i)<div[^>]*class="[^"]*\bscience_cont\b[^"]*"[^>]*>'), 2, 1 << 30)
     counters = F.transform(parts, lambda p: F.struct(F.trim(F.regexp_replace(_by_class(p, "web_s"), "<[^>]*>", "")).alias("source"), F.coalesce(extract_int(_by_class(p, "trab")), F.lit(0)).alias("works"), F.coalesce(extract_int(_by_class(p, "cita")), F.lit(0)).alias("citations"), F.coalesce(extract_int(_by_class(p, "fator")), F.lit(0)).alias("h_index")))
     return pages.select(F.col(page).alias("page"), counters.alias("counters"), fellowship_from_text(F.regexp_replace(html, "<[^>]*>", " ")).alias("fellowship"), F.nullif(F.regexp_extract(html, r"authorId=(\d+)", 1), F.lit("")).alias("source_id"), clean_text(_by_class(F.col(html), "resumo")).alias("summary"))
 
@@ -195,7 +195,7 @@ def extract_articles(pages: DataFrame, page: str = "page_id", html: str = "html"
     """One row an article block: DOI, year, two citation counters, title and journal."""
     from biblio.functions.text import citation_split
 
-    blocks = pages.select(F.col(page).alias("page"), F.posexplode(F.slice(F.split(F.col(html), r'(?i)<div[^>]*class="[^"]*\bartigo-completo\b[^"]*"[^>]*>'), 2, 100000)).alias("pos", "b"))
+    blocks = pages.select(F.col(page).alias("page"), F.posexplode(F.slice(F.split(F.col(html), r'(?i)<div[^>]*class="[^"]*\bartigo-completo\b[^"]*"[^>]*>'), 2, 1 << 30)).alias("pos", "b"))
     text = clean_text(F.regexp_replace(F.regexp_extract("b", r'(?is)<span[^>]*class="[^"]*\btransform\b[^"]*"[^>]*>(.*)', 1), r"<[^>]*>", " "))
 
     def order(kind: str) -> Column:
@@ -228,20 +228,21 @@ UNSAFE = {
 
 
 def scan(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
-    """(key, label, line) of every match; a line is the newlines before the match and one."""
-    found = F.array(*(F.struct(F.lit(label).alias("label"), F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias("hits"), F.split(text, p).alias("parts")) for label, p in patterns.items()))
-    each = df.filter(F.col(text).isNotNull()).filter(F.greatest(*(F.col(text).rlike(p) for p in patterns.values()))).select(key, F.explode(found).alias("x")).filter(F.size("x.hits") > 0)
+    """(key, label, line) of every match; a line is the newlines before the match and one.
+
+    One pattern of all finds the texts with any match; only these are searched label by label.  Lines are told by running sums over
+    what lies between matches, so a text costs its length and its matches.
+    """
+    every = "|".join(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})" for p in patterns.values())
+    hit = df.select(F.col(key), F.col(text).alias("_x")).filter(F.col("_x").rlike(every))
+    found = F.array(*(F.struct(F.lit(label).alias("label"), F.regexp_extract_all("_x", F.lit(p), F.lit(0)).alias("hits"), F.split("_x", p).alias("parts")) for label, p in patterns.items()))
+    each = hit.select(key, F.explode(found).alias("x")).filter(F.size("x.hits") > 0)
+
     def newlines(p: Column) -> Column:
         return F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
 
-    def add(state: Column, pair: Column) -> Column:
-        at = state["at"] + newlines(pair["part"])
-        return F.struct((at + newlines(pair["hit"])).alias("at"), F.array_append(state["lines"], at).alias("lines"))
-
-    pairs = F.zip_with(F.slice("x.parts", F.lit(1), F.size("x.hits")), "x.hits", lambda p, h: F.struct(p.alias("part"), h.alias("hit")))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("lines"))
-    lines = F.aggregate(pairs, start, add, lambda state: state["lines"])
-    return each.select(key, "x.label", F.explode(lines).alias("line"))
+    before = F.zip_with(F.slice("x.parts", F.lit(1), F.size("x.hits")), F.concat(F.array(F.lit("")), F.slice("x.hits", F.lit(1), F.size("x.hits") - 1)), lambda p, h: newlines(p) + newlines(h))
+    return each.select(key, "x.label", F.explode(F.transform(running(before), lambda n: n + 1)).alias("line"))
 
 
 def scan_secrets(df: DataFrame, key: str, text: str) -> DataFrame:

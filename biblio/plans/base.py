@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from biblio.sources.shared import shared_folder
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 NOW = 1998
@@ -32,11 +33,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or a local one on one machine."""
-    sc = spark.sparkContext
-    shared = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not shared and not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='biblio-')).rstrip('/')}/biblio-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/biblio-{uuid.uuid4().hex}"
 
 
 def in_place(df: DataFrame, *cols: str) -> DataFrame:

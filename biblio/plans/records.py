@@ -218,14 +218,44 @@ def q15_report(spark, d):
     return snapshot.report(snapshot.diff(*snapshots(spark, d), "o_orderkey"), "o_orderkey").select("status", "n", "omitted")
 
 
-@query(f"WITH RECURSIVE t AS (SELECT id, parent AS want, CAST(id AS VARCHAR) AS path, 0 AS depth FROM {NODES} UNION ALL SELECT t.id, n.parent, t.path || '/' || n.id, t.depth + 1 FROM t JOIN {NODES} n ON n.id = t.want) SELECT id, path, depth FROM t WHERE want IS NULL")
+@query(f"WITH RECURSIVE t AS (SELECT id, parent AS want, CAST(id AS VARCHAR) AS path, 0 AS depth FROM {NODES} UNION ALL SELECT t.id, n.parent, t.path || '/' || n.id, t.depth + 1 FROM t JOIN {NODES} n ON n.id = t.want) SELECT id, path, depth, false AS is_cycle, false AS dangling FROM t WHERE want IS NULL")
 def t1_ancestors(spark, d):
-    return tree.ancestors(nodes(spark, d)).select("id", F.array_join(F.transform("path", lambda x: x.cast("string")), "/").alias("path"), "depth")
+    return _way(tree.ancestors(nodes(spark, d)))
 
 
-@query(f"WITH RECURSIVE t AS (SELECT id, parent, 0 AS depth FROM {NODES} WHERE id = 0 AND visible UNION ALL SELECT n.id, n.parent, t.depth + 1 FROM t JOIN {NODES} n ON n.parent = t.id WHERE n.visible) SELECT id, parent, depth FROM t")
+def _way(found):
+    return found.withColumn("path", F.array_join(F.transform("path", lambda x: x.cast("string")), "/"))
+
+
+#: Chains of 150 customers: the first of a chain is a root, or goes on from the last (a cycle), or names a parent that isn't there.
+_CHAINS = "(SELECT c_custkey AS id, CASE WHEN c_custkey % 150 > 0 THEN c_custkey - 1 WHEN c_custkey // 150 % 3 = 1 THEN c_custkey + 149 WHEN c_custkey // 150 % 3 = 2 THEN -1 - c_custkey END AS parent, c_custkey % 7 AS position FROM customer)"
+
+
+def _chains(spark, d):
+    k = F.col("c_custkey")
+    turn = F.expr("c_custkey div 150") % 3
+    parent = F.when(k % 150 > 0, k - 1).when(turn == 1, k + 149).when(turn == 2, -1 - k)
+    return table(spark, d, "customer").select(k.alias("id"), parent.alias("parent"), (k % 7).alias("position"))
+
+
+@query(f"WITH RECURSIVE n AS {_CHAINS}, t AS (SELECT id, parent AS want, [id] AS path FROM n UNION ALL SELECT t.id, n.parent, list_append(path, n.id) FROM t JOIN n ON n.id = t.want WHERE NOT list_contains(path, n.id)) SELECT id, array_to_string(path, '/') AS path, CAST(len(path) - 1 AS INTEGER) AS depth, coalesce(list_contains(path, want), false) AS is_cycle, coalesce(want NOT IN (SELECT id FROM n), false) AS dangling FROM t WHERE want IS NULL OR list_contains(path, want) OR want NOT IN (SELECT id FROM n)")
+def t1_ancestors_of_chains(spark, d):
+    """Deep chains, cycles and parents that aren't there."""
+    return _way(tree.ancestors(_chains(spark, d)))
+
+
+@query(f"WITH RECURSIVE t AS (SELECT id, parent, 0 AS depth, position || ':' || id AS sort_path FROM {NODES} WHERE id = 0 AND visible UNION ALL SELECT n.id, n.parent, t.depth + 1, t.sort_path || '/' || n.position || ':' || n.id FROM t JOIN {NODES} n ON n.parent = t.id WHERE n.visible) SELECT id, parent, depth, sort_path FROM t")
 def t2_subtree(spark, d):
-    return tree.subtree(nodes(spark, d), 0, F.col("visible")).select("id", "parent", "depth")
+    return _sorted(tree.subtree(nodes(spark, d), 0, F.col("visible")))
+
+
+def _sorted(found):
+    return found.withColumn("sort_path", F.array_join(F.transform("sort_path", lambda x: F.concat_ws(":", x["p"], x["i"])), "/"))
+
+
+@query(f"WITH RECURSIVE n AS {_CHAINS}, t AS (SELECT id, parent, 0 AS depth, position || ':' || id AS sort_path FROM n WHERE id = 2 UNION ALL SELECT n.id, n.parent, t.depth + 1, t.sort_path || '/' || n.position || ':' || n.id FROM t JOIN n ON n.parent = t.id) SELECT id, parent, depth, sort_path FROM t")
+def t2_subtree_of_chains(spark, d):
+    return _sorted(tree.subtree(_chains(spark, d), 2))
 
 
 @query(f"WITH RECURSIVE t AS (SELECT id, parent FROM {NODES} WHERE id % 37 = 5 UNION SELECT n.id, n.parent FROM t JOIN {NODES} n ON n.id = t.parent) SELECT DISTINCT id FROM t")

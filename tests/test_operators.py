@@ -1,5 +1,7 @@
 """Operators on small fixtures: ported cases and traps."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,6 +218,29 @@ def test_rules(spark):
     assert sorted(((r["topic"], r["id"]) for r in classify.classify(recs, rules, "id", "title", "subjects").collect()), key=str) == [("a", 1), ("a", 2), ("b", None)]
 
 
+def test_many_rules_cost_one_pass_and_take_blocks(spark, monkeypatch):
+    """Rules as a table, in blocks, with terms inside each other, empty terms, repeated topics and extra columns."""
+    rng = random.Random(2)
+    vocabulary = ["ab", "abc", "bc", "c", "Éa", "x y", "zz", "q", ""]
+    rules = [{"topic": f"t{k % 17}", "keywords": rng.sample(vocabulary[:8], rng.randint(0, 2)), "title_terms": rng.sample(vocabulary, rng.randint(0, 2)), "exclusions": rng.sample(vocabulary[:8], rng.randint(0, 1))} for k in range(40)]
+    rows = [(k, "".join(rng.choice("abcéxyz q") for _ in range(rng.randint(0, 9))) or None, "".join(rng.choice("abcéxyz q") for _ in range(rng.randint(0, 9))), "x") for k in range(60)]
+    low = lambda t: (t or "").lower().replace("é", "e")
+    want = []
+    for r in rules:
+        hits = []
+        for k, title, subjects, _ in rows:
+            s, both = low(subjects), f"{low(title)} {low(subjects)}"
+            if (any(low(t) in s for t in r["keywords"]) or any(low(t) in both for t in r["title_terms"])) and not any(low(t) in both for t in r["exclusions"]):
+                hits.append(k)
+        want += [(r["topic"], k) for k in hits or [None]]
+    recs = frame(spark, "id int, title string, subjects string, term string", *rows)
+    for chars in (1 << 20, 20):
+        monkeypatch.setattr(classify, "BLOCK_CHARS", chars)
+        got = classify.classify(recs, classify.rule_rows(rules, spark), "id", "title", "subjects")
+        assert sorted(((r["topic"], r["id"]) for r in got.collect()), key=str) == sorted(want, key=str)
+        assert sorted((r["topic"], r["id"]) for r in classify.classify(recs.limit(0), rules, "id", "title", "subjects").collect()) == sorted((r["topic"], None) for r in rules)
+
+
 def test_work_rules_strict_and_folded(spark):
     rules = [{"topic": "a", "keywords": ["k1"], "title_terms": ["VLS"], "areas": ["Z"]}]
     w = frame(spark, "id int, title string, abstract string, keywords array<string>, areas array<string>", (1, "the vls", None, [], []), (2, "t", "", ["k1"], []), (3, "t", "", [], ["Z"]), (4, "t", "", ["q"], ["Z"]), (5, "t", None, None, ["Z"]))
@@ -307,6 +332,20 @@ def test_references_and_links(spark):
     assert values(m, "id", "problem") == [("y", "unexpected"), ("z", "missing")]
 
 
+def test_scans_count_lines_of_many_matches(spark):
+    text = "\n".join("AKIA" + "A1B2C3D4E5F6G7H8" if k % 3 else "api_key =\n'0123456789abcdef0'" for k in range(700))
+    lines = {"cloud access key": [], "literal secret": []}
+    for k in range(700):
+        lines["cloud access key" if k % 3 else "literal secret"].append(1 + k + -(-k // 3))
+    got = pages.scan_secrets(frame(spark, "id int, text string, label string", (1, text, "x"), (2, None, "x"), (3, "", "x")), "id", "text")
+    assert values(got, "label", "line") == sorted((label, n) for label, own in lines.items() for n in own)
+
+
+def test_profiles_and_articles_have_no_caps(spark):
+    page = "".join(f'<div class="science_cont"><a class="web_s">s{k}</a><p class="trab">{k}</p></div>' for k in range(1200))
+    assert len(pages.extract_profile(frame(spark, "page_id int, html string", (1, page))).first()["counters"]) == 1200
+
+
 def test_scans_give_lines(spark):
     key = "AKIA" + "A" * 16
     df = frame(spark, "k int, t string", (1, f"a\nb {key}\n\n{key} api_key = '0123456789abcdefg'"), (2, "clean"), (3, None))
@@ -345,6 +384,30 @@ def test_tree_finds_cycles_and_dangling(spark):
     assert [r["id"] for r in tree.subtree(n, 1).orderBy("sort_path").collect()] == [1, 2, 3]
 
 
+def test_deep_trees_cycles_and_gaps(spark):
+    """Every node has its way up, at any depth: a long chain, a cycle with a tail, a gap, strings as ids."""
+    rows = [(f"n{k:03}", f"n{k - 1:03}" if k else None, k % 3, k) for k in range(150)]
+    rows += [(f"c{k}", f"c{(k + 1) % 5}", 0, 0) for k in range(5)] + [("t1", "c3", 0, 0), ("t2", "t1", 0, 0), ("self", "self", 0, 0)]
+    rows += [("g1", "gone", 0, 0), ("g2", "g1", 0, 0), (None, "n000", 0, 0), ("odd", None, 0, 0)]
+    up = {r[0]: r[1] for r in rows if r[0]}
+    want = []
+    for k in up:
+        path, at = [k], up[k]
+        while at is not None and at in up and at not in path:
+            path.append(at)
+            at = up[at]
+        want.append((k, path, len(path) - 1, at in path, at is not None and at not in up))
+    df = frame(spark, "id string, parent string, position int, path int", *rows)
+    got = tree.ancestors(df)
+    assert sorted((r["id"], list(r["path"]), r["depth"], r["is_cycle"], r["dangling"]) for r in got.collect()) == sorted(want)
+    assert values(tree.ancestors(df, path=False), "id", "depth", "is_cycle", "dangling") == sorted((k, *x) for k, _, *x in want)
+    below = tree.subtree(df, "n010", F.col("id") != "n140").orderBy("sort_path").collect()
+    assert [(r["id"], r["depth"], len(r["sort_path"])) for r in below] == [(f"n{k:03}", k - 10, k - 9) for k in range(10, 140)]
+    assert values(tree.subtree(df, "c1"), "id", "depth") == [("c0", 1), ("c1", 0), ("c2", 4), ("c3", 3), ("c4", 2), ("t1", 4), ("t2", 5)]
+    assert values(tree.active_path(df, frame(spark, "id string", ("n100",), ("t2",), ("nobody",))), "id") == sorted([(f"n{k:03}",) for k in range(101)] + [(f"c{k}",) for k in range(5)] + [("t1",), ("t2",)])
+    assert tree.ancestors(df.limit(0)).count() == 0 and tree.subtree(df, "none").count() == 0
+
+
 def test_search_and_views(spark):
     d = frame(spark, "id int, t string, f string, who array<string>", (1, "Ação", "x", ["a"]), (2, "acao b", "y", ["b"]))
     assert values(search.faceted_search(d, "AÇÃO", ["t"], {"f": ""}, {"who": "b"}), "id") == [(2,)]
