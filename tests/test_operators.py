@@ -181,16 +181,54 @@ def test_waterfall_and_ties(spark):
     assert values(small, "entity", "rank", "author") == values(large, "entity", "rank", "author")
 
 
-def test_short_names_match_at_any_size(spark, monkeypatch):
+def test_short_names_match_at_any_size(spark):
     entities = frame(spark, "entity string, name string", ("e1", "ana"), ("e2", "rui oliveira"), ("e3", "mariana souza"), ("e4", "x"), ("e5", None), ("e6", ""))
     authors = frame(spark, "author string, pos int, variants array<string>", ("a", 1, ["mariana souza", None]), ("b", 2, ["li"]), ("c", 3, ["ana", "a"]), ("d", 4, ["joana max"]), ("e", 5, [""]))
     want = resolve.candidates(entities, authors, 0.2, 3, small=True)
-    monkeypatch.setattr(resolve, "SMALL_ROSTER", 0, raising=False)
     got = resolve.candidates(entities, authors, 0.2, 3)
     assert values(got, "entity", "rank", "author", "score") == values(want, "entity", "rank", "author", "score")
     assert ("e2", "b") in values(got, "entity", "author") and ("e1", "a") in values(got, "entity", "author")
 
 
+def invented_names(rng, n):
+    """Names with common surnames and given names, particles, initials, repeated parts, long ones, and parts of others."""
+    given, sur = ["ana", "maria", "mariana", "jo", "joao", "rui", "li", "b"], ["silva", "silva", "silvano", "souza", "alves", "lima", "costa", "max", "o"]
+    out = []
+    for _ in range(n):
+        kind = rng.random()
+        if kind < 0.1:
+            out.append(rng.choice(given + sur))
+        elif kind < 0.15:
+            out.append(" ".join(rng.choice(given + sur + ["p1", "p2", "p3"]) for _ in range(rng.randint(9, 12))))
+        else:
+            out.append(" ".join([rng.choice(given), *(rng.choice(given + sur + ["de"]) for _ in range(rng.randint(0, 3))), rng.choice(sur)]))
+    return out
+
+
+@pytest.mark.parametrize("least, k, inclusive", [(0.2, 3, False), (0.3, 5, False), (0.85, 1, True), (0.0, 2, False)])
+def test_name_rungs_against_all_pairs(spark, least, k, inclusive):
+    rng = random.Random(k)
+    names, others = invented_names(rng, 120), invented_names(rng, 330)
+    entities = frame(spark, "entity int, name string", *((i, n) for i, n in enumerate(names)))
+    authors = frame(spark, "author int, pos int, variants array<string>", *((i, 999 - i, [*others[3 * i : 3 * i + rng.randint(1, 3)], None][: rng.randint(1, 4)]) for i in range(110)))
+    got, want = (resolve.candidates(entities, authors, least, k, small, inclusive) for small in (None, True))
+    assert values(got, "entity", "rank", "author", "score") == values(want, "entity", "rank", "author", "score")
+
+
+def test_name_rungs_score_few_pairs(spark, monkeypatch):
+    """Names with a few very common parts: what is scored stays within ten times what is returned."""
+    rng = random.Random(1)
+    given, sur = [f"given{k}" for k in range(40)], [f"surname{k}" for k in range(60)] + ["silva"] * 30
+    name = lambda: " ".join([rng.choice(given), rng.choice(given), *rng.sample(sur, rng.randint(1, 2))])
+    entities = spark.createDataFrame([(i, name()) for i in range(1500)], "entity int, name string")
+    authors = spark.createDataFrame([(i, i, [name()]) for i in range(1500)], "author int, pos int, variants array<string>")
+    scored = []
+    whole = resolve._scored
+    monkeypatch.setattr(resolve, "_scored", lambda pairs, *rest: scored.append(pairs.distinct().count()) or whole(pairs, *rest))
+    returned = resolve.candidates(entities, authors, 0.3, 5).count()
+    assert returned == 7500 and sum(scored) < 10 * returned
+
+
 def test_token_roster(spark):
     roster = frame(spark, "entity string, pos int, name string", ("a", 1, "José da Silva"), ("b", 2, "Ana Maria Braga Costa"))
     names = frame(spark, "name string", ("SILVA, Jose",), ("Ana M. Braga Costa Maria",), ("Silva",))
@@ -199,6 +237,31 @@ def test_token_roster(spark):
     assert values(resolve.match_distinctive(frame(spark, "name string", ("ana bicalho",), ("nobody",)), r2), "name", "entity", "score") == [("ana bicalho", "x", 1.0)]
 
 
+@pytest.mark.parametrize("min_common", [2, 3])
+def test_token_roster_against_all_pairs(spark, min_common):
+    rng = random.Random(min_common)
+    names, others = sorted({*invented_names(rng, 150), "", "de a"}), invented_names(rng, 90)
+    stop = {"de", "da", "do", "dos", "das", "e", "a", "o", "em", "no", "na"}
+    telling = lambda n: {t for t in n.split() if len(t) > 1 and t not in stop}
+    want = []
+    for n in names:
+        hits = [(-i, f"r{i}") for i, r in enumerate(others) if telling(r) and ((c := len(telling(n) & telling(r))) == len(telling(r)) or len(telling(r)) >= 3 and c >= min_common)]
+        want += [(n, min(hits)[1])] if hits else []
+    roster = frame(spark, "entity string, pos int, name string", *((f"r{i}", -i, r) for i, r in enumerate(others)))
+    assert values(resolve.match_tokens(frame(spark, "name string", *((n,) for n in names * 2)), roster, min_common), "name", "entity") == sorted(want)
+
+
+def test_distinctive_names_against_all_pairs(spark):
+    rng = random.Random(9)
+    names, others = sorted({*invented_names(rng, 120), ""}), invented_names(rng, 80)
+    roster = frame(spark, "entity string, pos int, name string, short string", *((f"r{i}", i, r, rng.choice(["", None, "max p1", "lima", "rui"])) for i, r in enumerate(others)))
+    asked = frame(spark, "name string", *((n,) for n in names))
+    p, q = resolve.name_parts(F.col("name")), resolve.name_parts(F.col("other"))
+    every = asked.crossJoin(roster.withColumnRenamed("name", "other")).withColumn("score", resolve.advisor_name_similarity(p, q, F.col("short"))).filter("score >= 0.7")
+    want = every.groupBy("name").agg(F.max_by(F.struct("entity", "score"), F.struct("score", -F.col("pos"))).alias("b")).select("name", "b.*")
+    assert values(resolve.match_distinctive(asked, roster), "name", "entity", "score") == values(want, "name", "entity", "score")
+
+
 def test_roster_merges(spark):
     m, p = frame(spark, "id int, n string", (1, "a")), frame(spark, "id int, link string", (1, "l"), (2, "k"))
     assert [tuple(r) for r in resolve.merge_roster(m, p).orderBy("id").select("id", "n", "link", "active").collect()] == [(1, "a", "l", True), (2, None, "k", False)]
