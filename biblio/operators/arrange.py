@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from biblio.sources.shared import settled
+
 
 def with_positions(df: DataFrame, values: str) -> DataFrame:
     """One row for each element of an array, with its 1-based position."""
@@ -33,21 +35,45 @@ def prefer_linked(df: DataFrame, key: str, link: str, pos: str) -> DataFrame:
     return df.join(chosen, [key, pos])
 
 
-def carry_forward(df: DataFrame, group: str, label: str, order: list[str], blanks: tuple[str, ...] = ("", "t")) -> DataFrame:
+def scanned(df: DataFrame, group: str, order: list[str], counts: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, ranges: int | None = None) -> DataFrame:
+    """Add running sums (``counts``) and last values so far that are not null (``lasts``) of each group's rows, in order.
+
+    A segmented scan: rows are dealt by ranges of group and order, however few groups there are, and scanned range by range; what
+    a group's earlier ranges end with is carried into the next.  Only a range's first group can go on from another, so that there is
+    one carried row a range at most, which is broadcast.  ``order`` must tell any two rows of a group apart.
+    """
+    counts, lasts = counts or {}, lasts or {}
+    marks = {f"_c_{c}": x.cast("long") for c, x in counts.items()} | {f"_l_{c}": x for c, x in lasts.items()}
+    keys = [F.col(c) for c in (group, *order)]
+    dealt = df.withColumns(marks)
+    dealt = dealt.repartitionByRange(ranges, *keys) if ranges else dealt.repartitionByRange(*keys)
+    rows = settled(dealt.withColumn("_range", F.spark_partition_id()))
+    inner = Window.partitionBy("_range", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    at = F.struct(*order)
+    ends = rows.groupBy("_range", F.col(group).alias("_group")).agg(*(F.sum(f"_c_{c}").alias(f"_c_{c}") for c in counts), *(F.max_by(f"_l_{c}", F.when(F.col(f"_l_{c}").isNotNull(), at)).alias(f"_l_{c}") for c in lasts))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select("_range", "_group", F.row_number().over(Window.partitionBy("_group").orderBy("_range")).alias("_n"), *(F.sum(f"_c_{c}").over(before).alias(f"_b_{c}") for c in counts), *(F.last(f"_l_{c}", ignorenulls=True).over(before).alias(f"_b_{c}") for c in lasts)).filter("_n > 1").drop("_n").withColumnRenamed("_range", "_into")
+    own = rows.withColumns({f"_c_{c}": F.sum(f"_c_{c}").over(inner) for c in counts} | {f"_l_{c}": F.last(f"_l_{c}", ignorenulls=True).over(inner) for c in lasts})
+    both = own.join(F.broadcast(carried), (F.col("_range") == F.col("_into")) & F.col(group).eqNullSafe(F.col("_group")), "left")
+    done = both.withColumns({c: F.coalesce(F.col(f"_c_{c}"), F.lit(0)) + F.coalesce(F.col(f"_b_{c}"), F.lit(0)) for c in counts} | {c: F.coalesce(f"_l_{c}", f"_b_{c}") for c in lasts})
+    return done.select(*(c for c in df.columns if c not in {*counts, *lasts}), *counts, *lasts)
+
+
+def carry_forward(df: DataFrame, group: str, label: str, order: list[str], blanks: tuple[str, ...] = ("", "t"), ranges: int | None = None) -> DataFrame:
     """A row with a blank label takes the last one before it; ``order`` must tell any two rows of a group apart."""
     named = F.when(~F.col(label).isin(*blanks), F.col(label))
-    return df.withColumn(label, F.coalesce(F.last(named, ignorenulls=True).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)), F.lit("")))
+    return scanned(df, group, order, lasts={"_label": named}, ranges=ranges).withColumn(label, F.coalesce("_label", F.lit(""))).select(*df.columns)
 
 
-def blocks(df: DataFrame, group: str, is_header: Column, order: list[str]) -> DataFrame:
+def blocks(df: DataFrame, group: str, is_header: Column, order: list[str], ranges: int | None = None) -> DataFrame:
     """Number the blocks of a line stream that header lines open; lines before the first have block 0.
 
     ``order`` must tell any two lines of a group apart.
     """
-    return df.withColumn("block", F.sum(is_header.cast("int")).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return scanned(df, group, order, counts={"block": F.coalesce(is_header, F.lit(False)).cast("int")}, ranges=ranges)
 
 
-def parse_blocks(lines: DataFrame, group: str, order: str, header: str, fields: dict[str, str], stop: str | None = None) -> DataFrame:
+def parse_blocks(lines: DataFrame, group: str, order: str, header: str, fields: dict[str, str], stop: str | None = None, ranges: int | None = None) -> DataFrame:
     """(group, block, field, value) of a line stream.
 
     ``header`` opens a block, a pattern of ``fields`` begins a field (the rest of its line is its first part),
@@ -58,8 +84,7 @@ def parse_blocks(lines: DataFrame, group: str, order: str, header: str, fields:
     rest = reduce(lambda c, fp: F.when(text.rlike(fp[1]), F.regexp_replace(text, fp[1], "")).otherwise(c), fields.items(), text)
     ended = text.rlike(header) | (text.rlike(stop) if stop else F.lit(False))
     mark = F.when(opened.isNotNull(), opened).when(ended, F.lit(""))
-    rows = blocks(lines.filter(~text.rlike(r"^\d+$")), group, F.trim("line").rlike(header), [order])
-    placed = rows.withColumn("field", F.last(mark, ignorenulls=True).over(Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_rest", F.trim(rest))
+    placed = scanned(lines.filter(~text.rlike(r"^\d+$")), group, [order], {"block": F.trim("line").rlike(header).cast("int")}, {"field": mark}, ranges).withColumn("_rest", F.trim(rest))
     kept = placed.filter("block > 0 and field <> '' and _rest <> ''")
     return kept.groupBy(group, "block", "field").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "_rest"))), lambda x: x["_rest"]), " ").alias("value"))
 

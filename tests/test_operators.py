@@ -487,6 +487,26 @@ def test_search_and_views(spark):
     assert (t["course"], t["pdf_url"]) == ("C", "f")
 
 
+def test_line_streams_over_many_ranges(spark):
+    """One long group and small ones, null groups, over ranges that cut them: as if each were scanned whole."""
+    rng = random.Random(3)
+    rows = [(g, k, rng.choice(["head", "x", "", "t", "12", "list | a", "list | b", "stop", None]), 7) for g, n in (("a", 900), ("b", 3), (None, 40), ("c", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "doc string, pos int, line string, field int").repartition(5)
+    key = lambda r: (r["doc"] or "", r["pos"])
+    got = sorted(arrange.carry_forward(df, "doc", "line", ["pos"], ranges=9).collect(), key=key)
+    more = sorted(arrange.blocks(df, "doc", F.col("line") == "head", ["pos"], ranges=9).collect(), key=key)
+    last, n = {}, {}
+    for r, b, (g, k, line, _) in zip(got, more, sorted(rows, key=lambda r: (r[0] or "", r[1])), strict=True):
+        last[g] = line if line not in ("", "t", None) else last.get(g, "")
+        n[g] = n.get(g, 0) + (line == "head")
+        assert (r["doc"], r["pos"], r["line"], b["block"], b["field"]) == (g, k, last[g], n[g], 7)
+    lines = df.filter("line is not null").drop("field")
+    blocks = [values(arrange.parse_blocks(lines, "doc", "pos", "^head$", {"list": r"^list \| "}, "^stop$", ranges=r).filter("doc is not null"), "doc", "block", "field", "value") for r in (1, 9)]
+    assert blocks[0] == blocks[1] and len(blocks[0]) > 50
+    sizes = [r["count"] for r in df.repartitionByRange(9, "doc", "pos").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 9 and max(sizes) < 2 * len(rows) / 9
+
+
 def test_ordering(spark):
     d = frame(spark, "id int, year string, pos int, old_pos int", (1, "2000", 1, 5), (2, None, 2, None), (3, "2010", 3, 2), (4, "", 4, None))
     assert [r["id"] for r in arrange.by_year_desc(d).collect()] == [3, 1, 2, 4]
