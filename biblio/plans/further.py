@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from biblio.functions import names, text
 from biblio.operators import arrange, pages, quality, resolve, snapshot
 from biblio.sources import records as sources
+from biblio.sources import versions
 from biblio.streaming import ingest
 
 from .base import CURRENT, NODES, PREVIOUS, WORKS, in_place, nodes, query, scratch, snapshots, table, works
@@ -119,6 +120,27 @@ def l1_incremental_ingest(spark, d):
     return ingest.ingested(spark, target)
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey WHEN o_orderkey % 3 = 1 AND o_orderkey % 5 = 0 THEN -1 ELSE o_custkey END AS o_custkey FROM orders")
+def l1_ingest_forced(spark, d):
+    """A second run whose repeats are taken again where they are asked for."""
+    source, mark, target = (scratch(spark) for _ in range(3))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    rows.filter("o_orderkey % 3 > 0").write.parquet(source)
+    ingest.incremental_ingest(spark, source, rows.schema, mark, target, "o_orderkey")
+    late = rows.filter("o_orderkey % 3 < 2").withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).otherwise(F.lit(-1)).cast("bigint"))
+    late.write.mode("append").parquet(source)
+    ingest.incremental_ingest(spark, source, rows.schema, mark, target, "o_orderkey", force=rows.filter("o_orderkey % 5 = 0"))
+    return ingest.ingested(spark, target, "o_orderkey")
+
+
+@query(f"SELECT CASE WHEN a.o_orderkey IS NULL THEN 'added' WHEN b.o_orderkey IS NULL THEN 'removed' ELSE 'changed' END AS status, coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey FROM {PREVIOUS} a FULL JOIN {CURRENT} b ON a.o_orderkey = b.o_orderkey WHERE a.o_totalprice IS DISTINCT FROM b.o_totalprice")
+def j15_diff_versions(spark, d):
+    """Two committed versions compared by the digests of their buckets."""
+    folder = scratch(spark)
+    numbers = [versions.commit(rows, folder, name, "o_orderkey") for rows, name in zip(snapshots(spark, d), ("v1", "v2"), strict=True)]
+    return versions.changes(spark, folder, *numbers).select("status", "o_orderkey")
+
+
 # Listings: their order, as the place of each row.
 
 

@@ -41,12 +41,17 @@ def explode_keyed_map(df: DataFrame, col: str, key: str = "id") -> DataFrame:
 
 
 def read_snapshot(spark: SparkSession, root: str, version: str) -> DataFrame:
-    """Rows of one version; other versions' files are not read."""
-    return spark.read.parquet(root).filter(F.col("snapshot") == version).drop("snapshot")
+    """Rows of one version, as it was committed last; other versions' files are not read."""
+    from .versions import read_version
 
+    return read_version(spark, root, version)
 
-def write_snapshot(df: DataFrame, root: str, version: str) -> None:
-    df.write.mode("overwrite").parquet(f"{root.rstrip('/')}/snapshot={version}")
+
+def write_snapshot(df: DataFrame, root: str, version: str, key: str | None = None) -> None:
+    """Commit a version: its files are new, and readers see it from the moment that its pointer is in place."""
+    from .versions import commit
+
+    commit(df, root, version, key)
 
 
 def to_source_shape(df: DataFrame, people: list[str], id_col: str = "id") -> DataFrame:
@@ -88,7 +93,7 @@ def preview(previous: DataFrame, candidate: DataFrame, key: str) -> DataFrame:
     return diff(previous, candidate, key).select(action.alias("action"), key).filter("action is not null")
 
 
-def promote(candidate: DataFrame, staging: str, published: str, version: str, problems: DataFrame | None = None, gates: list = ()) -> DataFrame:
+def promote(candidate: DataFrame, staging: str, published: str, version: str, problems: DataFrame | None = None, gates: list = (), key: str | None = None) -> DataFrame:
     """Stage a candidate, let every gate pass on what was staged, then publish it as a new version.
 
     Staging below the published path is refused; a failed gate leaves the published versions alone.
@@ -105,7 +110,7 @@ def promote(candidate: DataFrame, staging: str, published: str, version: str, pr
     staged = spark.read.parquet(staging)
     for gate in gates:
         gate(staged)
-    write_snapshot(staged, published, version)
+    write_snapshot(staged, published, version, key)
     return read_snapshot(spark, published, version)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from biblio.operators import arrange, classify, dedup, pages, quality, resolve, search, snapshot, stats, tree
 from biblio.operators.snapshot import GateError
-from biblio.sources import records
+from biblio.sources import records, versions
 from biblio.streaming import ingest
 
 
@@ -547,7 +547,7 @@ def test_promotion(spark, tmp_path):
     assert got.count() == 2
     with pytest.raises(GateError):
         records.promote(df.limit(1), str(tmp_path / "st"), str(tmp_path / "pub"), "v2", gates=[lambda s: snapshot.gate_total(2, s.count())])
-    assert [p.name for p in (tmp_path / "pub").iterdir() if p.name.startswith("snapshot")] == ["snapshot=v1"]
+    assert versions.pointers(spark, str(tmp_path / "pub")) == [1] and versions.pointer(spark, str(tmp_path / "pub"))["version"] == "v1"
     plan = records.preview(df, frame(spark, "id int", (2,), (3,)), "id")
     assert values(plan, "action", "id") == [("create", 3), ("delete", 1)]
 
@@ -562,6 +562,61 @@ def test_text_tree(spark, tmp_path):
     assert [r["text"] for r in good.collect()] == ["é"] and bad.count() == 1
 
 
+def test_commit_survives_a_crash_and_refuses_a_second_writer(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "pub")
+    old, new = frame(spark, "id int, v string", (1, "a"), (2, "b")), frame(spark, "id int, v string", (2, "c"))
+    assert versions.commit(old, root, "v1", "id", expected=0) == 1
+    with monkeypatch.context() as m:  # it dies when the files are there and the pointer is not
+        m.setattr(versions, "bucket_digests", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            versions.commit(new, root, "v2", "id")
+    assert values(versions.read_version(spark, root), "id", "v") == [(1, "a"), (2, "b")]
+    with pytest.raises(GateError):
+        versions.commit(new, root, "v2", "id", expected=0)
+    with monkeypatch.context() as m:  # another writer was faster, after this one had looked
+        m.setattr(versions, "pointers", lambda *_: [])
+        with pytest.raises(GateError):
+            versions.commit(new, root, "v2", "id")
+    assert versions.pointers(spark, root) == [1]
+    assert versions.commit(new, root, "v2", "id") == 2 and values(versions.read_version(spark, root), "id", "v") == [(2, "c")]
+    assert values(versions.read_version(spark, root, "v1"), "id", "v") == [(1, "a"), (2, "b")]
+    assert versions.commit(old.limit(0), root, "none", "id") == 3 and versions.read_version(spark, root).count() == 0
+    with pytest.raises(LookupError):
+        versions.read_version(spark, root, "v9")
+
+
+def test_versions_are_compared_by_buckets(spark, tmp_path):
+    root = str(tmp_path / "pub")
+    rows = spark.range(2000).select(F.col("id"), (F.col("id") % 7).alias("v"), F.create_map(F.lit("k"), F.col("id")).alias("m"), F.lit("x").alias("_bucket_"), F.current_timestamp().alias("last_updated"))
+    changed = rows.withColumn("v", F.when(F.col("id") == 77, -1).otherwise(F.col("v")))
+    a, b, c = versions.commit(rows, root, "a", "id"), versions.commit(changed, root, "b", "id"), versions.commit(changed.drop("_bucket_"), root, "c", "id")
+    assert [tuple(r) for r in versions.changes(spark, root, a, b).collect()] == [(77, "changed", ["v"])]
+    assert versions.changes(spark, root, a, a).count() == 0
+    some = versions.differing_buckets(spark, versions.pointer(spark, root, a), versions.pointer(spark, root, b))
+    read = versions._rows(spark, versions.pointer(spark, root, a), some)
+    assert len(some) == 1 and len(read.inputFiles()) >= 1 and read.count() < 40  # of 2000
+    assert "PartitionFilters: [isnotnull(_bucket" in read._jdf.queryExecution().toString() or "PartitionFilters: [(_bucket" in read._jdf.queryExecution().toString()
+    assert versions.columns_changed(spark, root, b, c) == {"added": [], "dropped": ["_bucket_"]}
+
+
+def test_ingest_replaces_forces_and_prunes(spark, tmp_path):
+    schema = frame(spark, "id int, v string", (1, "a")).schema
+
+    def run(name, **how):
+        src, ck, out = (str(tmp_path / f"{name}-{n}") for n in ("src", "ck", "out"))
+        frame(spark, "id int, v string", (1, "a"), (2, "b"), (None, "n")).write.parquet(src)
+        ingest.incremental_ingest(spark, src, schema, ck, out, "id", **how)
+        frame(spark, "id int, v string", (1, "LATE"), (2, "LATE"), (3, "c"), (None, "LATE"), (3, "b")).write.mode("append").parquet(src)
+        ingest.incremental_ingest(spark, src, schema, ck, out, "id", **how)
+        return sorted((tuple(r) for r in ingest.ingested(spark, out, "id").collect()), key=str)
+
+    assert run("add") == [(1, "a"), (2, "b"), (3, "b"), (None, "n")]
+    assert run("all", replace=True) == [(1, "LATE"), (2, "LATE"), (3, "b"), (None, "LATE")]
+    assert run("some", force=frame(spark, "id int", (2,))) == [(1, "a"), (2, "LATE"), (3, "b"), (None, "n")]
+    there = ingest._before(spark, str(tmp_path / "add-out"), schema, [r[0] for r in spark.range(1).select(versions.bucket_of("id", ingest.BUCKETS)).collect()], 9)
+    assert there is None or there.count() < 4
+
+
 def test_incremental_ingest_resumes(spark, tmp_path):
     src, ck, out = (str(tmp_path / n) for n in ("src", "ck", "out"))
     schema = frame(spark, "id int, v string", (1, "a")).schema
