@@ -5,11 +5,15 @@ cells; each digest is added to one cell of each: a count, the xor of digests and
 The cells of two versions subtract, and peeling recovers the digests that differ: a cell with one digest
 gives it away, and it is taken out of its other cells, until all are empty.
 
-A fingerprint holds a small sketch of all digests and, for when peeling its difference fails, a larger one: digests
-in groups of about ``GROUP`` by their leading bits, each group in cells of its own, as many (``SIZES``) as it takes to peel
-the group from them; a group that fails them all is written as it is.  The larger sketch gives all digests of a version
-(its difference from nothing), so that the likeness of two fingerprints, one less the differing digests' share of
-all, is always told by what the fingerprints hold, exactly.
+A fingerprint holds a small sketch of all digests and a larger one: digests in groups of about ``GROUP`` by their leading
+bits, each group in cells of its own, as many (``SIZES``) as it takes to peel the group from them; a group that fails them all
+is written as it is.  The larger sketch gives all digests of a version back (its difference from nothing), and so a sketch of any
+size.
+
+The likeness of two fingerprints is one less the differing digests' share of all.  Their small sketches subtract, and peeling
+recovers what differs.  Where that fails, larger ones do, group by group under the finer of both divisions: each group's
+cells subtract and are peeled, and retried at the next of ``RETRIES`` on failure.  Only a group that even the last leaves entangled
+(less than one in a billion for what a group holds) is compared digest by digest.
 
 All of it is DataFrame functions.  Work grows with a text's length, but for dealing digests into groups, which costs
 the square root of their number for each.  Neighbours in the order of ids are found with windows over ranges of ids, each of about
@@ -33,6 +37,7 @@ PART_WORDS = 32
 BASE_CELLS = 5  # in each of three tables
 GROUP = 8
 SIZES = (8, 16, 48)  # cells in each of a group's tables
+RETRIES = (8, 16, 48, 144)  # the same for differences of groups
 ROUNDS = 10
 RANGE_BYTES = 2 << 20
 COARSE = 512
@@ -108,7 +113,12 @@ def peeled(cells: Column, per_table: Column, salt: int) -> Column:
     return let(done, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["d"] == 0) & (c["c"] == 0)), s["got"]))
 
 
-def groups(found: Column) -> Column:
+def bits_of(n: Column) -> Column:
+    """Leading bits that deal so many digests into groups."""
+    return F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)) / GROUP)), F.lit(0)).cast("int")
+
+
+def groups(found: Column, bits: Column | None = None) -> Column:
     """The digests dealt into a power of two of groups by their leading bits, first coarsely and then finely."""
 
     def leading(d: Column, bits: Column) -> Column:  # a shift by 64 would be none
@@ -125,7 +135,7 @@ def groups(found: Column) -> Column:
         coarse = F.transform(F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), half) - 1), lambda c: F.struct(c.alias("c"), F.filter(found, lambda d: leading(d, half) == c).alias("own")))
         return F.flatten(F.transform(coarse, lambda x: within(x["own"], x["c"])))
 
-    return let(F.greatest(F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)) / GROUP)), F.lit(0)).cast("int"), dealt)
+    return let(bits_of(F.size(found)) if bits is None else bits, dealt)
 
 
 def kept_group(group: Column) -> Column:
@@ -163,17 +173,35 @@ def fingerprint(found: Column) -> Column:
     return let(F.transform(groups(found), kept_group), of)
 
 
-def differing(a: Column, b: Column) -> Column:
-    """Number of digests in one of two fingerprints only."""
-    small = peeled(subtract(a["base"], b["base"]), F.lit(BASE_CELLS), 0)
-    whole = F.size(F.array_except(a["digests"], b["digests"])) + F.size(F.array_except(b["digests"], a["digests"]))
-    return let(small, lambda got: F.when(got.isNotNull(), F.size(got)).otherwise(whole))
+def retried(pairs: Column, size: Column, salt: int) -> Column:
+    """Pairs of groups (x, y, n, by), with ``n`` where sketches of this size tell it and none before did."""
+
+    def again(p):
+        got = peeled(subtract(sketch(p["x"], size, salt), sketch(p["y"], size, salt)), size, salt)
+        return F.when(p["n"].isNotNull(), p).otherwise(let(got, lambda g: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.when(g.isNotNull(), F.size(g)).alias("n"), F.when(g.isNotNull(), size).alias("by"))))
+
+    return F.transform(pairs, again)
+
+
+def with_difference(df: DataFrame, a: str, b: str, out: str) -> DataFrame:
+    """Add ``out``: (n, by), the number of digests in one of two fingerprints only, and the sizes of the sketches that told it."""
+    x, y = F.col(a), F.col(b)
+    df = df.withColumn("_small", peeled(subtract(x["base"], y["base"]), F.lit(BASE_CELLS), 0))
+    df = df.withColumn("_bits", bits_of(F.greatest(F.size(x["digests"]), F.size(y["digests"]))))
+    none = F.lit(None).cast("int")
+    df = df.withColumn("_pairs", F.when(F.col("_small").isNull(), F.zip_with(groups(x["digests"], F.col("_bits")), groups(y["digests"], F.col("_bits")), lambda g, h: F.struct(g.alias("x"), h.alias("y"), none.alias("n"), none.alias("by")))))
+    for k, cells in enumerate(RETRIES):
+        df = df.withColumn("_pairs", retried(F.col("_pairs"), F.lit(cells), k + 1))
+    rest = lambda p: F.size(F.array_except(p["x"], p["y"])) + F.size(F.array_except(p["y"], p["x"]))
+    told = F.struct(F.aggregate("_pairs", F.lit(0), lambda n, p: n + F.coalesce(p["n"], rest(p))).alias("n"), F.array_distinct(F.transform("_pairs", lambda p: F.coalesce(p["by"], F.lit(0)))).alias("by"))
+    small = F.struct(F.size("_small").alias("n"), F.array(F.lit(BASE_CELLS)).alias("by"))
+    return df.withColumn(out, F.when(F.col("_small").isNotNull(), small).otherwise(told)).drop("_small", "_bits", "_pairs")
 
 
-def likeness(a: Column, b: Column) -> Column:
+def likeness(a: Column, b: Column, apart: Column) -> Column:
     """1 less the share of digests that are in one of two fingerprints only."""
     total = F.size(a["digests"]) + F.size(b["digests"])
-    return F.when(total == 0, F.lit(1.0)).otherwise(1 - differing(a, b) / total)
+    return F.when(total == 0, F.lit(1.0)).otherwise(1 - apart["n"] / total)
 
 
 def written(mark: Column) -> Column:
@@ -231,15 +259,14 @@ def edited_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = settled(edited_pairs(table(spark, sf_dir, "documents")))  # digests, no texts
-    # a fingerprint gives back its digests whatever its groups are like, so those of the next text need not be built again
-    following = F.struct(sketch(F.col("following"), F.lit(BASE_CELLS), 0).alias("base"), F.col("following").alias("digests"))
-    marks = pairs.select("doc_id", "n_chars", "edited_sha256", *(fingerprint(F.col(c)).alias(c) for c in ("own", "edited")), following.alias("following"))
-    return marks.select(
+    marks = pairs.select("doc_id", "n_chars", "edited_sha256", *(fingerprint(F.col(c)).alias(c) for c in ("own", "edited")), F.when(F.col("following").isNotNull(), fingerprint(F.col("following"))).alias("following"))
+    apart = with_difference(with_difference(marks, "own", "edited", "apart_edited"), "own", "following", "apart_next")
+    return apart.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         written(F.col("own")).alias("fingerprint"),
         written(F.col("edited")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited")).alias("near_edited"),
-        likeness(F.col("own"), F.col("following")).alias("near_next"),
+        likeness(F.col("own"), F.col("edited"), F.col("apart_edited")).alias("near_edited"),
+        likeness(F.col("own"), F.col("following"), F.col("apart_next")).alias("near_next"),
     )

@@ -340,6 +340,24 @@ def test_fingerprints_give_back_all_digests(spark):
                 assert sums[0] == sums[1] == sums[2]
 
 
+def test_differences_are_peeled_at_the_size_that_tells_them(spark):
+    """Few changes come from the base, more from sketches of groups, retried larger; none digest by digest."""
+    rng = random.Random(12)
+    new = lambda n: [rng.getrandbits(63) for _ in range(n)]
+    pairs, want = [], []
+    for kept, gone, come in [(0, 0, 0), (0, 1, 0), (50, 1, 2), (9, 0, 3), (40, 40, 40), (0, 30, 0), (3, 200, 7), (300, 150, 150), (0, 6, 90), (5, 0, 0)]:
+        both = new(kept)
+        pairs.append((both + new(gone), new(come) + both))
+        want.append(gone + come)
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<long>, b array<long>")
+    marks = df.select("i", fingerprint.fingerprint(F.col("a")).alias("a"), fingerprint.fingerprint(F.col("b")).alias("b"))
+    told = fingerprint.with_difference(marks, "a", "b", "d").select("i", "d").orderBy("i").collect()
+    assert [r["d"]["n"] for r in told] == want
+    by = [set(r["d"]["by"]) for r in told]
+    assert by[0] == by[1] == by[2] == {fingerprint.BASE_CELLS} and all(0 not in x for x in by)
+    assert any(16 in x for x in by) and sum(x != {fingerprint.BASE_CELLS} for x in by) >= 4
+
+
 def test_fingerprint_of_a_very_long_text(spark, tmp_path):
     words = [f"w{i % 7919}x{i // 7919}" for i in range(200_000)]
     rows = [(2, " ".join(words)), (1, " ".join(words[:150_000]))]
