@@ -1,18 +1,19 @@
 """Operator 5: main text of HTML pages by the maximum-scoring subsequence.
 
-A page is a sequence of tokens: words score positive, tags negative.  The weight of a tag (its name,
-class and direction) comes from labelled pages, those that mark their content with ``article`` or
+A page is a sequence of tokens: words score positive, tags negative.  The weight of a tag (its name and its class, its id
+without digits, or its role, whichever costs most; else its name and direction) comes from labelled pages, those that mark their content with ``article`` or
 ``main``: the more a tag occurs outside of the marked part (elements around that part aside), the more it costs;
 tags without a class, which any part of a page may have, cost ``PLAIN_MOST`` at most.  A linear scan finds the
 contiguous region with the highest score.  Within it, elements with a class that hardly ever occurs in marked
-content are left out, as are the elements that HTML itself sets apart from content (``SKIPPED``), and blocks of text are joined.
+content are left out, as are the elements that HTML itself sets apart from content (``SKIPPED``, an article within an article) and
+blocks that say to hold readers' comments (``READERS``), and blocks of text are joined.
 
 Weights are learned from a bounded sample (``TRAIN_PAGES``); every page is extracted, whole, in time that grows with
 its length.
 
 Defined cases: null or empty html gives empty text; a page without words gives empty text; equal scores
 take the earlier region; paragraphs, list items, table cells and the like end where HTML lets them end without a tag, other
-unclosed elements with the page; a ``<`` that opens no tag is text; very long pages are pages like any other; without
+unclosed elements with the page, but a ``noscript`` or ``template`` that never ends hides nothing; a ``<`` that opens no tag is text; very long pages are pages like any other; without
 labelled pages all tags cost ``UNSEEN``; repeated rows are extracted alike; an empty table gives an empty result; columns
 with the names of new ones are replaced.
 """
@@ -64,8 +65,14 @@ for _name, (_tags, _) in _ENDED_BY.items():
 
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _PLAIN = re.compile(r"[^>\"']*")
-_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style", "noscript", "template")}
-_NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in ("script", "style")}
+_NAMED = re.compile(r"(?<![\w-])(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_DIGITS = re.compile(r"\d+")
+_NAME_WORDS = re.compile(r"[a-z]+")
+#: Elements whose content is lost only if they end: a page may leave them open.
+_MAY_END = ("noscript", "template")
+#: Words in the class, id or item property of the blocks that hold what readers say.
+READERS = frozenset(("comment", "comments", "commentlist", "respond", "replies"))
 _SPACE = re.compile(r"\s+")
 
 
@@ -84,7 +91,9 @@ def tag_end(page: str, at: int, stop: int) -> int:
 
 
 def tokens(page: str):
-    """(kind, name, key, named) of each tag ('<' or '>') and ('t', '', '', text) of each run of text of a page.
+    """(kind, name, keys, words) of each tag ('<' or '>') and ('t', '', (), text) of each run of text of a page.
+
+    The keys of a tag are one for each of its class, id without digits, and role, or its name where it has none of these.
 
     One tag that quotes keep from ending makes the rest of the page be read by a stricter rule, under which quoted values
     hold no ``<``, so that no part is looked at over and over.
@@ -118,18 +127,23 @@ def tokens(page: str):
                 continue
             name, opens, inner = m[1].lower(), page[at + 1] != "/", page[m.end() : end - 1]
         if at > text_from:
-            yield "t", "", "", page[text_from:at]
+            yield "t", "", (), page[text_from:at]
         if name:
-            named = " ".join(x or y or z for x, y, z in _NAMED.findall(inner)) if "=" in inner else ""
             raw = _RAW.get(name) if opens else None
             if raw:  # what stands in it is no content
                 m = raw.search(page, end)
                 end = n if m is None else m.end()
             else:
-                yield ("<" if opens else ">"), name, ("" if opens else "/") + name + (f".{named.lower()}" if named else ""), named
+                keys, words = [], ""
+                for attr, x, y, z in _NAMED.findall(inner) if "=" in inner else ():
+                    said = " ".join(_DIGITS.sub("", (x or y or z).lower()).split())
+                    if said:
+                        keys.append(f"{name}.{attr.lower()}={said}")
+                        words += f" {said}" if attr.lower() != "role" else ""
+                yield ("<" if opens else ">"), name, tuple(keys) or (("" if opens else "/") + name,), words
         at = text_from = end
     if text_from < n:
-        yield "t", "", "", page[text_from:]
+        yield "t", "", (), page[text_from:]
 
 
 class Open:
@@ -181,28 +195,28 @@ def tag_counts(page: str) -> tuple[Counter, Counter] | None:
     """
     inside, outside, depth, seen = Counter(), Counter(), 0, False
     open_ = Open()
-    for kind, name, key, _ in tokens(page):
+    for kind, name, keys, _ in tokens(page):
         if kind == "t":
             continue
         if name in MARKED:
             if kind == "<" and not depth:
                 for _, own in open_.stack:
                     if own[0]:  # around the content
-                        outside[own[0]] -= 1
-                        own[0] = ""
+                        outside.subtract(own[0])
+                        own[0] = ()
             depth = max(0, depth + (1 if kind == "<" else -1))
             seen = True
         elif depth:
-            inside[key] += 1
+            inside.update(keys)
         elif kind == "<":
             open_.before(name)
-            outside[key] += 1
+            outside.update(keys)
             if name not in VOID:
-                open_.push(name, [key])
+                open_.push(name, [keys])
         else:
             gone = open_.close(name)
             if gone and gone[0][1][0]:
-                outside[key] += 1
+                outside.update(keys)
     return (inside, +outside) if seen else None
 
 
@@ -239,20 +253,36 @@ def learn(pages: DataFrame, html: str = "html", most: int = TRAIN_PAGES) -> dict
     return weigh(Counter({r["key"]: r["i"] for r in counts}), Counter({r["key"]: r["o"] for r in counts}))
 
 
-def furniture(name: str, key: str, cost: dict[str, float]) -> bool:
+def cost_of(keys: tuple, cost: dict[str, float], unknown: float) -> float:
+    """What a tag costs: as much as the dearest of its keys that are known."""
+    return max((cost[k] for k in keys if k in cost), default=unknown)
+
+
+def of_readers(name: str, words: str) -> bool:
+    """Whether an element is a block that holds what readers say."""
+    return name in BLOCKS and not READERS.isdisjoint(_NAME_WORDS.findall(words))
+
+
+def furniture(name: str, keys: tuple, words: str, cost: dict[str, float]) -> bool:
     """Whether an element is left out of the content it stands in."""
-    if name in SKIPPED or name == "header" and cost.get(key, 0.0) >= PLAIN_MOST:
+    if name in SKIPPED or name == "header" and cost_of(keys, cost, 0.0) >= PLAIN_MOST:
         return True
-    return name not in MARKED and cost.get(key, 0.0) >= MOST
+    return of_readers(name, words) or name not in MARKED and cost_of(keys, cost, 0.0) >= MOST
 
 
 def left_out(items: list[tuple], cost: dict[str, float]) -> list[int]:
-    """For each item, how many open elements around it are left out (a tag of such an element is in it)."""
+    """For each item, how many open elements around it are left out (a tag of such an element is in it).
+
+    An article within an article is what readers add to it, as HTML has it.
+    """
+    ends = Counter(name for kind, name, *_ in items if kind == ">" and name in _MAY_END)
     open_, off, out = Open(), 0, []
-    for kind, name, key, _ in items:
+    for kind, name, keys, words in items:
         if kind == "<":
             off -= sum(mark for _, mark in open_.before(name))
-            mark = furniture(name, key, cost)
+            mark = furniture(name, keys, words, cost) or name == "article" and open_.count[name] > 0
+            if name in _MAY_END and ends[name] <= open_.count[name]:  # it never ends
+                mark = False
             out.append(off + mark)
             if name not in VOID:
                 open_.push(name, mark)
@@ -260,6 +290,7 @@ def left_out(items: list[tuple], cost: dict[str, float]) -> list[int]:
         else:
             out.append(off)
             if kind == ">":
+                ends[name] -= 1
                 off -= sum(mark for _, mark in open_.close(name))
     return out
 
@@ -267,11 +298,11 @@ def left_out(items: list[tuple], cost: dict[str, float]) -> list[int]:
 def region(items: list[tuple], off: list[int], cost: dict[str, float]) -> tuple[int, int]:
     """First and last item of the contiguous run with the highest score (a linear scan)."""
     best, best_at, run, start = 0.0, (0, 0), 0.0, 0
-    for i, (kind, name, key, text) in enumerate(items):
+    for i, (kind, name, keys, text) in enumerate(items):
         if kind == "t":
             value = 0.0 if off[i] else WORD * len(text.split())
         else:
-            value = 0.0 if name in MARKED else -cost.get(key, UNSEEN)
+            value = 0.0 if name in MARKED else -cost_of(keys, cost, UNSEEN)
         if run <= 0:
             run, start = 0.0, i
         run += value

@@ -419,6 +419,35 @@ PAGE = """<html><head><title>T</title><style>p{{}}</style></head><body><nav><a h
 <article><h1>Head&amp;line</h1><p>One  two &lt;three&gt;<br>four</p><aside>side words here</aside><p><b>Bold</b> text{extra}</p><form><input><button>Send</button></form></article><div class="comments"><p>reader says a lot of things here</p></div><footer>foot</footer></body></html>"""
 
 
+def made_page(rng, k):
+    """A page and the text of its article; some pages mark it, readers' comments stand behind it or in it."""
+    line = lambda n: " ".join(rng.choice(brute_words) for _ in range(n))
+    brute_words = "stone river cloud marks light under paper seven".split()
+    paragraphs = [line(rng.randint(15, 60)) for _ in range(rng.randint(2, 6))]
+    menu = "".join(f'<li class="item" id="m{rng.randint(1, 999)}"><a href="/x">{line(2)}</a></li>' for _ in range(8))
+    named = (lambda j: f'class="comment" id="comment-{rng.randint(1, 9999)}"') if k % 3 else (lambda j: "class='comment'")
+    comments = "".join(f"<div {named(j)}><p>{line(30)}</p></div>" for j in range(3))
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    hole = "<noscript>" if k % 7 == 0 else "<noscript>turn it on</noscript>" if k % 7 == 1 else ""
+    tag = "article" if k % 4 else "div"
+    inner = comments if k % 5 == 0 else f"<article><p>{line(20)}</p></article>" if k % 5 == 1 and k % 4 else ""
+    html = f'<html><body><div class="top" role="banner">{line(4)}</div><ul class="menu">{menu}</ul>{hole}<{tag}>{body}{inner}</{tag}>{"" if inner else comments}<div class="side">{line(9)}</div></body></html>'
+    return html, "\n".join(paragraphs)
+
+
+def test_main_text_of_made_pages(spark):
+    """All of the article and nothing else: no comment, with or without an id, inside the article or behind it."""
+    rng = random.Random(21)
+    made = [made_page(rng, k) for k in range(260)]
+    long_ = "<body><article>" + "".join(f"<p>word{k} and so on</p>" for k in range(40_000)) + "</article></body>"
+    rows = [(k, html, "x", 5) for k, (html, _) in enumerate(made)] + [(900, long_, "x", 5), (901, None, None, None), (3, made[3][0], "x", 5)]
+    df = spark.createDataFrame(rows, "page_id int, html string, text string, n_chars int")
+    got = {r["page_id"]: r for r in pages.extract(df, pages.learn(df)).collect()}
+    wrong = [k for k, (_, text) in enumerate(made) if got[k]["text"] != text]
+    assert not wrong, (len(wrong), made[wrong[0]], got[wrong[0]]["text"])
+    assert got[900]["text"].count("\n") == 39_999 and got[901]["text"] == "" and got[900]["n_chars"] == len(got[900]["text"])
+
+
 def test_main_text(spark, tmp_path):
     rows = [(1, "u", PAGE.format(extra="")), (2, "u", None), (3, "u", ""), (4, "u", "<p></p><br>"), (5, "u", PAGE.format(extra=" more" * 20))] + [(10 + i, "u", PAGE.format(extra=" x" * i)) for i in range(8)]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
