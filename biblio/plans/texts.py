@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from biblio.functions import names, text
 from biblio.functions.flatten import flatten_json
-from biblio.operators import classify, pages, search
+from biblio.operators import classify, pages, search, textindex
 
-from .base import query, table
+from .base import query, scratch, table
 
 # ASCII forms in SQL: compatibility forms beyond accents do not occur in these tables.
 _ASCII = r"regexp_replace(strip_accents(text), '[^\x00-\x7F]', '', 'g')"
@@ -94,6 +96,15 @@ def p9_faceted_search(spark, d):
     return search.faceted_search(table(spark, d, "documents"), "ÉREAL", ["text"], {"lang": "en", "source": ""}).select("doc_id")
 
 
+@query("SELECT query, doc_id FROM documents JOIN (VALUES ('ÉREAL'), ('thation'), ('à'), ('none of these')) q(query) ON contains(lower(strip_accents(text)), lower(strip_accents(query)))")
+def p9_text_index(spark, d):
+    """Several queries of one written index."""
+    folder = scratch(spark)
+    textindex.build(table(spark, d, "documents"), "doc_id", ["text"], folder)
+    found = [textindex.find(spark, folder, q).select(F.lit(q).alias("query"), F.col("id").alias("doc_id")) for q in ("ÉREAL", "thation", "à", "none of these")]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
 @query("SELECT DISTINCT source FROM documents WHERE coalesce(source, '') <> ''")
 def p10_facet_values(spark, d):
     return search.facet_values(table(spark, d, "documents"), "source")

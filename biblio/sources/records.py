@@ -61,7 +61,8 @@ def to_source_shape(df: DataFrame, people: list[str], id_col: str = "id") -> Dat
 
 def read_text_tree(spark: SparkSession, root: str, suffixes: list[str], skip: list[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(path, text) of files with these endings below a root, and problems for those that are not UTF-8."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    either = ",".join("*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in x) for x in suffixes)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"{{{either}}}").load(root).select("path", "content")  # others are not even opened
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     ends = F.greatest(*(name.endswith(s) for s in suffixes)) if len(suffixes) > 1 else name.endswith(suffixes[0])
     kept = files.filter(ends)

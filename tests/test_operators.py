@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from biblio.operators import arrange, classify, dedup, pages, quality, resolve, search, snapshot, stats, tree
+from biblio.operators import arrange, classify, dedup, pages, quality, resolve, search, snapshot, stats, textindex, tree
 from biblio.operators.snapshot import GateError
 from biblio.sources import records, versions
 from biblio.streaming import ingest
@@ -471,6 +471,18 @@ def test_deep_trees_cycles_and_gaps(spark):
     assert tree.ancestors(df.limit(0)).count() == 0 and tree.subtree(df, "none").count() == 0
 
 
+def test_text_index_finds_what_a_scan_finds(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(k if k % 9 else None, "".join(rng.choice("aábcd É") for _ in range(rng.choice([0, 2, 9, 60]))) or None, "x", 1) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc int, text string, id string, gram int").repartition(3)
+    textindex.build(df, "doc", ["text"], str(tmp_path / "index"))
+    for query, near in (("", 9), ("Á", 9), ("abc", 9), ("ÁBCD", 100_000), ("abcd", 1), ("a b c", 100_000), ("zzzz", 9), ("abcdabcdabcd", 9)):
+        monkeypatch.setattr(textindex, "NEAR", near)
+        got = [r["id"] for r in textindex.find(spark, str(tmp_path / "index"), query).collect()]
+        want = [r["doc"] for r in search.faceted_search(df, query, ["text"]).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), query
+
+
 def test_search_and_views(spark):
     d = frame(spark, "id int, t string, f string, who array<string>", (1, "Ação", "x", ["a"]), (2, "acao b", "y", ["b"]))
     assert values(search.faceted_search(d, "AÇÃO", ["t"], {"f": ""}, {"who": "b"}), "id") == [(2,)]
