@@ -45,7 +45,10 @@ def semantic(df: DataFrame, volatile: tuple[str, ...] = VOLATILE) -> DataFrame:
 
 
 def diff(previous: DataFrame, current: DataFrame, key: str, ignore: tuple[str, ...] = VOLATILE) -> DataFrame:
-    """(key, status, changed_fields): added, removed, changed or unchanged."""
+    """(key, status, changed_fields): added, removed, changed or unchanged, by the columns that both versions have.
+
+    A new or dropped column is no change of a row; ``columns_changed`` of committed versions tells it.
+    """
     a, b = semantic(previous, ignore), semantic(current, ignore)
     cols = [c for c in a.columns if c != key and c in b.columns]
     old = a.select(key, F.struct(*cols).alias("_o"))

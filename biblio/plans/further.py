@@ -342,6 +342,16 @@ def j6_waterfall(spark, d):
     return resolve.run_waterfall(_entities(spark, d), stages)[0]
 
 
+@query(f"SELECT CASE WHEN score >= 0.95 THEN 'exact' WHEN score >= 0.3 THEN 'loose' ELSE 'none' END AS method, count(*) AS n FROM (SELECT e.entity, coalesce(r.score, 0) AS score FROM (SELECT DISTINCT entity FROM {_ENTITIES}) e LEFT JOIN (SELECT * FROM {_RANKED} WHERE rank = 1) r USING (entity)) GROUP BY 1")
+def j6_waterfall_counts(spark, d):
+    """How many each stage matched, and none did."""
+    authors = _authors(spark, d)
+    stages = [("exact", lambda e: resolve.best_match(e, authors, 0.95)), ("loose", lambda e: resolve.best_match(e, authors, 0.3))]
+    _, left, counts = resolve.run_waterfall(_entities(spark, d), stages)
+    rest = left.agg(F.lit("none").alias("method"), F.count(F.lit(1)).alias("n")).filter("n > 0")
+    return counts.unionByName(rest)
+
+
 #: Advisors and people: roster names with a surname; the short form is a name that people also go by.
 _SURNAME = "CASE p_partkey % 5 WHEN 0 THEN 'silva' WHEN 1 THEN 'kubrusly' WHEN 2 THEN 'tanaka silva' WHEN 3 THEN 'kubrusly tanaka' ELSE '' END"
 _PEOPLE = f"(SELECT min(p_partkey) AS pos, p_name || ' ' || {_SURNAME} AS name FROM part GROUP BY 2)"
@@ -383,13 +393,17 @@ _LADDER = f"(SELECT a.name, b.pos AS entity, CAST({_advisor_score('a.name', 'b.n
 _WITH_SURNAME = f"(SELECT p_partkey AS k, trim(p_name || ' ' || {_SURNAME}) AS name, trim(string_split(p_name, ' ')[1] || ' ' || CASE p_partkey % 3 WHEN 0 THEN string_split(p_name, ' ')[2] || ' ' ELSE '' END || {_SURNAME}) AS advisor FROM part)"
 
 
-@query(f"SELECT c_custkey, CAST({_advisor_score('a.advisor', 'b.name')} AS DOUBLE) AS score FROM customer JOIN {_WITH_SURNAME} a ON a.k = c_custkey % 100 + 1 JOIN {_WITH_SURNAME} b ON b.k = c_custkey % 77 + 1")
+_PARTS = "(SELECT count(*) FROM part)"
+
+
+@query(f"SELECT c_custkey, CAST({_advisor_score('a.advisor', 'b.name')} AS DOUBLE) AS score FROM customer JOIN {_WITH_SURNAME} a ON a.k = c_custkey % {_PARTS} JOIN {_WITH_SURNAME} b ON b.k = c_custkey * 7 % {_PARTS}")
 def f15_advisor_name_similarity(spark, d):
     advisor, person = _surnames()
     part = table(spark, d, "part")
+    n = part.count()
     left = part.select(F.col("p_partkey").alias("x"), names.name_parts(advisor).alias("_p"))
     right = part.select(F.col("p_partkey").alias("y"), names.name_parts(person).alias("_q"))
-    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % 100 + 1).alias("x"), (F.col("c_custkey") % 77 + 1).alias("y"))
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % n).alias("x"), (F.col("c_custkey") * 7 % n).alias("y"))
     score = names.advisor_name_similarity(F.col("_p"), F.col("_q"))
     return rows.join(left, "x").join(right, "y").select("c_custkey", score.alias("score"))
 

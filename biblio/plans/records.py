@@ -27,6 +27,14 @@ def j1_match_names(spark, d):
     return matched.select("id", F.array_join(F.transform("people", lambda p: F.concat(p["name"], F.lit("="), F.coalesce(p["entity_id"].cast("string"), F.lit("")))), ";").alias("people"))
 
 
+@query("SELECT DISTINCT p_name AS name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN (SELECT p_name AS n, min(p_partkey) AS e FROM part GROUP BY 1) ON n = p_name WHERE e % 3 = 0")
+def j1_unmatched_names(spark, d):
+    """Names of the lines that no one is known by."""
+    mapping = roster(spark, d).filter("entity_id % 3 > 0").select(fold(F.col("name"), "library_name").alias("name_key"), "entity_id")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return resolve.match_names(lines.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list("p_name").alias("names")), "id", "names", mapping)[1]
+
+
 @query("WITH prior AS (SELECT p_name AS name, min(p_partkey % 10) AS e, max(p_partkey % 10) AS m FROM part GROUP BY 1), r AS (SELECT name, e, 1 AS k FROM prior WHERE e = m UNION ALL SELECT p_name, min(p_partkey), 2 FROM part WHERE p_size > 25 GROUP BY 1 UNION ALL SELECT p_name, max(p_partkey), 3 FROM part WHERE p_size > 45 GROUP BY 1) SELECT lower(name) AS name_key, arg_max(e, k) AS entity_id FROM r GROUP BY 1")
 def j2_build_name_map(spark, d):
     part = table(spark, d, "part")
@@ -141,6 +149,11 @@ def d2_deduplicate(spark, d):
     return dedup.deduplicate(_works(spark, d))[1]
 
 
+@query(f"SELECT id FROM {_DUP} QUALIFY id = min(id) OVER (PARTITION BY key)")
+def d2_survivors(spark, d):
+    return dedup.deduplicate(_works(spark, d))[0].select("id")
+
+
 @query(f"SELECT min(id) AS id, max(citations) AS citations, min_by(journal, id) AS journal, count(*) AS members FROM {_DUP} GROUP BY key")
 def d3_merge_duplicates(spark, d):
     w = _works(spark, d)

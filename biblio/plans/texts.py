@@ -239,10 +239,10 @@ def h6_extract_blocks(spark, d):
     return pages.extract_blocks(table(spark, d, "documents"), "doc_id", "text", r"^.{1,40}$", {"list": r"^.*? \| "}, r"^\s*$")
 
 
-@query("SELECT c_custkey, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 WHEN list_last(string_split(a, ' ')) = list_last(string_split(b, ' ')) THEN CASE WHEN substr(a, 1, 1) = substr(b, 1, 1) THEN 0.7 + 0.2 ELSE 0.7 END ELSE round(len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) / greatest(len(string_split(a, ' ')), len(string_split(b, ' '))), 6) END AS score FROM (SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(p.p_name), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(q.p_name), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS b FROM customer JOIN part p ON p.p_partkey = c_custkey % 100 + 1 JOIN part q ON q.p_partkey = c_custkey % 77 + 1)")
+@query("SELECT c_custkey, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 1.0 WHEN contains(a, b) OR contains(b, a) THEN 0.9 WHEN list_last(string_split(a, ' ')) = list_last(string_split(b, ' ')) THEN CASE WHEN substr(a, 1, 1) = substr(b, 1, 1) THEN 0.7 + 0.2 ELSE 0.7 END ELSE round(len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) / greatest(len(string_split(a, ' ')), len(string_split(b, ' '))), 6) END AS score FROM (SELECT c_custkey, trim(regexp_replace(regexp_replace(lower(p.p_name), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS a, trim(regexp_replace(regexp_replace(lower(q.p_name), '[^a-z0-9_ ]', '', 'g'), ' +', ' ', 'g')) AS b FROM customer JOIN part p ON p.p_partkey = c_custkey % (SELECT count(*) FROM part) JOIN part q ON q.p_partkey = c_custkey * 7 % (SELECT count(*) FROM part))")
 def f14_author_name_similarity(spark, d):
     part = table(spark, d, "part").select("p_partkey", text.fold(F.col("p_name"), "author_name").alias("n"))
-    k = F.col("c_custkey")
-    rows = table(spark, d, "customer").select("c_custkey", (k % 100 + 1).alias("x"), (k % 77 + 1).alias("y"))
+    k, n = F.col("c_custkey"), part.count()
+    rows = table(spark, d, "customer").select("c_custkey", (k % n).alias("x"), (k * 7 % n).alias("y"))
     both = rows.join(part.toDF("x", "a"), "x").join(part.toDF("y", "b"), "y")
     return both.select("c_custkey", F.round(names.author_name_similarity(F.col("a"), F.col("b")), 6).alias("score"))

@@ -368,7 +368,7 @@ def test_sanitize_is_idempotent(spark):
 # pages
 
 LIST = """<table><tr><th>#</th><th>Title</th></tr>
-<tr><td>1</td><td><a href="detail.php?num_tese=00012">A <b>title</b></a></td><td><a href="x">Ana</a> etc</td><td>EAM</td><td>2020</td><td>Mestrado Acadęmico</td><td><a href="/p.pdf">pdf</a></td></tr>
+<tr><td>1</td><td><a href="detail.php?num_tese=00012">A <b>title</b></a></td><td><a href="x">Ana</a> etc</td><td>XYZ</td><td>2020</td><td>Mestrado Acadęmico</td><td><a href="/p.pdf">pdf</a></td></tr>
 <tr><td>2</td><td>no link</td><td>B</td><td>C</td><td>D</td><td>E</td></tr><tr><td>short</td></tr></table>"""
 DETAIL = """<table><tr><td>Orientador:</td><td>Ana  Lima</td></tr><tr><td></td><td>Rui</td></tr><tr><td>Co-Orientador estrangeiro:</td><td>Bo</td></tr><tr><td>Assunto:</td><td>S1</td></tr><tr><td>t</td><td>S2</td></tr>
 <tr><td>Resumo:</td><td>R1</td></tr><tr><td>Resumo</td><td>R2</td></tr><tr><td>Texto na íntegra:</td><td><a href="f.pdf">x</a></td></tr><tr><td>Outro</td><td>?</td></tr></table>"""
