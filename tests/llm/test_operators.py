@@ -859,7 +859,7 @@ def test_pipeline_of_nothing_and_of_null_ids(spark, empty, tables, tmp_path):
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FULL}/{t}.parquet'")
     got = QUERIES[name](spark, FULL)
     cols = sorted(got.columns)
