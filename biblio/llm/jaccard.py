@@ -9,12 +9,16 @@ share a shingle, or any two of them, in a short prefix:
   shingles of their prefix.
 
 The boundary between them is where enumerating subsets would cost more than scanning lists, by the lengths of
-all lists.  A list is long if more than ``LONG`` documents have its shingle in their prefix, counted over the
-whole corpus; the ``LONGEST`` longest of these go last.  That order only saves work: any order gives the same links.
+all lists.  Lists are counted over the whole corpus in two passes.  The first counts the shingles of prefixes by hash; a list is
+long if more than ``LONG`` documents are in it.  As long lists go last, the next shingles of their documents move up, so the second pass
+counts all shingles of the documents that have a long list in their prefix.  The ``LONGEST`` longest of these go last, and none
+that moves up is long without being known.  That order only saves work: any order gives the same links.
 
 Each list is first scanned by one member of it; verified links make components.  Then every member outside of a list's
-largest component meets the members of other components, where enough of both sets is left from there on.  Every
-pair within a list is so either verified, excluded by a bound, or in one component already; none is capped.
+largest component meets the members of other components, where enough of both sets is left from there on.  The smaller set of such
+a pair always stands so early in its list that it could link with one of its own size; those that do not, as texts in which a
+common part is too small, are never paired with each other.  Every pair within a list is so either verified, excluded by a
+bound, or in one component already; none is capped.
 
 Pairs are first held against parity bitmaps: each shingle toggles one bit, so that bitmaps differ in no more bits than
 sets differ in shingles.  What remains is verified on the sets themselves.  In a large group of texts that are all just
@@ -49,6 +53,8 @@ PAIR_COST = 1 / 2
 MOST_SMALL = 64
 #: 64-bit words of the bitmap that goes with a set into its lists.
 MINI = 4
+#: Parts that a long list is dealt into.
+SALTS = 64
 MINIS = [f"mini{k}" for k in range(MINI)]
 #: Entries that a task holds before it passes counts on.
 HELD = 1 << 20
@@ -162,6 +168,59 @@ def list_lengths(source: DataFrame) -> DataFrame:
     return in_batches(source.select("_text"), per_partition, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
 
 
+def crowded_lengths(source: DataFrame, long_lists: np.ndarray) -> DataFrame:
+    """(sig, n) of all shingles of the documents that have one of ``long_lists`` in their prefix, by hash.
+
+    Of a class, its first document in a task is counted.
+    """
+    shared = source.sparkSession.sparkContext.broadcast(long_lists)
+
+    def per_partition(batches):
+        held, size, seen = [], 0, set()
+
+        def counts():
+            sig, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(as_long(sig)), pa.array(n)], names=["sig", "n"])
+
+        for batch in trimmed(batches):
+            for _, _, raw, offsets in runs(batch.column(0)):
+                h, bounds = shingles(raw, offsets)
+                n = np.diff(bounds)
+                doc = np.repeat(np.arange(len(n)), n)
+                rank = np.arange(len(h)) - bounds[doc]
+                front = np.flatnonzero(rank < np.where(n > 3, prefix_size(n), 0)[doc])
+                crowded = np.zeros(len(n), bool)
+                crowded[doc[front[member(shared.value, as_long(h[front]))]]] = True
+                cls = classes_of(h, bounds)
+                for i in np.flatnonzero(crowded).tolist():
+                    c = int(cls[i])
+                    crowded[i] = c not in seen
+                    seen.add(c)
+                held.append(h[crowded[doc]])
+                size += len(held[-1])
+            if size > HELD:
+                yield counts()
+                held, size = [], 0
+        yield counts()
+
+    return in_batches(source.select("_text"), per_partition, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
+
+
+def member(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Whether each wanted value is in a sorted array."""
+    if not len(known):
+        return np.zeros(len(wanted), bool)
+    at = np.searchsorted(known, wanted)
+    at[at == len(known)] = 0
+    return known[at] == wanted
+
+
+def longest_lists(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of the longest lists, ascending, and their lengths."""
+    got = lengths.filter(F.col("n") > LONG).orderBy(F.desc("n"), "sig").limit(LONGEST).toArrow().sort_by("sig")
+    return got.column("sig").to_numpy(), got.column("n").to_numpy()
+
+
 def boundary(crowd: float) -> int:
     """Largest size at which enumerating 2-subsets of the prefix costs no more than scanning its lists."""
     x = 3
@@ -188,9 +247,9 @@ def entries(source: DataFrame, long_lists: tuple[np.ndarray, np.ndarray], small:
                 fresh[i] = True
         d = np.repeat(np.arange(len(n)), n)
         d, x = d[fresh[d]], h[fresh[d]]
-        at = np.searchsorted(sig, as_long(x))
-        at[at == len(sig)] = 0
-        late = np.where(sig[at] == as_long(x), rarity[at], 0) if len(sig) else np.zeros(len(x), np.int64)
+        late = np.zeros(len(x), np.int64)
+        often = np.flatnonzero(member(sig, as_long(x)))
+        late[often] = rarity[np.searchsorted(sig, as_long(x[often]))]
         order = np.lexsort((x, late, d))
         x, d, late = x[order], d[order], late[order]
         first = np.searchsorted(d, np.arange(len(n)))
@@ -217,9 +276,11 @@ def entries(source: DataFrame, long_lists: tuple[np.ndarray, np.ndarray], small:
 
 def met(found: DataFrame) -> DataFrame:
     """Entries whose list holds two classes or more, each class once in a list."""
-    by_list = Window.partitionBy("sig")
-    short = found.filter(~F.col("long")).withColumn("_a", F.min("cls").over(by_list)).withColumn("_b", F.max("cls").over(by_list)).filter("_a <> _b")
-    return short.select("sig", "cls", "n", "at").distinct().unionByName(found.filter("long").select("sig", "cls", "n", "at").distinct())
+    # a long list is dealt by class, as it need not be whole to be known as long
+    dealt = found.withColumn("_salt", F.when(F.col("long"), F.pmod(F.col("cls"), F.lit(SALTS))).otherwise(0))
+    by_list = Window.partitionBy("sig", "_salt")
+    several = dealt.withColumn("_a", F.min("cls").over(by_list)).withColumn("_b", F.max("cls").over(by_list)).filter("long or _a <> _b")
+    return several.select("sig", "_salt", "cls", "n", "at").distinct().drop("_salt")
 
 
 def overlap_needed(a: Column, b: Column) -> Column:
@@ -235,6 +296,14 @@ def may_link(n: Column, m: Column, at: Column, place: Column) -> Column:
     return (5 * F.least(n, m) >= 4 * F.greatest(n, m)) & ((at < 0) | left)
 
 
+def early(n: Column, at: Column) -> Column:
+    """Whether a set of n can link with one of its size or larger, if what they share lies from this place on.
+
+    Of any pair that ``may_link``, the smaller set is early in the list, or both if they are of one size.
+    """
+    return (at < 0) | (n - at >= overlap_needed(n, n))
+
+
 def close(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) whose bitmaps do not differ in more bits than linked sets can."""
     a = classes.select(F.col("cls").alias("a"), F.col("n").alias("_n"), F.col("bits").alias("_left"))
@@ -314,14 +383,16 @@ def across(members: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFram
     One of each pair is outside of the list's largest component, so that a large component costs no pairs in itself.
     """
     placed = settled(members.join(parts, "cls", "left").withColumn("part", F.coalesce("label", "cls")).drop("label"))
-    sizes = placed.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("_n"))
-    split = sizes.groupBy("sig").agg(F.max(F.struct("_n", "part")).alias("_h"), F.count(F.lit(1)).alias("_parts")).filter("_parts > 1").select("sig", F.col("_h.part").alias("_main"))
+    sizes = placed.groupBy("sig", "part").agg(F.count(F.lit(1)).alias("_n"), F.max(early(F.col("n"), F.col("at"))).alias("_early"))
+    split = sizes.groupBy("sig").agg(F.max(F.struct("_n", "part")).alias("_h"), F.count(F.lit(1)).alias("_parts"), F.max("_early").alias("_early")).filter("_parts > 1 and _early").select("sig", F.col("_h.part").alias("_main"))
     open_ = settled(placed.join(split, "sig").join(classes.select("cls", *MINIS), "cls"))
     one = open_.filter("part <> _main").drop("_main")
     other = open_.select("sig", F.col("cls").alias("_c"), F.col("n").alias("_n"), F.col("at").alias("_at"), F.col("part").alias("_p"), (F.col("part") == F.col("_main")).alias("_in_main"), *(F.col(c).alias(f"_{c}") for c in MINIS))
     differ = reduce(lambda x, y: x + y, (F.bit_count(F.col(c).bitwiseXOR(F.col(f"_{c}"))) for c in MINIS))
     wanted = (F.col("part") != F.col("_p")) & (F.col("_in_main") | (F.col("cls") < F.col("_c"))) & may_link(F.col("n"), F.col("_n"), F.col("at"), F.col("_at")) & (9 * differ <= F.col("n") + F.col("_n"))
-    return one.join(other, "sig").filter(wanted).select(F.least("cls", "_c").alias("a"), F.greatest("cls", "_c").alias("b")).distinct()
+    first = early(F.col("n"), F.col("at"))
+    pairs = one.filter(first).join(other, "sig").unionByName(one.filter(~first).join(other.filter(early(F.col("_n"), F.col("_at"))), "sig"))
+    return pairs.filter(wanted).select(F.least("cls", "_c").alias("a"), F.greatest("cls", "_c").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", row: Column | None = None, small: int | None = None) -> DataFrame:
@@ -335,11 +406,13 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", row: Column
     classes = settled(own.filter("n_shingles > 0").groupBy("cls").agg(F.min("_id").alias("_name"), F.max("n_shingles").alias("n"), F.first("bits").alias("bits"), *(F.first(c).alias(c) for c in MINIS)))
     lengths = settled(list_lengths(source).filter("n > 1"))
     usual = lengths.filter(F.col("n") <= LONG).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("n").alias("entries")).first()
-    longest = lengths.filter(F.col("n") > LONG).orderBy(F.desc("n"), "sig").limit(LONGEST).toArrow().sort_by("sig")
-    rarity = np.floor(np.log2(np.maximum(longest.column("n").to_numpy(), 1))).astype(np.int64)
+    sig, length = longest_lists(lengths)
+    if len(sig):
+        sig, length = longest_lists(crowded_lengths(source, sig))
+    rarity = np.floor(np.log2(np.maximum(length, 1))).astype(np.int64)
     if small is None:
         small = boundary((usual["pairs"] or 0) / (usual["entries"] or 1))
-    members = settled(met(entries(source, (longest.column("sig").to_numpy(), rarity), small)))
+    members = settled(met(entries(source, (sig, rarity), small)))
     tested = settled(scanned(members))
     links = verified(tested, classes, source)
     parts = components(links)
