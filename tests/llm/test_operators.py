@@ -563,6 +563,36 @@ def test_jaccard_groups_of_near_copies(spark, monkeypatch, long):
     assert got == want
 
 
+@pytest.mark.parametrize("long", [8, 64])
+def test_jaccard_common_part_below_the_threshold_pairs_nothing(spark, monkeypatch, long):
+    """Texts of one large common part that is too small to link: all its lists are known as long, and no pair comes of them."""
+    monkeypatch.setattr(jaccard, "LONG", long)
+    common = [f"s{i}" for i in range(150)]
+    rows = [(i, " ".join([*(f"w{i}x{k}" for k in range(30)), *common])) for i in range(100)]
+    rows += [(200 + i, " ".join([*(f"v{k}" for k in range(30 - i)), *common])) for i in range(4)]
+    found, across = [], jaccard.across
+
+    def watched(members, parts, classes):
+        pairs = across(members, parts, classes)
+        open_ = members.filter(jaccard.early(F.col("n"), F.col("at"))).groupBy("sig").count().agg(F.max("count")).first()[0]
+        found.append((pairs.count(), open_))
+        return pairs
+
+    monkeypatch.setattr(jaccard, "across", watched)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got == brute_components(rows)
+    pairs, longest = found[0]
+    assert pairs == 0 and (longest or 0) <= 4
+
+
+def test_jaccard_smaller_set_of_a_pair_is_early(spark):
+    rows = [(n, m, i, j) for n in range(4, 40) for m in range(4, 40) for i in range(0, n, 3) for j in range(0, m, 3)]
+    df = spark.createDataFrame(rows, "n int, m int, i int, j int")
+    n, m, i, j = (F.col(c) for c in "nmij")
+    late = F.when(n <= m, ~jaccard.early(n, i)).otherwise(False) | F.when(m <= n, ~jaccard.early(m, j)).otherwise(False)
+    assert df.filter(jaccard.may_link(n, m, i, j) & late).isEmpty()
+
+
 def test_parity_bitmaps_never_differ_more_than_sets():
     rng = np.random.default_rng(7)
     for _ in range(300):
