@@ -11,8 +11,9 @@ share a shingle, or any two of them, in a short prefix:
 The boundary between them is where enumerating subsets would cost more than scanning lists, by the lengths of
 all lists.  Lists are counted over the whole corpus in two passes.  The first counts the shingles of prefixes by hash; a list is
 long if more than ``LONG`` documents are in it.  As long lists go last, the next shingles of their documents move up, so the second pass
-counts all shingles of the documents that have a long list in their prefix.  The ``LONGEST`` longest of these go last, and none
-that moves up is long without being known.  That order only saves work: any order gives the same links.
+counts all shingles of crowded documents, in whose prefix one list in ``CROWD`` or more is long.  In the others a shingle moves up in
+about one of 4 ``CROWD`` documents at most, as a set is five times its prefix.  The ``LONGEST`` longest of all these go last.  That order only
+saves work: any order gives the same links.
 
 Each list is first scanned by one member of it; verified links make components.  Then every member outside of a list's
 largest component meets the members of other components, where enough of both sets is left from there on.  The smaller set of such
@@ -48,6 +49,8 @@ from .textbuf import LOWER, as_long, mix, runs, span_hash, trimmed, window_place
 SHINGLE = 5
 LONG = 64
 LONGEST = 2_000_000
+#: One list in this many of a prefix that is long makes a document crowded.
+CROWD = 10
 #: Cost of one pair of a list, in signatures enumerated and shuffled.
 PAIR_COST = 1 / 2
 MOST_SMALL = 64
@@ -169,7 +172,7 @@ def list_lengths(source: DataFrame) -> DataFrame:
 
 
 def crowded_lengths(source: DataFrame, long_lists: np.ndarray) -> DataFrame:
-    """(sig, n) of all shingles of the documents that have one of ``long_lists`` in their prefix, by hash.
+    """(sig, n) of all shingles of crowded documents: one in ``CROWD`` of their prefix or more, by hash, is in ``long_lists``.
 
     Of a class, its first document in a task is counted.
     """
@@ -189,8 +192,8 @@ def crowded_lengths(source: DataFrame, long_lists: np.ndarray) -> DataFrame:
                 doc = np.repeat(np.arange(len(n)), n)
                 rank = np.arange(len(h)) - bounds[doc]
                 front = np.flatnonzero(rank < np.where(n > 3, prefix_size(n), 0)[doc])
-                crowded = np.zeros(len(n), bool)
-                crowded[doc[front[member(shared.value, as_long(h[front]))]]] = True
+                known = np.bincount(doc[front[member(shared.value, as_long(h[front]))]], minlength=len(n))
+                crowded = (known > 0) & (CROWD * known >= prefix_size(n))
                 cls = classes_of(h, bounds)
                 for i in np.flatnonzero(crowded).tolist():
                     c = int(cls[i])
@@ -408,7 +411,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", row: Column
     usual = lengths.filter(F.col("n") <= LONG).agg(F.sum(F.col("n") * (F.col("n") - 1)).alias("pairs"), F.sum("n").alias("entries")).first()
     sig, length = longest_lists(lengths)
     if len(sig):
-        sig, length = longest_lists(crowded_lengths(source, sig))
+        again = lengths.filter(F.col("n") > LONG).unionByName(crowded_lengths(source, sig))
+        sig, length = longest_lists(again.groupBy("sig").agg(F.max("n").alias("n")))
     rarity = np.floor(np.log2(np.maximum(length, 1))).astype(np.int64)
     if small is None:
         small = boundary((usual["pairs"] or 0) / (usual["entries"] or 1))
