@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import partial
 from math import log10
 
 import duckdb
@@ -282,6 +283,33 @@ def test_repeated_passages_score_higher(spark):
     assert min(twice) > max(once) + 5
 
 
+def repeated_rows():
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(300)]
+    return rows + [(1000 + 1000 * j + k, rows[k][1]) for j, n in enumerate((40, 9, 8, 7, 6, 5)) for k in range(n)]
+
+
+@pytest.mark.parametrize(
+    ("bucket", "hot", "bits", "head", "share"),
+    [(1 << 19, 1 << 17, 1 << 29, 1 << 22, 1 / 32_768), (100, 1 << 17, 1 << 29, 4000, 1 / 3000), (1000, 4, 256, 1 << 22, 1 / 32_768)],
+    ids=["as it is", "many buckets, rare words", "hot contexts, full filter"],
+)
+def test_all_deep_contexts_count(spark, monkeypatch, bucket, hot, bits, head, share):
+    """The query gives what dictionaries give, whatever the buckets, the filter and the way that a context takes."""
+    rows = repeated_rows()
+    tokens = [(k, [*t.split(), None]) for k, t in rows]
+    for name, value in (("BUCKET", bucket), ("HOT", hot), ("FILTER_BITS", bits), ("HEAD", head), ("MIN_SHARE", share), ("learn", partial(suffix_tree.learn, min_share=share))):
+        monkeypatch.setattr(suffix_tree, name, value)
+    score = brute_suffix_tree([t for k, t in tokens if zlib.crc32(str(k).encode()) % 5 != 1])
+    want = sorted((k, len(t), score(t)) for k, t in tokens)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert len(suffix_tree.learn(df)[0].hot) > 0 or hot > 4
+    got = sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in suffix_tree.scored(df).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert [x[2] for x in got] == pytest.approx([x[2] for x in want], rel=1e-5)
+
+
 def test_suffix_tree_gains_on_held_out_texts(spark):
     held = suffix_tree.op3_suffix_tree_score(spark, FULL).filter("held_out")
     base, score = held.agg(F.sum("base_score"), F.sum("score")).first()
