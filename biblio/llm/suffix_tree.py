@@ -271,8 +271,8 @@ class Repeated:
         return (context.view(np.uint64) >> np.uint64(64 - self.bucket_bits)).astype(np.int64)
 
     def rest(self, context: np.ndarray) -> np.ndarray:
-        """The 32 bits of a context's hash below those of its bucket."""
-        return (context.view(np.uint64) >> np.uint64(32 - self.bucket_bits)).astype(np.uint32)
+        """The 24 bits of a context's hash below those of its bucket: a bucket has about as many contexts at every size."""
+        return (context.view(np.uint64) >> np.uint64(40 - self.bucket_bits)).astype(np.uint32) & np.uint32(0xFFFFFF)
 
     def passes(self, context: np.ndarray) -> np.ndarray:
         share = len(self.bits) >> self.bucket_bits
@@ -311,8 +311,10 @@ def repeated_contexts(docs: DataFrame, tree: Tree, text: str = "text") -> Repeat
     def given(parts):
         h = np.sort(np.concatenate(parts).view(np.uint64)).view(np.int64)
         h = h[np.append([True, True][: len(h)], h[2:] != h[:-2])]  # twice is enough
-        bucket, ends = np.unique(seen.bucket(h), return_index=True)
-        return pa.RecordBatch.from_arrays([pa.array(bucket), array_of(seen.rest(h).view(np.int32), np.append(ends, len(h)), pa.int32())], names=["bucket", "context"])
+        bucket, first = np.unique(seen.bucket(h), return_index=True)
+        planes = seen.rest(h).view(np.uint8).reshape(-1, 4)[:, :3]  # byte by byte, as sorted high bytes compress well
+        rows = [planes[a:b].T.tobytes() for a, b in zip(first, np.append(first[1:], len(h)), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rows, pa.binary())], names=["bucket", "context"])
 
     def per_partition(batches):
         parts, held = [], 0
@@ -328,14 +330,15 @@ def repeated_contexts(docs: DataFrame, tree: Tree, text: str = "text") -> Repeat
             yield given(parts)
 
     def twice(rows: pa.Table) -> pa.Table:
-        rest = np.sort(flat(rows, "context").astype(np.int32).view(np.uint32))
+        planes = [np.frombuffer(x.as_py(), np.uint8).reshape(3, -1).astype(np.uint32) for x in rows.column("context")]
+        rest = np.sort(np.concatenate([low | middle << 8 | high << 16 for low, middle, high in planes]))
         rest = rest[1:][rest[1:] == rest[:-1]]
         own = np.zeros(share * 8, bool)
         for at in filter_places(rest, share):
             own[at] = True
         return pa.table({"bucket": rows.column("bucket")[:1], "bits": pa.array([np.packbits(own, bitorder="little").tobytes()])})
 
-    parts = in_batches(docs.select(text), per_partition, "bucket long, context array<int>")
+    parts = in_batches(docs.select(text), per_partition, "bucket long, context binary")
     bits = np.zeros((1 << bucket_bits, share), np.uint8)
     for row in parts.groupBy("bucket").applyInArrow(twice, "bucket long, bits binary").collect():  # FILTER_BITS at most
         bits[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
@@ -513,8 +516,9 @@ def deep_sums(places: DataFrame, rare: DataFrame, scale: float) -> DataFrame:
         return pa.table({"text_key": pa.array(key[some][first].astype(np.int64)), "units": pa.array(np.add.reduceat(units[some], first) if len(some) else units[some])})
 
     found = places.groupBy("bucket").cogroup(rare.groupBy("bucket")).applyInArrow(per_bucket, "text_key long, units long")
-    # decimals hold the sum over any number of texts
-    return found.groupBy("text_key").agg(F.sum(F.col("units").cast("decimal(19,0)")).alias("units"))
+    # two whole numbers hold the sum over any number of texts, and add up alike in any order
+    high, low = F.sum(F.shiftright("units", 32)), F.sum(F.col("units").bitwiseAND(F.lit((1 << 32) - 1)))
+    return found.groupBy("text_key").agg(high.alias("high"), low.alias("low")).select("text_key", (F.col("high").cast("double") * float(1 << 32) + F.col("low")).alias("units"))
 
 
 def deep_level(places: DataFrame, counts: DataFrame, scale: float) -> tuple[DataFrame, DataFrame]:
@@ -565,7 +569,7 @@ def scored(documents: DataFrame, every: int = 1) -> DataFrame:
     deep = deep_sums(deep_places(docs, shared, seen), met, tree.scale)
     # texts of one key have equal sums, so an even share of theirs is each one's
     alike = scored.groupBy("text_key").agg(F.count(F.lit(1)).alias("_alike"))
-    deep = deep.join(alike, "text_key").select("text_key", (F.col("units").cast("double") / F.col("_alike") / UNIT).alias("deep"))
+    deep = deep.join(alike, "text_key").select("text_key", (F.col("units") / F.col("_alike") / UNIT).alias("deep"))
     # decimals add up alike in any order
     found = rare.join(counts, "key").groupBy("_row").agg(F.sum("times").alias("known"), F.sum(more.cast("decimal(28,12)")).cast("double").alias("more"))
     base = F.col("head_base") + F.coalesce("more", F.lit(0.0))
