@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from biblio.llm import chat, fingerprint, jaccard, language, mixing, packing, pages, quality, sharding, suffix_tree
+from biblio.llm import tables as tables_
 from biblio.llm.registry import ORACLE, QUERIES
 
 from . import brute
@@ -286,7 +287,7 @@ def test_repeated_passages_score_higher(spark):
 def repeated_rows():
     rng = random.Random(6)
     vocabulary = [f"w{i}" for i in range(4000)]
-    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(300)]
+    rows = [(k, " ".join(rng.choice(vocabulary) for _ in range(200))) for k in range(100)]
     return rows + [(1000 + 1000 * j + k, rows[k][1]) for j, n in enumerate((40, 9, 8, 7, 6, 5)) for k in range(n)]
 
 
@@ -501,6 +502,34 @@ def test_quality_verdict_against_brute_force(spark, tables, docs):
     assert [g[2] for g in got] == pytest.approx([x for _, _, x in sorted((d[0], k, x) for d, k, x in zip(docs, want, scores, strict=True))], abs=2e-4)
 
 
+@pytest.mark.parametrize("few", [2_000_000, 0])
+def test_quality_learns_from_all_labels(spark, monkeypatch, few):
+    """More labels of a kind than a sample would hold, broadcast or shuffled: all count, and all choose the threshold."""
+    monkeypatch.setattr(tables_, "BROADCAST_ROWS", few)
+    rng = random.Random(5)
+    good = ["".join(rng.choice("abcdefgh ") for _ in range(24)) for _ in range(20_600)]
+    bad = ["".join(rng.choice("efghijkl ") for _ in range(24)) for _ in range(20_300)]
+    frame = pa.table({"doc_id": range(len(good) + len(bad)), "text": good + bad, "quality": [1] * len(good) + [0] * len(bad)})
+    df = spark.createDataFrame(frame.to_pandas()).repartition(4)
+    verdict = quality.learn(df, df)
+    counts = []
+    for texts in (good, good + bad):
+        offsets = np.cumsum([0, *map(len, texts)])
+        bucket, inside = quality.grams(np.frombuffer("".join(texts).encode(), np.uint8), offsets)
+        counts.append(np.bincount(bucket[inside], minlength=1 << quality.BITS))
+    target, raw = counts
+    size = 1 << quality.BITS
+    ratio = np.log((target + 0.5) / (target.sum() + 0.5 * size)) - np.log((raw + 0.5) / (raw.sum() + 0.5 * size))
+    assert verdict.ratio == pytest.approx(ratio, abs=1e-6)
+    scores = quality.llr(verdict.ratio, np.frombuffer("".join(good + bad).encode(), np.uint8), np.cumsum([0, *map(len, good + bad)]))
+    fine, poor = np.sort(scores[: len(good)]), np.sort(scores[len(good) :])
+    seen = np.unique(scores)
+    cuts = np.append(seen[0] - 1, (seen[:-1] + seen[1:]) / 2)
+    lost, caught = np.searchsorted(fine, cuts) / len(fine), np.searchsorted(poor, cuts) / len(poor)
+    worth = np.where(lost <= quality.MAX_TRUSTED_LOSS, caught - 10 * lost, -np.inf)
+    assert verdict.threshold == pytest.approx(cuts[np.argmax(worth)], abs=1e-8)
+
+
 def test_quality_ratio_is_the_mean_log_ratio():
     ratio = np.random.default_rng(1).normal(size=1 << quality.BITS).astype(np.float32)
     texts = [b"abcd", b"ab", b"", b"xyzxyz"]
