@@ -55,13 +55,14 @@ def s4_read_snapshot(spark, d):
 @query("SELECT md5(text) AS digest FROM documents WHERE doc_id % 3 > 0")
 def s7_read_text_tree(spark, d):
     folder = scratch(spark)
-    docs = table(spark, d, "documents").select(F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", "").alias("value"), F.when(F.col("doc_id") % 3 > 0, "kept").otherwise("node_modules").alias("k"))
+    coded = F.concat(F.lit("t"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""))  # a null text's line is n, an empty one's t
+    docs = table(spark, d, "documents").select(F.coalesce(coded, F.lit("n")).alias("value"), F.when(F.col("doc_id") % 3 > 0, "kept").otherwise("node_modules").alias("k"))
     for k in ("kept", "node_modules"):
-        docs.filter(F.col("k") == k).select("value").write.text(f"{folder}/{k}")
-    docs.select("value").write.csv(f"{folder}/other")
+        docs.filter(F.col("k") == k).select("value").write.option("maxRecordsPerFile", 1000).text(f"{folder}/{k}")  # a file is read as one row
+    docs.select(F.md5("value").alias("value")).write.csv(f"{folder}/other")
     good, _ = sources.read_text_tree(spark, folder, [".txt"], ["node_modules"])
     lines = good.select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
-    return lines.select(F.md5(F.unbase64("line")).alias("digest"))
+    return lines.select(F.when(F.col("line") != "n", F.md5(F.unbase64(F.substring("line", 2, 1 << 30)))).alias("digest"))
 
 
 @query("WITH f AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'jpg' WHEN 2 THEN 'exe' ELSE 'PDF' END AS ext, page_id % 3 = 0 AS marked, page_id % 5 = 0 AS odd FROM pages), p AS (SELECT 'img/' || CASE WHEN odd THEN 'Page ' ELSE 'page-' END || page_id || '.' || ext AS path, * FROM f) SELECT path, 'extension' AS problem FROM p WHERE ext = 'exe' UNION ALL SELECT path, 'disguised' FROM p WHERE (ext IN ('pdf', 'PDF') AND NOT marked) OR ext = 'jpg' UNION ALL SELECT path, 'name' FROM p WHERE odd OR ext = 'PDF'")
