@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,14 @@ def settled(df: DataFrame) -> DataFrame:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read again, for loops: lineage is cut, and sizes are those of the files.
+
+    A checkpoint keeps the planner's estimate of its size.  A join's is the product of its sides', so where each round joins what the
+    round before made, the estimate has twice as many digits each time, and the driver drowns in them.
+    """
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

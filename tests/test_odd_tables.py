@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from biblio.operators import tree
 from biblio.plans.registry import ORACLE, QUERIES
 
 
@@ -24,3 +25,17 @@ def same(spark, folder, name, **tables):
 def test_text_tree_keeps_null_and_empty_texts(spark, tmp_path, texts):
     rows = [(k, t) for k, t in enumerate([*texts, *texts, *texts])] + [(None, "x"), (-1, "y")]
     assert same(spark, tmp_path, "s7_read_text_tree", documents=("doc_id long, text string", rows)) == 6
+
+
+def test_rounds_of_a_tree_keep_estimates_small(spark, monkeypatch):
+    """A join's estimate is the product of its sides'; carried from round to round it gets twice as many digits each time."""
+    sizes = []
+
+    def watched(df, f=tree.written):
+        sizes.append(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return f(df)
+
+    monkeypatch.setattr(tree, "written", watched)
+    chain = spark.range(200).selectExpr("id", "nullif(id - 1, -1) AS parent", "id % 7 AS position")
+    assert tree.subtree(chain, 190).count() == 10
+    assert max(sizes) < 300
