@@ -39,3 +39,23 @@ def test_rounds_of_a_tree_keep_estimates_small(spark, monkeypatch):
     chain = spark.range(200).selectExpr("id", "nullif(id - 1, -1) AS parent", "id % 7 AS position")
     assert tree.subtree(chain, 190).count() == 10
     assert max(sizes) < 300
+
+
+def test_rounds_of_a_tree_go_by_the_longest_way(spark, monkeypatch):
+    """Ever more short cycles take no more rounds, and a way that ends late is followed to its end."""
+    rounds = []
+    monkeypatch.setattr(tree, "written", lambda df, f=tree.written: rounds.append(1) or f(df))
+
+    def taken(n):
+        rounds.clear()
+        turns = spark.range(n).selectExpr("id", "id - id % 3 + (id + 1) % 3 AS parent")
+        got = tree.ancestors(turns.unionByName(spark.range(n, n + 9).selectExpr("id", f"IF(id > {n}, id - 1, 0) AS parent")))
+        assert got.groupBy("is_cycle").count().collect() == [(True, n + 9)] and got.agg({"depth": "max"}).first()[0] == 11
+        return len(rounds)
+
+    assert taken(6) == taken(600)
+
+
+def test_chains_of_other_tables(spark, tmp_path):
+    rows = [(k, "c", k % 25) for k in [*range(160), *range(290, 460), 7000]]
+    assert same(spark, tmp_path / "a", "t1_ancestors_of_chains", customer=("c_custkey long, c_name string, c_nationkey int", rows)) == len(rows)
