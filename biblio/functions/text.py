@@ -272,3 +272,17 @@ def running(numbers: Column, block: int = 256) -> Column:
     totals = F.transform(blocks, lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda acc, x: acc + x))
     whole = F.zip_with(F.zip_with(sums(totals), totals, lambda upto, own: upto - own), blocks, lambda before, xs: F.transform(sums(xs), lambda x: x + before))
     return F.when(F.size(numbers) > 0, F.flatten(whole)).otherwise(none)
+
+
+def carried(labels: Column, blanks: tuple[str, ...] = ("", "t"), block: int = 256) -> Column:
+    """Each label of an array, or where it is blank the last one before it, empty if there is none; by blocks, as in ``running``."""
+
+    def filled_in(xs: Column, before: Column) -> Column:
+        start = F.array(before)
+        return F.slice(F.aggregate(xs, start, lambda acc, x: F.array_append(acc, F.when(~x.isin(*blanks), x).otherwise(F.element_at(acc, -1)))), F.lit(2), F.size(xs))
+
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(labels) - 1) / block).cast("int")), lambda b: F.slice(labels, b * block + 1, block))
+    ends = F.transform(parts, lambda xs: F.coalesce(F.try_element_at(F.filter(xs, lambda x: ~x.isin(*blanks)), F.lit(-1)), F.lit("")))
+    begins = F.concat(F.array(F.lit("")), filled_in(ends, F.lit("")))
+    whole = F.flatten(F.zip_with(parts, F.slice(begins, F.lit(1), F.size(parts)), filled_in))
+    return F.when(F.size(labels) <= block, filled_in(labels, F.lit(""))).otherwise(whole)

@@ -12,75 +12,103 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblio.functions.text import FILE_NAME_PATTERN, clean_text, extract_int, fellowship_from_text, mojibake_fix, query_param, route_file, running, url_join
+from biblio.functions.text import FILE_NAME_PATTERN, carried, clean_text, extract_int, fellowship_from_text, mojibake_fix, query_param, route_file, running, url_join
 
-from .arrange import carry_forward, parse_blocks
+from .arrange import parse_blocks
 
 
-class _Tables(HTMLParser):
-    """Cells of the first table of a page: text and first link of each."""
+#: Tags of plain markup with quoted attributes, and the elements that may stand there; none of them changes how what follows is read.
+_TAG = re.compile(r"""<(/?)([a-z][a-z0-9]*)((?: [a-z-]+="[^"<>&]*")*)>""")
+_HREF = re.compile(' href="([^"]*)"')
+_PLAIN = frozenset("html head body table caption colgroup col thead tbody tfoot tr td th a b i u em strong small big sub sup font span center div p br hr h1 h2 h3 h4 h5 h6 ul ol li dl dt dd img".split())
+
+
+class _Parts(HTMLParser):
+    """A page as ``_TAG.split`` would cut it, whatever its markup: a text, then four items a tag; texts that follow no tag get one without a name."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.depth, self.done, self.rows, self.cell = 0, False, [], None
+        self.parts = [""]
 
     def handle_starttag(self, tag, attrs):
-        if self.done:
-            return
-        if tag == "table":
-            self.depth += 1
-        elif self.depth and tag == "tr":
-            self._close()
-            self.rows.append([])
-        elif self.depth and tag in ("td", "th") and self.rows:
-            self._close()
-            self.cell = {"text": [], "href": None, "link": [], "head": tag == "th", "open": False}
-        elif self.cell is not None and tag == "a" and self.cell["href"] is None:
-            self.cell["href"], self.cell["open"] = dict(attrs).get("href") or "", True
+        self.parts += ("", tag, (dict(attrs).get("href") or "") if tag == "a" else "", "")
 
     def handle_endtag(self, tag):
-        if tag == "table" and self.depth:
-            self._close()
-            self.depth -= 1
-            self.done = not self.depth
-        elif tag in ("td", "th", "tr"):
-            self._close()
-        elif tag == "a" and self.cell is not None:
-            self.cell["open"] = False
+        self.parts += ("/", tag, "", "")
 
     def handle_data(self, data):
-        if self.cell is not None:
-            self.cell["text"].append(data.strip())
-            if self.cell["open"]:
-                self.cell["link"].append(data.strip())
-
-    def _close(self):
-        if self.cell is not None and self.rows:
-            self.rows[-1].append({"text": " ".join(x for x in self.cell["text"] if x), "href": self.cell["href"], "link": " ".join(x for x in self.cell["link"] if x), "head": self.cell["head"]})
-        self.cell = None
+        self.parts += ("", "", "", data)
 
 
-_CELL = pa.struct([("text", pa.string()), ("href", pa.string()), ("link", pa.string()), ("head", pa.bool_())])
+def _table(page: str) -> list[list[tuple]]:
+    """Rows of the first table of a page: text, first link, its text and whether it is a header, of each cell.
 
-
-def table_rows(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
-    """(page, row, cells[]) of each page's first table; a page without one has a row with null ``row``."""
+    Plain markup is cut at its tags in one go; ``HTMLParser`` reads anything else.
+    """
+    parts = _TAG.split(page)
+    plain = "&" not in page and page.count("<") == len(parts) // 4 and _PLAIN.issuperset(parts[2::4])
+    if not plain:
+        parser = _Parts()
+        parser.feed(page)
+        parser.close()
+        parts = parser.parts
+    depth, rows, cell = 0, [], False
+    text = href = link = head = within = None
+    for end, name, attributes, data in zip(parts[1::4], parts[2::4], parts[3::4], parts[4::4], strict=True):
+        if name in ("td", "th", "tr") or (end and name == "table" and depth):
+            if cell and (end or depth):
+                rows[-1].append((text, href, link, head))
+                cell = False
+            if end:
+                if name == "table":
+                    depth -= 1
+                    if not depth:
+                        break
+            elif depth and name == "tr":
+                rows.append([])
+            elif depth and rows:
+                cell, text, href, link, head, within = True, "", None, "", name == "th", False
+        elif name == "table":
+            depth += not end
+        elif name == "a" and cell:
+            if end:
+                within = False
+            elif href is None:
+                href, within = (_HREF.findall(attributes) or [""])[-1] if plain else attributes, True
+        if cell and (data := data.strip()):
+            text = f"{text} {data}" if text else data
+            if within:
+                link = f"{link} {data}" if link else data
+    return rows
+
+
+_CELL = "struct<text:string,href:string,link:string,head:boolean>"
+
+
+def tables(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, table[][]) with the cells of each page's first table; null for a page without one."""
 
     def per_batch(batches):
         for batch in batches:
-            keys, rows, cells = [], [], []
-            for key, text in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                parser = _Tables()
-                parser.feed(text or "")
-                parser.close()
-                for k, r in enumerate(parser.rows or [None]):
-                    keys.append(key)
-                    rows.append(None if r is None else k)
-                    cells.append(r)
-            yield pa.RecordBatch.from_arrays([pa.array([k.as_py() for k in keys], batch.schema[0].type), pa.array(rows, pa.int32()), pa.array(cells, pa.list_(_CELL))], names=["page", "row", "cells"])
+            tops, rows, cells = [], [0], []
+            for text in batch.column(1).to_pylist():
+                table = _table(text or "")
+                tops.append(len(rows) - 1 if table else None)
+                for r in table:
+                    cells += r
+                    rows.append(len(cells))
+            tops.append(len(rows) - 1)
+            fields = [pa.array(x, kind) for x, kind in zip(zip(*cells, strict=True) if cells else ((),) * 4, (pa.string(), pa.string(), pa.string(), pa.bool_()), strict=True)]
+            each = pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.StructArray.from_arrays(fields, ["text", "href", "link", "head"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(tops, pa.int32()), each)], names=["page", "table"])
 
     kind = pages.schema[page].dataType.simpleString()
-    return pages.select(page, html).mapInArrow(per_batch, f"page {kind}, row int, cells array<struct<text:string,href:string,link:string,head:boolean>>")
+    return pages.select(page, html).mapInArrow(per_batch, f"page {kind}, table array<array<{_CELL}>>")
+
+
+def table_rows(pages: DataFrame, page: str = "page_id", html: str = "html") -> DataFrame:
+    """(page, row, cells[]) of each page's first table; a page without one has a row with null ``row``."""
+    return tables(pages, page, html).select("page", F.posexplode_outer("table").alias("row", "cells"))
 
 
 def extract_catalogue(pages: DataFrame, kind: str, base_url: str, course: str = "") -> tuple[DataFrame, DataFrame]:
@@ -127,17 +155,33 @@ REPEATED = ("advisors", "co_advisors", "subjects")
 
 
 def extract_detail(pages: DataFrame, base_url: str) -> DataFrame:
-    """(page, field, pos, value) of detail pages: labels carry forward, lists accumulate, other fields keep the first."""
-    rows = table_rows(pages).withColumn("c", F.filter("cells", lambda x: ~x["head"])).filter(F.size("c") >= 2)
-    raw = rows.select("page", "row", F.lower(F.regexp_replace(clean_text(F.element_at("c", 1)["text"]), ":+$", "")).alias("label"), F.element_at("c", 2).alias("v"))
-    named = carry_forward(raw, "page", "label", ["row"])
+    """(page, field, pos, value) of detail pages: labels carry forward, lists accumulate, other fields keep the first.
+
+    A page's rows stay together, so that nothing is shuffled; an id that comes twice is two pages.
+    """
+    rows = F.transform("table", lambda r, i: F.struct(i.alias("row"), F.filter(r, lambda x: ~x["head"]).alias("c")))
+    long = tables(pages).select("page", F.filter(rows, lambda r: F.size(r["c"]) >= 2).alias("rows"))
+    labels = F.transform("rows", lambda r: F.lower(F.regexp_replace(clean_text(F.element_at(r["c"], 1)["text"]), ":+$", "")))
+    named = long.select("page", "rows", labels.alias("labels")).select("page", "rows", carried(F.col("labels")).alias("labels"))
     known = F.create_map(*(F.lit(x) for kv in LABELS.items() for x in kv))
-    other = F.when(F.col("label").contains("orientador"), F.when(F.col("label").startswith("co"), "co_advisors").otherwise("advisors"))
-    value = F.when(F.col("field") == "fulltext", F.coalesce(url_join(F.lit(base_url), F.col("v.href")), F.lit(""))).otherwise(clean_text(F.col("v.text")))
-    fields = named.withColumn("field", F.coalesce(F.try_element_at(known, F.col("label")), other)).filter("field is not null").withColumn("value", value)
-    lists = fields.filter(F.col("field").isin(*REPEATED) & (F.col("value") != "")).select("page", "field", F.col("row").alias("pos"), "value")
-    single = fields.filter(~F.col("field").isin(*REPEATED)).groupBy("page", F.when(F.col("field") == "fulltext", "fulltext_url").otherwise(F.col("field")).alias("field")).agg(F.min("row").alias("pos"), F.min_by("value", "row").alias("value"))
-    return lists.unionByName(single)
+
+    def field(label: Column) -> Column:
+        other = F.when(label.contains("orientador"), F.when(label.startswith("co"), "co_advisors").otherwise("advisors"))
+        return F.coalesce(F.try_element_at(known, label), other)
+
+    told = named.select("page", "rows", F.transform("labels", field).alias("fields"))
+    text = F.zip_with("rows", "fields", lambda r, f: F.when(f.isin(*REPEATED), F.struct(f.alias("field"), r["row"].alias("pos"), clean_text(F.element_at(r["c"], 2)["text"]).alias("value"))))
+    lists = F.filter(text, lambda x: x["value"] != "")
+
+    def first(name: str) -> Column:
+        at = F.array_position("fields", name).cast("int")
+        row = F.try_element_at("rows", F.nullif(at, F.lit(0)))
+        cell = F.element_at(row["c"], 2)
+        value = F.coalesce(url_join(F.lit(base_url), cell["href"]), F.lit("")) if name == "fulltext" else clean_text(cell["text"])
+        return F.when(at > 0, F.struct(F.lit("fulltext_url" if name == "fulltext" else name).alias("field"), row["row"].alias("pos"), value.alias("value")))
+
+    single = F.array_compact(F.array(*(first(n) for n in dict.fromkeys(LABELS.values()) if n not in REPEATED)))
+    return told.select("page", F.inline(F.concat(lists, single)))
 
 
 _ATTRIBUTES = r"""(?is)<[a-z][^>]*?\s(href|src)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""

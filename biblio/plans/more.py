@@ -259,7 +259,8 @@ def h2_extract_detail(spark, d):
         F.lit("<table><tr><td>Orientador:</td><td>"), "o_custkey", F.lit("</td></tr><tr><td></td><td>"), "o_orderstatus", F.lit("<tr><td>Título:<td>"), "o_orderpriority", F.lit("</td></tr><tr><td>Alone</td></tr><tr><td>Other label:</td><td>x</td></tr><tr><td>Título</td><td>again</td></tr>"),
         F.when(F.col("o_orderkey") % 3 == 0, "<tr><td>Coorientador(a):</td><td><b>Bo</b></td></tr>").otherwise("<tr><th>Coorientador:</th><td>Bo</td></tr>"), F.lit("</table>"),
     )
-    return pages.extract_detail(table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), html.alias("html")), "http://h/").select("page", "field", "value")
+    few = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # a small file would be one task
+    return pages.extract_detail(few.select(F.col("o_orderkey").alias("page_id"), html.alias("html")), "http://h/").select("page", "field", "value")
 
 
 @query("SELECT c_custkey AS page, CASE WHEN c_custkey % 4 > 0 THEN c_custkey % 90 ELSE 0 END AS works, CAST(7 AS BIGINT) AS second, CASE WHEN c_custkey % 5 > 0 THEN CAST(c_custkey AS VARCHAR) END AS source_id FROM customer")

@@ -1,9 +1,13 @@
 """Queries against their SQL on small tables with what the test tables lack."""
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from biblio.operators import tree
+from biblio.functions.text import carried
+from biblio.operators import pages, tree
 from biblio.plans.registry import ORACLE, QUERIES
 
 
@@ -59,3 +63,28 @@ def test_rounds_of_a_tree_go_by_the_longest_way(spark, monkeypatch):
 def test_chains_of_other_tables(spark, tmp_path):
     rows = [(k, "c", k % 25) for k in [*range(160), *range(290, 460), 7000]]
     assert same(spark, tmp_path / "a", "t1_ancestors_of_chains", customer=("c_custkey long, c_name string, c_nationkey int", rows)) == len(rows)
+
+
+def test_details_of_repeated_pages_stay_apart(spark, tmp_path):
+    """An order that comes twice is two pages, each read by itself, and nothing is shuffled or settled on the way."""
+    rows = [(k, 5, "F", f"{k}-HIGH") for k in (0, 1, 2, 3, 3, None)]
+    assert same(spark, tmp_path, "h2_extract_detail", orders=("o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string", rows)) == 3 * 6 + 3
+    found = pages.extract_detail(spark.createDataFrame([(1, "<table></table>")], "page_id int, html string"), "http://h/")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_labels_carry_over_blocks(spark):
+    rng = random.Random(3)
+    lists = [[rng.choice(["", "t", "a", "b"]) for _ in range(n)] for n in (0, 1, 5, 256, 257, 600)] + [[""] * 300 + ["x"] + ["t"] * 600]
+    for (labels, got) in spark.createDataFrame([(x,) for x in lists], "x array<string>").select("x", carried(F.col("x"))).collect():
+        want, last = [], ""
+        for x in labels:
+            last = x if x not in ("", "t") else last
+            want.append(last)
+        assert got == want
+
+
+@pytest.mark.parametrize("markup", ["<table><tr><td>a <b>b</b><td>c</table><table><tr><td>no", '<tr><td>x<table class="k"><td>no<tr><th>h<td><a href="u">l</a>m<table><tr><td>in</table>o</tr>', '<table><tr><td><a>n</a><a href="v">w</a></td><td>open'])
+def test_plain_pages_are_read_as_others_are(markup):
+    assert pages._table(markup) == pages._table(markup + "<!-- -->") == pages._table("<!-- & -->" + markup.replace("<td>", "<TD >"))
+    assert pages._table("<table><tr><td>x</table>") == [[("x", None, "", False)]] and pages._table("") == pages._table("<p>&amp;") == []
