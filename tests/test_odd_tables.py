@@ -3,11 +3,12 @@
 import random
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from biblio.functions.text import carried
-from biblio.operators import pages, tree
+from biblio.operators import pages, textindex, tree
 from biblio.plans.registry import ORACLE, QUERIES
 
 
@@ -88,3 +89,30 @@ def test_labels_carry_over_blocks(spark):
 def test_plain_pages_are_read_as_others_are(markup):
     assert pages._table(markup) == pages._table(markup + "<!-- -->") == pages._table("<!-- & -->" + markup.replace("<td>", "<TD >"))
     assert pages._table("<table><tr><td>x</table>") == [[("x", None, "", False)]] and pages._table("") == pages._table("<p>&amp;") == []
+
+
+def test_text_index_of_segments_and_blocks(spark, tmp_path, monkeypatch):
+    """Lists come by segments and blocks, with nothing shuffled, and have every gram of every text once."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefghijé€😀 ") for _ in range(rng.choice([0, 3, 4, 5, 50, 400]))) for _ in range(90)]
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(65_500, 65_580), *range(1 << 33, (1 << 33) + 10)]), pa.array(texts)], names=["number", "text"])
+    monkeypatch.setattr(textindex, "SEGMENT", 300)
+    got = []
+    for x in textindex._postings([batch.slice(0, 0), batch.slice(7)]):
+        for gram, block, n, places in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            found = [(block << 16) + p for p in memoryview(places).cast("H")]
+            assert len(found) == n
+            got += [(gram, k) for k in found]
+    numbers = batch.column(0).to_pylist()
+    want = {(int(textindex._hashed(textindex._codes(t[i : i + 4].encode()))[0]), k) for k, t in list(zip(numbers, texts, strict=True))[7:] for i in range(len(t) - 3)}
+    assert len(got) == len(set(got)) and set(got) == want
+    rows = [(None if k == 5 else k % 80, t) for k, t in enumerate([*texts, "xx thation €😀", None])]
+    assert same(spark, tmp_path, "p9_text_index", documents=("doc_id long, text string", rows)) > 1
+
+
+def test_text_index_is_built_without_a_shuffle(spark, tmp_path, monkeypatch):
+    plans = []
+    writer = type(spark.range(1).write)
+    monkeypatch.setattr(writer, "parquet", lambda self, path, *a, f=writer.parquet, **b: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or f(self, path, *a, **b))
+    textindex.build(spark.createDataFrame([(1, "some text")], "k int, text string"), "k", ["text"], str(tmp_path / "index"))
+    assert len(plans) == 2 and not any("Exchange" in p for p in plans)
